@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,7 +29,7 @@ PARSED = [
 
 
 def starts_json(text: Column, opening: str) -> Column:
-    return F.substring(F.ltrim(F.translate(text, "\t\r\n", "   ")), 1, 1) == opening
+    return text.rlike(r"^[ \t\r\n]*\Q" + opening)
 
 
 def iso_time(text: Column, to_utc: bool = False) -> Column:
@@ -68,7 +66,7 @@ def common_log_time(text: Column) -> Column:
     ).try_cast("timestamp_ntz")
 
 
-def common_log(line: Column, now: Column) -> Column:
+def common_log(line: Column, now: Column, time_text: Column | None = None) -> Column:
     """Struct of parsed fields for a common-log-format line, else null."""
 
     def part(nth: int) -> Column:
@@ -77,7 +75,7 @@ def common_log(line: Column, now: Column) -> Column:
     return F.when(
         line.rlike(COMMON_LOG),
         F.struct(
-            F.coalesce(common_log_time(part(2)), now).alias("ts"),
+            F.coalesce(common_log_time(part(2) if time_text is None else time_text), now).alias("ts"),
             part(1).alias("source_ip"),
             F.lit(None).cast("string").alias("dest_ip"),
             part(3).alias("method"),
@@ -109,70 +107,74 @@ def sshd_log(line: Column, now: Column) -> Column:
     )
 
 
-def text_log(line: Column, now: Column) -> Column:
-    return F.coalesce(common_log(line, now), sshd_log(line, now))
+# Each field of a JSON record with the names it may have, first one first.
+JSON_NAMES = {
+    "timestamp": ["timestamp"],
+    "source_ip": ["source_ip", "src_ip"],
+    "dest_ip": ["dest_ip", "dst_ip"],
+    "method": ["method"],
+    "path": ["path", "url"],
+    "status_code": ["status_code", "status"],
+    "user_agent": ["user_agent"],
+    "log_source": ["log_source"],
+    "raw_log": ["raw_log"],
+}
 
 
-@dataclass(frozen=True)
-class JsonFields:
-    """Access to the fields of a JSON object held in a variant column.
+def json_field(record: Column, name: str) -> Column:
+    """A field of a JSON object as a variant. Null means absent; a JSON null is a value."""
+    return F.coalesce(
+        *[F.try_variant_get(record, f"$.{key}", "variant") for key in JSON_NAMES[name]]
+    )
 
-    A field that holds JSON null is present; only an absent one takes the alias or default.
-    """
 
-    record: Column
+def json_text(field: Column, default: str | None = None) -> Column:
+    """Text of a field; only an absent field takes the default."""
+    return F.when(field.isNull(), F.lit(default)).otherwise(
+        F.try_variant_get(field, "$", "string")
+    )
 
-    def get(self, *names: str) -> Column:
-        return F.coalesce(
-            *[F.try_variant_get(self.record, f"$.{name}", "variant") for name in names]
-        )
 
-    def text(self, *names: str, default: str | None = None) -> Column:
-        field = self.get(*names)
-        return F.when(field.isNull(), F.lit(default)).otherwise(
-            F.try_variant_get(field, "$", "string")
-        )
+def json_integer(field: Column) -> Column:
+    """Numbers are cut to whole ones, texts must hold an integer, booleans are 0 or 1."""
+    return F.try_variant_get(field, "$", "bigint")
 
-    def integer(self, *names: str) -> Column:
-        return F.try_variant_get(self.get(*names), "$", "bigint")
 
-    def is_text(self, *names: str) -> Column:
-        """False for a present value that is neither a string nor null."""
-        field = self.get(*names)
-        return field.isNull() | F.schema_of_variant(field).isin("STRING", "VOID")
+def json_time_text(field: Column) -> Column:
+    return F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get(field, "$", "string"))
 
 
-def json_log(record: Column, source: Column, now: Column, to_utc: bool = False) -> Column:
+def json_log(
+    fields: dict[str, Column], time: Column, source: Column, now: Column
+) -> Column:
     """Struct of parsed fields for a JSON object.
 
-    ``source`` is the object's text, the default of ``raw_log``.
+    ``fields`` holds the variants of :func:`json_field`, ``source`` the object's text, which is
+    the default of ``raw_log``, and ``time`` the parsed time or null.
     """
-    fields = JsonFields(record)
-    written = F.when(
-        F.schema_of_variant(fields.get("timestamp")) == "STRING", fields.text("timestamp")
-    )
     return F.struct(
-        F.coalesce(iso_time(written, to_utc), now).alias("ts"),
-        fields.text("source_ip", "src_ip", default=DEFAULT_IP).alias("source_ip"),
-        fields.text("dest_ip", "dst_ip").alias("dest_ip"),
-        fields.text("method", default=DEFAULT_METHOD).alias("method"),
-        fields.text("path", "url", default=DEFAULT_PATH).alias("path"),
-        fields.integer("status_code", "status").alias("status_code"),
-        fields.text("user_agent", default="").alias("user_agent"),
-        fields.text("log_source", default=DEFAULT_SOURCE).alias("log_source"),
-        F.when(fields.get("raw_log").isNull(), source)
-        .otherwise(fields.text("raw_log"))
+        F.coalesce(time, now).alias("ts"),
+        json_text(fields["source_ip"], DEFAULT_IP).alias("source_ip"),
+        json_text(fields["dest_ip"]).alias("dest_ip"),
+        json_text(fields["method"], DEFAULT_METHOD).alias("method"),
+        json_text(fields["path"], DEFAULT_PATH).alias("path"),
+        json_integer(fields["status_code"]).alias("status_code"),
+        json_text(fields["user_agent"], "").alias("user_agent"),
+        json_text(fields["log_source"], DEFAULT_SOURCE).alias("log_source"),
+        F.when(fields["raw_log"].isNull(), source)
+        .otherwise(json_text(fields["raw_log"]))
         .alias("raw_log"),
     )
 
 
-def wrong_type(record: Column) -> Column:
-    """Names the first text field of a JSON object that holds something else, else null."""
-    fields = JsonFields(record)
-    aliases = [
-        ("source_ip", "src_ip"), ("dest_ip", "dst_ip"), ("method",), ("path", "url"),
-        ("user_agent",), ("log_source",), ("raw_log",),
-    ]
-    return F.coalesce(
-        *[F.when(~fields.is_text(*names), f"{names[0]} is not text") for names in aliases]
+def wrong_type(fields: dict[str, Column]) -> Column:
+    """Names the first text field that holds neither a text nor null, else null."""
+    texts = F.array(
+        *[
+            F.struct(F.lit(name).alias("name"), F.schema_of_variant(field).alias("kind"))
+            for name, field in fields.items()
+            if name not in ("timestamp", "status_code")
+        ]
     )
+    wrong = F.filter(texts, lambda field: ~field["kind"].isin("STRING", "VOID"))
+    return F.concat(F.get(wrong, 0)["name"], F.lit(" is not text"))

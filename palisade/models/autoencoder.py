@@ -1,3 +1,227 @@
+"""Autoencoder trained data-parallel on Spark.
+
+Each epoch is one job: every partition runs Adam over its rows in mini-batches, starting from the
+common state, and the states are averaged weighted by rows. The averaging is an aggregation, so
+the driver receives one state of a few thousand numbers however many partitions there are.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-def error_threshold(name):
-    return F.percentile(name, 0.95)
+
+from palisade.functions.scoring import UNFITTED_SCORE, error_score
+from palisade.sources.tables import latest_version, read_snapshot, write_snapshot
+
+# Fixed values.
+LAYERS = [12, 32, 16, 8, 16, 32, 12]
+DROPOUT = 0.1
+DROPOUT_AFTER = [0, 4]  # layers followed by dropout while training
+EPOCHS = 50
+BATCH_SIZE = 256
+LEARNING_RATE = 1e-3
+THRESHOLD_PERCENTILE = 0.95
+DEFAULT_THRESHOLD = 0.1
+ADAM = (0.9, 0.999, 1e-8)
+
+_SHAPES = [(a, b) for a, b in zip(LAYERS[:-1], LAYERS[1:])]
+WEIGHTS = sum(a * b + b for a, b in _SHAPES)
+_EXACT_PERCENTILE_ROWS = 1_000_000
+MODEL_SCHEMA = "position int, weight double, shift double, scale double, threshold double"
+
+
+def error_threshold(error: str, rows: int = 0) -> Column:
+    """Aggregate: 95th percentile of the errors, interpolated; approximate for large tables."""
+    if rows > _EXACT_PERCENTILE_ROWS:
+        return F.percentile_approx(error, THRESHOLD_PERCENTILE, 1_000_000)
+    return F.percentile(error, THRESHOLD_PERCENTILE)
+
+
+def _layers(weights: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Views of the flat weights as (matrix, bias) per layer."""
+    views, start = [], 0
+    for inputs, outputs in _SHAPES:
+        matrix = weights[start : start + inputs * outputs].reshape(inputs, outputs)
+        start += inputs * outputs
+        views.append((matrix, weights[start : start + outputs]))
+        start += outputs
+    return views
+
+
+def initial_weights(seed: int) -> np.ndarray:
+    random = np.random.default_rng(seed)
+    weights = np.empty(WEIGHTS)
+    for matrix, bias in _layers(weights):
+        bound = 1.0 / np.sqrt(len(matrix))
+        matrix[:] = random.uniform(-bound, bound, matrix.shape)
+        bias[:] = random.uniform(-bound, bound, bias.shape)
+    return weights
+
+
+def reconstruct(weights: np.ndarray, points: np.ndarray) -> np.ndarray:
+    value = points
+    for nth, (matrix, bias) in enumerate(_layers(weights)):
+        value = value @ matrix + bias
+        if nth < len(_SHAPES) - 1:
+            value = np.maximum(value, 0.0)
+    return value
+
+
+def _gradient(weights: np.ndarray, points: np.ndarray, random: np.random.Generator) -> np.ndarray:
+    """Gradient of the mean squared reconstruction error, with dropout."""
+    layers, inputs, gates, value = _layers(weights), [], [], points
+    for nth, (matrix, bias) in enumerate(layers):
+        inputs.append(value)
+        value = value @ matrix + bias
+        if nth < len(layers) - 1:
+            gate = (value > 0).astype(float)
+            if nth in DROPOUT_AFTER:
+                gate *= (random.random(value.shape) >= DROPOUT) / (1.0 - DROPOUT)
+            value = value * gate
+            gates.append(gate)
+    gradient = np.empty_like(weights)
+    back = 2.0 * (value - points) / points.size
+    for nth, (matrix, bias) in reversed(list(enumerate(_layers(gradient)))):
+        matrix[:] = inputs[nth].T @ back
+        bias[:] = back.sum(axis=0)
+        if nth:
+            back = (back @ layers[nth][0].T) * gates[nth - 1]
+    return gradient
+
+
+def _as_points(vectors: pd.Series, shift: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return (np.stack(vectors.to_numpy()).astype(np.float64) - shift) / scale
+
+
+def _train_epoch(
+    state: np.ndarray, shift: np.ndarray, scale: np.ndarray, seed: int, epoch: int,
+    batch_size: int, rate: float,
+):
+    decay_first, decay_second, epsilon = ADAM
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        random = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
+        weights, first, second = (part.copy() for part in np.split(state[:-1], 3))
+        step, rows = state[-1], 0
+        for batch in batches:
+            if batch.empty:
+                continue
+            points = _as_points(batch["features"], shift, scale)
+            rows += len(points)
+            points = points[random.permutation(len(points))]
+            for start in range(0, len(points), batch_size):
+                gradient = _gradient(weights, points[start : start + batch_size], random)
+                step += 1
+                first = decay_first * first + (1 - decay_first) * gradient
+                second = decay_second * second + (1 - decay_second) * gradient**2
+                weights -= rate * (first / (1 - decay_first**step)) / (
+                    np.sqrt(second / (1 - decay_second**step)) + epsilon
+                )
+        if rows:
+            ended = np.concatenate([weights, first, second, [step]])
+            yield pd.DataFrame({"rows": [rows], "state": [ended]})
+
+    return run
+
+
+@dataclass(frozen=True)
+class Autoencoder:
+    weights: np.ndarray
+    shift: np.ndarray
+    scale: np.ndarray
+    threshold: float = DEFAULT_THRESHOLD
+
+    @classmethod
+    def fit(
+        cls,
+        rows: DataFrame,
+        epochs: int = EPOCHS,
+        batch_size: int = BATCH_SIZE,
+        rate: float = LEARNING_RATE,
+        seed: int = 42,
+        standardize: bool = False,
+    ) -> Autoencoder:
+        """Fits on ``rows`` (features), a stored table: every epoch reads it once."""
+        features = rows.select("features")
+        shift, scale = np.zeros(LAYERS[0]), np.ones(LAYERS[0])
+        if standardize:
+            column = [F.col("features")[nth].cast("double") for nth in range(LAYERS[0])]
+            found = features.agg(
+                F.array(*[F.avg(part) for part in column]).alias("mean"),
+                F.array(*[F.stddev_pop(part) for part in column]).alias("deviation"),
+            ).first()
+            shift, deviation = np.array(found["mean"]), np.array(found["deviation"])
+            scale = np.where(deviation > 0, deviation, 1.0)
+        state = np.concatenate([initial_weights(seed), np.zeros(2 * WEIGHTS), [0.0]])
+        for epoch in range(epochs):
+            train = _train_epoch(state, shift, scale, seed, epoch, batch_size, rate)
+            parts = features.mapInPandas(train, "rows bigint, state array<double>")
+            averaged = (
+                parts.select("rows", F.posexplode("state").alias("position", "value"))
+                .groupBy("position")
+                .agg((F.sum(F.col("value") * F.col("rows")) / F.sum("rows")).alias("value"))
+                .toPandas()  # 3 * 2164 + 1 rows
+            )
+            if averaged.empty:
+                raise ValueError("no training rows")
+            state = averaged.sort_values("position")["value"].to_numpy()
+        fitted = cls(state[:WEIGHTS], shift, scale)
+        errors = features.select(fitted.error(F.col("features")).alias("error"))
+        total = features.count()
+        threshold = errors.agg(error_threshold("error", total)).first()[0]
+        return cls(fitted.weights, shift, scale, float(threshold))
+
+    def error(self, features: Column) -> Column:
+        """Mean squared reconstruction error per feature array."""
+        model = self
+
+        @F.pandas_udf("double")
+        def squared_error(vectors: pd.Series) -> pd.Series:
+            if not len(vectors):
+                return pd.Series([], dtype="float64")
+            points = _as_points(vectors, model.shift, model.scale)
+            return pd.Series(((reconstruct(model.weights, points) - points) ** 2).mean(axis=1))
+
+        return squared_error(features)
+
+    def score(self, features: Column) -> Column:
+        return error_score(self.error(features), F.lit(self.threshold))
+
+    def save(self, spark: SparkSession, root: str, version: int) -> None:
+        padding = [np.nan] * (WEIGHTS - LAYERS[0])
+        frame = pd.DataFrame(
+            {
+                "position": np.arange(WEIGHTS, dtype="int32"),
+                "weight": self.weights,
+                "shift": [*self.shift, *padding],
+                "scale": [*self.scale, *padding],
+                "threshold": self.threshold,
+            }
+        )
+        write_snapshot(spark.createDataFrame(frame, MODEL_SCHEMA).coalesce(1), root, version)
+
+    @classmethod
+    def load(cls, spark: SparkSession, root: str, version: int | None = None) -> Autoencoder | None:
+        """The given or latest saved version; None when there is none."""
+        version = latest_version(spark, root) if version is None else version
+        if version is None:
+            return None
+        schema = spark.createDataFrame([], MODEL_SCHEMA).schema
+        table = read_snapshot(spark, root, schema, version).toPandas().sort_values("position")
+        inputs = slice(0, LAYERS[0])
+        return cls(
+            table["weight"].to_numpy(),
+            table["shift"].to_numpy()[inputs],
+            table["scale"].to_numpy()[inputs],
+            float(table["threshold"].iloc[0]),
+        )
+
+
+def autoencoder_score(model: Autoencoder | None, features: Column) -> Column:
+    return F.lit(UNFITTED_SCORE) if model is None else model.score(features)

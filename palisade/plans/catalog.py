@@ -8,13 +8,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisade.functions import parse, rules, scoring
+from palisade.functions.steps import computed
 from palisade.functions.time import epoch_micros
 from palisade.operators import alerts as alert_ops
 from palisade.operators import dashboard, features, feedback, reputation, tables
 from palisade.operators import scoring as score_ops
 from palisade.operators.parse import accepted, parse_log, quarantined
 from palisade.plans import access_log as source
-from palisade.plans.oracles import LABEL_FEED, OVERRIDE_FEED, RESOLUTION_FEED, sql
+from palisade.plans.oracles import (
+    LABEL_FEED,
+    OVERRIDE_FEED,
+    PARSE_STEPS,
+    RESOLUTION_FEED,
+    sql,
+)
 from palisade.schemas import FEATURE_NAMES
 from palisade.sources import capture
 
@@ -754,6 +761,11 @@ def column_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", reason.alias("reject_reason"))
 
 
+def _binary_grid(scored: DataFrame) -> DataFrame:
+    """Scores in steps of 1/1024, which add up without rounding in any order."""
+    return scored.withColumn("anomaly_score", F.floor(F.col("anomaly_score") * 1024) / 1024)
+
+
 # --- live view -----------------------------------------------------------------------------
 
 
@@ -761,14 +773,14 @@ def column_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     "rolling_avg_score",
     sql(
         "scored",
-        """SELECT id, round(avg(coalesce(anomaly_score, 0)) OVER (
-          ORDER BY ts, id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW), 8) AS rolling_avg_score
+        """SELECT id, avg(floor(anomaly_score * 1024) / 1024) OVER (
+          ORDER BY ts, id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW) AS rolling_avg_score
         FROM scored""",
     ),
 )
 def rolling_avg_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dashboard.rolling_avg_score(_scored(spark, sf_dir)).select(
-        "id", F.round("rolling_avg_score", 8).alias("rolling_avg_score")
+    return dashboard.rolling_avg_score(_binary_grid(_scored(spark, sf_dir))).select(
+        "id", "rolling_avg_score"
     )
 
 
@@ -785,19 +797,17 @@ def events_per_second(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql(
         "scored",
         """SELECT date_trunc('second', ts) AS tick, count(*) AS events,
-          round(max_by(mean, nth), 8) AS avg_score
+          max_by(mean, nth) AS avg_score
         FROM means GROUP BY 1 ORDER BY 1 DESC LIMIT 60""",
         """
 means AS (
-  SELECT ts, row_number() OVER (ORDER BY ts, id) AS nth, avg(anomaly_score) OVER (
+  SELECT ts, row_number() OVER (ORDER BY ts, id) AS nth, avg(floor(anomaly_score * 1024) / 1024) OVER (
     ORDER BY ts, id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW) AS mean
   FROM scored)""",
     ),
 )
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dashboard.timeline(_scored(spark, sf_dir)).withColumn(
-        "avg_score", F.round("avg_score", 8)
-    )
+    return dashboard.timeline(_binary_grid(_scored(spark, sf_dir)))
 
 
 @query(
@@ -994,3 +1004,234 @@ def alert_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def http_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture.capture_log(source.captured_requests(spark, sf_dir)).drop("raw_log")
+
+
+# --- parsing -------------------------------------------------------------------------------
+
+
+def _parsed_sql(columns: str, where: str = "TRUE") -> str:
+    return sql("log", f"SELECT {columns} FROM parsed WHERE {where}", *PARSE_STEPS)
+
+
+@query(
+    "decode_log",
+    _parsed_sql(
+        "id, ts, source_ip, dest_ip, method, path, status_code, user_agent, log_source, raw_log",
+        "reject_reason IS NULL",
+    ),
+)
+def decode_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accepted(parse_log(_messages(spark, sf_dir))).drop("value", "ingest_ts")
+
+
+@query("quarantine", _parsed_sql("id, value, reject_reason", "reject_reason IS NOT NULL"))
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quarantined(parse_log(_messages(spark, sf_dir))).drop("ingest_ts")
+
+
+@query(
+    "normalize_log",
+    sql(
+        "log",
+        """SELECT id, coalesce(CASE WHEN event_type <> 'view' THEN source_ip END,
+            CASE WHEN event_type = 'view' AND status_code = 200 THEN source_ip || '9' END, '0.0.0.0')
+            AS source_ip,
+          coalesce(CASE WHEN event_type = 'error' THEN method END, 'UNKNOWN') AS method,
+          coalesce(CASE WHEN event_type = 'click' THEN path END,
+            CASE WHEN event_type = 'error' THEN path || '#' END, '/') AS path,
+          '' AS user_agent, 'unknown' AS log_source
+        FROM access_log""",
+    ),
+)
+def normalize_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with some fields absent, some under their alias names."""
+    kind = F.col("event_type")
+    record = F.to_json(
+        F.struct(
+            F.when(kind != "view", F.col("source_ip")).alias("source_ip"),
+            F.when(
+                (kind == "view") & (F.col("status_code") == 200), F.concat("source_ip", F.lit("9"))
+            ).alias("src_ip"),
+            F.when(kind == "error", F.col("method")).alias("method"),
+            F.when(kind == "click", F.col("path")).alias("path"),
+            F.when(kind == "error", F.concat("path", F.lit("#"))).alias("url"),
+        )
+    )
+    messages = source.access_log(spark, sf_dir).select(
+        "id", record.alias("value"), F.col("ts").alias("ingest_ts")
+    )
+    return parse_log(messages).select(
+        "id", "source_ip", "method", "path", "user_agent", "log_source"
+    )
+
+
+@query(
+    "safe_int",
+    sql(
+        "log",
+        """SELECT id, CAST(CASE event_type WHEN 'view' THEN trunc(status_code + ml_score * 0.9)
+            WHEN 'click' THEN status_code WHEN 'purchase' THEN NULL WHEN 'signup' THEN 1
+            ELSE NULL END AS BIGINT) AS status FROM access_log""",
+    ),
+)
+def safe_int(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, padded texts, decimal texts, booleans and nulls as integers."""
+    kind, status = F.col("event_type"), F.col("status_code")
+    text = (
+        F.when(kind == "view", F.format_string("%.6f", status + F.col("ml_score") * 0.9))
+        .when(kind == "click", F.format_string('" %d "', status))
+        .when(kind == "purchase", F.format_string('"%d.7"', status))
+        .when(kind == "signup", "true")
+        .otherwise("null")
+    )
+    record = F.try_parse_json(F.concat(F.lit('{"status": '), text, F.lit("}")))
+    return source.access_log(spark, sf_dir).select(
+        "id", parse.json_integer(parse.json_field(record, "status_code")).alias("status")
+    )
+
+
+@query(
+    "normalize_ts",
+    sql(
+        "log",
+        """SELECT id, CASE event_type WHEN 'view' THEN ts WHEN 'click' THEN ts
+            WHEN 'error' THEN date_trunc('day', ts)
+            ELSE ts + INTERVAL 1 SECOND END AS ts FROM access_log""",
+    ),
+)
+def normalize_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ISO texts with and without offset, dates, empty and broken texts."""
+    kind = F.col("event_type")
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    text = (
+        F.when(kind == "view", F.concat(iso, F.lit("+05:30")))
+        .when(kind == "click", iso)
+        .when(kind == "error", F.date_format("ts", "yyyy-MM-dd"))
+        .when(kind == "signup", "")
+        .otherwise(F.concat(F.lit("at "), iso))
+    )
+    now = F.expr("timestampadd(SECOND, 1, ts)")
+    return source.access_log(spark, sf_dir).select(
+        "id", F.coalesce(parse.iso_time(text), now).alias("ts")
+    )
+
+
+_TEXT_LOG = r"""
+lines AS (
+  SELECT id, ts, CASE event_type
+    WHEN 'view' THEN 'edge7 ' || source_ip || ' - - [' || strftime(ts, '%d/%b/%Y:%H:%M:%S')
+      || ' +0530] "' || method || ' ' || path || ' HTTP/1.1" ' || status_code || ' 77'
+    WHEN 'click' THEN source_ip || ' - - [soon] "' || method || ' ' || path || ' HTTP/2" '
+      || status_code || ' 1'
+    WHEN 'error' THEN 'Jan  5 10:30:00 web sshd[7]: Failed password for root from ' || source_ip
+      || ' port 22'
+    WHEN 'signup' THEN 'Jan 15 10:30:00 web sshd[12]: Accepted publickey for u' || user_id
+      || ' from ' || source_ip
+    ELSE method || ' ' || path END AS line
+  FROM access_log),
+matched AS (
+  SELECT *, regexp_extract(line,
+    '([\d.]+)\s+-\s+-\s+\[([^\]]+)\]\s+"(\w+)\s+(\S+)\s+HTTP/[\d.]+"\s+(\d+)\s+(\d+)',
+    ['ip', 'at_time', 'verb', 'target', 'status', 'size']) AS clf,
+   regexp_extract(line,
+    '(\w+\s+\d+\s+[\d:]+)\s+\S+\s+sshd\[\d+\]:\s+(Accepted|Failed)\s+\w+\s+for\s+\S+\s+from\s+([\d.]+)',
+    ['at_time', 'outcome', 'ip']) AS ssh
+  FROM lines)"""
+
+
+def _text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    line = (
+        F.when(
+            kind == "view",
+            F.format_string(
+                'edge7 %s - - [%s +0530] "%s %s HTTP/1.1" %d 77', F.col("source_ip"),
+                F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.col("method"), F.col("path"),
+                F.col("status_code"),
+            ),
+        )
+        .when(
+            kind == "click",
+            F.format_string(
+                '%s - - [soon] "%s %s HTTP/2" %d 1', F.col("source_ip"), F.col("method"),
+                F.col("path"), F.col("status_code"),
+            ),
+        )
+        .when(
+            kind == "error",
+            F.format_string(
+                "Jan  5 10:30:00 web sshd[7]: Failed password for root from %s port 22",
+                F.col("source_ip"),
+            ),
+        )
+        .when(
+            kind == "signup",
+            F.format_string(
+                "Jan 15 10:30:00 web sshd[12]: Accepted publickey for u%d from %s",
+                F.col("user_id"), F.col("source_ip"),
+            ),
+        )
+        .otherwise(F.concat_ws(" ", "method", "path"))
+    )
+    return source.access_log(spark, sf_dir).select(
+        "id", line.alias("line"), F.expr("timestampadd(SECOND, 1, ts)").alias("now")
+    )
+
+
+_CLF_TIME = "coalesce(try_strptime(left(clf.at_time, 20), '%d/%b/%Y:%H:%M:%S'), ts + INTERVAL 1 SECOND)"
+_CLF_SQL = f"""SELECT id, {_CLF_TIME} AS ts, clf.ip AS source_ip, clf.verb AS method,
+  clf.target AS path, CAST(clf.status AS BIGINT) AS status_code, 'http' AS log_source
+FROM matched WHERE clf.ip <> ''"""
+_SSH_SQL = """SELECT id, ts + INTERVAL 1 SECOND AS ts, ssh.ip AS source_ip, 'SSH' AS method,
+  '/ssh/auth' AS path, CAST(CASE ssh.outcome WHEN 'Accepted' THEN 200 ELSE 401 END AS BIGINT)
+    AS status_code, 'ssh' AS log_source
+FROM matched WHERE ssh.ip <> ''"""
+
+
+def _text_fields(lines: DataFrame, log: str) -> DataFrame:
+    names = ["ts", "source_ip", "method", "path", "status_code", "log_source"]
+    return lines.where(F.col(log).isNotNull()).select(
+        "id", *[F.col(f"{log}.{name}").alias(name) for name in names]
+    )
+
+
+@query("parse_clf", sql("log", _CLF_SQL, _TEXT_LOG))
+def parse_clf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _text_lines(spark, sf_dir)
+    return _text_fields(
+        computed(lines, log=parse.common_log(F.col("line"), F.col("now"))), "log"
+    )
+
+
+@query(
+    "parse_clf_time",
+    sql("log", f"SELECT id, {_CLF_TIME} AS ts FROM matched WHERE clf.ip <> ''", _TEXT_LOG),
+)
+def parse_clf_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _text_lines(spark, sf_dir)
+    written = F.regexp_extract("line", parse.COMMON_LOG, 2)
+    return lines.where(F.col("line").rlike(parse.COMMON_LOG)).select(
+        "id", F.coalesce(parse.common_log_time(written), "now").alias("ts")
+    )
+
+
+@query("parse_sshd", sql("log", _SSH_SQL, _TEXT_LOG))
+def parse_sshd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _text_lines(spark, sf_dir)
+    return _text_fields(
+        computed(lines, log=parse.sshd_log(F.col("line"), F.col("now"))), "log"
+    )
+
+
+@query("parse_text", sql("log", f"{_CLF_SQL} UNION ALL {_SSH_SQL}", _TEXT_LOG))
+def parse_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _text_lines(spark, sf_dir)
+    matched = computed(
+        computed(
+            lines,
+            web=parse.common_log(F.col("line"), F.col("now")),
+            ssh=parse.sshd_log(F.col("line"), F.col("now")),
+        ),
+        log=F.coalesce("web", "ssh"),
+    )
+    return _text_fields(matched, "log")

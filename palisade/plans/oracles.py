@@ -187,3 +187,101 @@ resolved_alerts AS (
     coalesce(l.event_type = 'purchase', FALSE) AS is_false_positive, a.created_at
   FROM alerts a LEFT JOIN access_log l
     ON l.id = a.event_id AND l.event_type IN ('signup', 'purchase', 'error'))"""
+
+
+# The raw messages and their parsing. A JSON field that is absent has no entry in json_keys.
+PARSE_STEPS = [
+    r"""
+messages AS (
+  SELECT id, ts + INTERVAL 1 SECOND AS now, CASE id % 10
+    WHEN 0 THEN '{"timestamp": "' || iso || '+00:00", "source_ip": "' || source_ip
+      || '", "dest_ip": "10.0.0.1", "method": "' || method || '", "path": "' || path
+      || '", "status_code": ' || status_code || ', "user_agent": "' || event_type
+      || '", "log_source": "http", "raw_log": "r' || id || '"}'
+    WHEN 1 THEN '{"timestamp": "' || iso || '+05:30", "src_ip": "' || source_ip
+      || '", "dst_ip": "10.0.0.2", "url": "' || path || '", "status": "' || status_code || '"}'
+    WHEN 2 THEN '"{\"timestamp\": \"' || iso || '\", \"source_ip\": \"' || source_ip
+      || '\", \"path\": \"' || path || '\", \"status_code\": ' || status_code || '.7}"'
+    WHEN 3 THEN '"' || source_ip || ' - - [' || clf || ' +0530] \"' || method || ' ' || path
+      || ' HTTP/1.1\" ' || status_code || ' 512"'
+    WHEN 4 THEN '"' || source_ip || ' - bob [' || clf || ' +0000] \"' || method || ' ' || path
+      || ' HTTP/1.1\" ' || status_code || ' -"'
+    WHEN 5 THEN '"Jan 15 10:30:00 web sshd[12]: '
+      || CASE WHEN status_code >= 400 THEN 'Failed' ELSE 'Accepted' END || ' password for '
+      || event_type || ' from ' || source_ip || ' port 22"'
+    WHEN 6 THEN '"Jan 15 10:30:00 web sshd[12]: Failed password for invalid user '
+      || event_type || ' from ' || source_ip || ' port 22"'
+    WHEN 7 THEN '{"source_ip": null, "src_ip": "' || source_ip || '", "method": "' || method
+      || '", "status_code": true}'
+    WHEN 8 THEN '{"raw_log": "m' || id || '", "timestamp": "not-a-date"}'
+    ELSE CAST(id AS VARCHAR) END AS value
+  FROM (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') AS iso,
+          strftime(ts, '%d/%b/%Y:%H:%M:%S') AS clf FROM access_log))""",
+    r"""
+decoded AS (
+  SELECT *, CASE WHEN json_type(value) = 'VARCHAR' THEN json_extract_string(value, '$') END AS inside
+  FROM messages),
+routed AS (
+  SELECT *, CASE WHEN json_type(value) = 'OBJECT' THEN value
+                 WHEN json_valid(inside) AND json_type(inside) = 'OBJECT' THEN inside END AS doc,
+    CASE WHEN NOT json_valid(inside) THEN inside END AS line
+  FROM decoded),
+matched AS (
+  SELECT *, regexp_extract(line,
+      '([\d.]+)\s+-\s+-\s+\[([^\]]+)\]\s+"(\w+)\s+(\S+)\s+HTTP/[\d.]+"\s+(\d+)\s+(\d+)',
+      ['ip', 'at_time', 'verb', 'target', 'status', 'size']) AS clf,
+    regexp_extract(line,
+      '(\w+\s+\d+\s+[\d:]+)\s+\S+\s+sshd\[\d+\]:\s+(Accepted|Failed)\s+\w+\s+for\s+\S+\s+from\s+([\d.]+)',
+      ['at_time', 'outcome', 'ip']) AS ssh,
+    json_keys(doc) AS keys
+  FROM routed),
+fields AS (
+  SELECT id, value, doc, line,
+    CASE WHEN doc IS NOT NULL THEN
+           coalesce(TRY_CAST(left(json_extract_string(doc, '$.timestamp'), 23) AS TIMESTAMP), now)
+         WHEN clf.ip <> '' THEN
+           coalesce(try_strptime(left(clf.at_time, 20), '%d/%b/%Y:%H:%M:%S'), now)
+         WHEN ssh.ip <> '' THEN now END AS ts,
+    CASE WHEN doc IS NOT NULL THEN CASE
+           WHEN list_contains(keys, 'source_ip') THEN json_extract_string(doc, '$.source_ip')
+           WHEN list_contains(keys, 'src_ip') THEN json_extract_string(doc, '$.src_ip')
+           ELSE '0.0.0.0' END
+         WHEN clf.ip <> '' THEN clf.ip WHEN ssh.ip <> '' THEN ssh.ip END AS source_ip,
+    CASE WHEN list_contains(keys, 'dest_ip') THEN json_extract_string(doc, '$.dest_ip')
+         ELSE json_extract_string(doc, '$.dst_ip') END AS dest_ip,
+    CASE WHEN doc IS NOT NULL THEN CASE
+           WHEN list_contains(keys, 'method') THEN json_extract_string(doc, '$.method')
+           ELSE 'UNKNOWN' END
+         WHEN clf.ip <> '' THEN clf.verb WHEN ssh.ip <> '' THEN 'SSH' END AS method,
+    CASE WHEN doc IS NOT NULL THEN CASE
+           WHEN list_contains(keys, 'path') THEN json_extract_string(doc, '$.path')
+           WHEN list_contains(keys, 'url') THEN json_extract_string(doc, '$.url') ELSE '/' END
+         WHEN clf.ip <> '' THEN clf.target WHEN ssh.ip <> '' THEN '/ssh/auth' END AS path,
+    CAST(CASE WHEN doc IS NOT NULL THEN CASE
+           WHEN json_type(doc, '$.status_code') = 'BOOLEAN' THEN 1
+           ELSE trunc(TRY_CAST(coalesce(json_extract_string(doc, '$.status_code'),
+             json_extract_string(doc, '$.status')) AS DOUBLE)) END
+         WHEN clf.ip <> '' THEN TRY_CAST(clf.status AS INTEGER)
+         WHEN ssh.outcome = 'Accepted' THEN 200 WHEN ssh.outcome = 'Failed' THEN 401 END
+      AS INTEGER) AS status_code,
+    CASE WHEN doc IS NOT NULL THEN CASE
+           WHEN list_contains(keys, 'user_agent') THEN json_extract_string(doc, '$.user_agent')
+           ELSE '' END
+         WHEN clf.ip <> '' THEN '' WHEN ssh.ip <> '' THEN 'sshd' END AS user_agent,
+    CASE WHEN doc IS NOT NULL THEN CASE
+           WHEN list_contains(keys, 'log_source') THEN json_extract_string(doc, '$.log_source')
+           ELSE 'unknown' END
+         WHEN clf.ip <> '' THEN 'http' WHEN ssh.ip <> '' THEN 'ssh' END AS log_source,
+    CASE WHEN doc IS NOT NULL THEN CASE
+           WHEN list_contains(keys, 'raw_log') THEN json_extract_string(doc, '$.raw_log')
+           ELSE doc END
+         ELSE line END AS raw_log
+  FROM matched),
+parsed AS (
+  SELECT *, CASE WHEN doc IS NULL AND line IS NULL THEN 'not an object'
+                 WHEN doc IS NULL AND log_source IS NULL THEN 'no known text format'
+                 WHEN source_ip IS NULL THEN 'null source_ip'
+                 WHEN method IS NULL THEN 'null method'
+                 WHEN path IS NULL THEN 'null path' END AS reject_reason
+  FROM fields)""",
+]
