@@ -100,7 +100,7 @@ def rolling_avg_score(
 
 
 def events_per_second(scored: DataFrame, ts: str = "ts") -> DataFrame:
-    """Events in each one-second tick that has any. Works on streams with a watermark, too."""
+    """Events in each one-second tick that has any."""
     return (
         scored.groupBy(F.window(ts, "1 second").alias("_tick"))
         .agg(F.count("*").alias("events"))

@@ -1013,13 +1013,12 @@ def _parsed_sql(columns: str, where: str = "TRUE") -> str:
     return sql("log", f"SELECT {columns} FROM parsed WHERE {where}", *PARSE_STEPS)
 
 
-@query(
-    "decode_log",
-    _parsed_sql(
-        "id, ts, source_ip, dest_ip, method, path, status_code, user_agent, log_source, raw_log",
-        "reject_reason IS NULL",
-    ),
+_PARSED_TEXT = (
+    "source_ip, dest_ip, method, path, status_code, user_agent, log_source, raw_log"
 )
+
+
+@query("decode_log", _parsed_sql(f"id, ts, {_PARSED_TEXT}", "reject_reason IS NULL"))
 def decode_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accepted(parse_log(_messages(spark, sf_dir))).drop("value", "ingest_ts")
 

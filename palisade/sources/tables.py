@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def _versions(spark: SparkSession, root: str, key: str) -> list[int]:
@@ -42,7 +42,7 @@ def read_batches(
     wanted = [
         n for n in _versions(spark, root, "batch_id") if n > after and (last is None or n <= last)
     ]
-    full = StructType(schema.fields).add("batch_id", "bigint")
+    full = StructType([*schema.fields, StructField("batch_id", LongType())])
     if not wanted:
         return spark.createDataFrame([], full)
     return (

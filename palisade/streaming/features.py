@@ -85,7 +85,7 @@ def _advance(columns: list[str], ts: str, lateness: int):
             state.remove()
             return
         rows = pd.concat(list(frames), ignore_index=True).sort_values([ts, "id"], kind="stable")
-        arrived = int(_as_micros(rows["ingest_ts"]).max())
+        arrived = int(rows["_arrival_ms"].max())
         resets = rows["reset"].to_numpy(dtype=bool)
         reset_times = _as_micros(rows.loc[resets, ts])
         rows = rows[~resets].reset_index(drop=True)
@@ -122,7 +122,7 @@ def _advance(columns: list[str], ts: str, lateness: int):
         if len(us):
             start = max(start, int(np.searchsorted(us, us[-1] - keep_for)))
         state.update((us[start:].tolist(), status[start:].tolist(), path[start:].tolist()))
-        state.setTimeoutTimestamp(arrived // 1000 + IDLE_SECONDS * 1000)
+        state.setTimeoutTimestamp(arrived + IDLE_SECONDS * 1000)
 
     return run
 
@@ -142,11 +142,14 @@ def features_stream(
     else:
         marked = log.withColumn("reset", F.lit(False))
     columns = [name for name in marked.columns if name != "reset"]
+    # Watermarks need a zoned timestamp.
+    arrival = F.col("ingest_ts").cast("timestamp")
+    arriving = marked.withColumns({"_arrival": arrival, "_arrival_ms": F.unix_millis(arrival)})
     fields = [marked.schema[name] for name in columns]
     counts = [T.StructField(name, kind) for name, kind in COUNTS]
     extra = [T.StructField("copy", T.LongType()), T.StructField("late", T.BooleanType())]
     counted = (
-        marked.withWatermark("ingest_ts", "1 minute")
+        arriving.withWatermark("_arrival", "1 minute")
         .groupBy("source_ip")
         .applyInPandasWithState(
             _advance(columns, ts, lateness),

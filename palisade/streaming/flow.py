@@ -96,10 +96,11 @@ class Flow:
             self._models = load_models(spark, self.models_root, self._models)
         batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            self._store_events(batch, batch_id)
+            if batch.isEmpty():
+                return
+            schema = self._store_events(batch, batch_id)
         finally:
             batch.unpersist()
-        schema = spark.read.parquet(f"{self.table('events')}/batch_id={batch_id}").schema
         events = tables.read_batch(spark, self.table("events"), schema, batch_id)
         self._store_alerts(events, batch_id)
         self._store_reputation(events, batch_id)
@@ -107,7 +108,7 @@ class Flow:
             f"{self.table('live_feed')}/batch_id={batch_id}"
         )
 
-    def _store_events(self, batch: DataFrame, batch_id: int) -> None:
+    def _store_events(self, batch: DataFrame, batch_id: int) -> T.StructType:
         late = batch.where("late").select("id", "raw_log", F.lit("late").alias("reject_reason"))
         tables.write_batch(late, self.table("late"), batch_id)
         own_id = F.when(F.col("copy") == 0, F.col("id"))
@@ -122,6 +123,7 @@ class Flow:
             F.col("ingest_ts").alias("created_at"),
         )
         tables.write_batch(events, self.table("events"), batch_id, date_of="ts")
+        return events.schema
 
     def _store_alerts(self, events: DataFrame, batch_id: int) -> None:
         spark, root = events.sparkSession, self.table("cooldown")
