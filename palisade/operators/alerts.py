@@ -88,7 +88,9 @@ def _slice_steps(pause: int, width: int):
             reachable = here <= np.maximum(np.minimum(first_free, ends - 1), starts)[group]
             steps = rows.assign(upto=rows["_us"], last_fire=rows["_us"].to_numpy()[last])
             steps = steps.loc[reachable, [*_SLICE, "upto", "last_fire"]]
-            yield steps.drop_duplicates([*_SLICE, "last_fire"], keep="last")
+            # Of neighbouring entry states with the same outcome, the last one is enough.
+            outcome = steps[[*_SLICE, "last_fire"]]
+            yield steps[(outcome != outcome.shift(-1)).any(axis=1)]
 
     return run
 
