@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisade.operators.scoring import minmax_scores
+from palisade.session import stored
 from palisade.sources.tables import latest_version, read_snapshot, write_snapshot
 
 # Fixed values.
@@ -162,21 +163,34 @@ class IsolationForest:
         )
 
     def raw_scores(self, points: np.ndarray) -> np.ndarray:
-        """Minus the anomaly score of the paper, for an (n, features) array."""
-        trees = np.arange(len(self.feature))[None, :]
+        """Minus the anomaly score of the paper, for an (n, features) array.
+
+        All trees are walked at once, level by level; a leaf leads to itself.
+        """
+        trees, width = self.feature.shape
+        root = np.arange(trees, dtype=np.int32) * width
+        leaf = self.feature.ravel() < 0
+        feature = np.where(leaf, 0, self.feature.ravel()).astype(np.int32)
+        threshold = self.threshold.ravel()
+        base = np.repeat(root, width)
+        children = np.stack([self.children[0].ravel() + base, self.children[1].ravel() + base])
+        children[:, leaf] = np.flatnonzero(leaf)
+        children = children.T.ravel().astype(np.int32)  # right child, left child of each node
+        path_length = self.path_length.ravel()
+        scale = average_path(self.sample_size) or 1.0
         result = np.empty(len(points))
         for start in range(0, len(points), 1024):
             block = points[start : start + 1024]
-            row = np.arange(len(block))[:, None]
-            node = np.zeros((len(block), len(self.feature)), dtype=np.int64)
+            values = block.ravel()
+            row = (np.arange(len(block), dtype=np.int32) * block.shape[1])[:, None]
+            node = np.broadcast_to(root, (len(block), trees))
             while True:
-                feature = self.feature[trees, node]
-                if (feature < 0).all():
+                left = values.take(row + feature.take(node)) <= threshold.take(node)
+                following = children.take(node * 2 + left)
+                if np.array_equal(following, node):
                     break
-                left = block[row, np.maximum(feature, 0)] <= self.threshold[trees, node]
-                node = self.children[left.astype(np.int64), trees, node]
-            mean = self.path_length[trees, node].mean(axis=1)
-            scale = average_path(self.sample_size) or 1.0
+                node = following
+            mean = path_length.take(node).mean(axis=1)
             result[start : start + 1024] = -np.exp2(-mean / scale)
         return result
 
@@ -194,10 +208,16 @@ class IsolationForest:
         return decide(features)
 
     def scores(self, featured: DataFrame, scope: str = "batch") -> DataFrame:
-        """Adds ``iforest_score``. With ``scope='batch'`` the rows are scored twice: store first."""
+        """Adds ``iforest_score``.
+
+        With ``scope='batch'`` the decision values are needed twice, for their range and for the
+        scores, so the rows are stored with them rather than walked through the trees again.
+        """
         if scope == "row":
             return featured.withColumn("iforest_score", F.lit(1.0))
-        decided = featured.withColumn("_decision", self.decision(F.col("features")))
+        decided = stored(
+            featured.withColumn("_decision", self.decision(F.col("features"))), "decisions"
+        )
         return decided.withColumn(
             "iforest_score", minmax_scores(decided, "_decision", scope)
         ).drop("_decision")

@@ -197,7 +197,7 @@ def iforest_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("iforest_score")
 def iforest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _training_table(spark, sf_dir)
-    featured = stored(_featured(spark, sf_dir).select("id", "features"), "features")
+    featured = _featured(spark, sf_dir).select("id", "features")
     return IsolationForest.fit(rows).scores(featured).select("id", "iforest_score")
 
 
@@ -214,8 +214,9 @@ def train_models_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both models trained, saved, loaded again and applied to the whole log."""
     root = work_folder(spark, "models")
     train_models(_training_table(spark, sf_dir), root, EPOCHS)
-    featured = stored(_featured(spark, sf_dir), "features")
-    return load_models(spark, root).score(featured).select("id", "anomaly_score", "attack_type")
+    return load_models(spark, root).score(_featured(spark, sf_dir)).select(
+        "id", "anomaly_score", "attack_type"
+    )
 
 
 @query(
