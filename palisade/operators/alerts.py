@@ -99,20 +99,25 @@ def _entry_states(pause: int):
     """First moment of each slice at which an alert may fire, from steps in time order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, current, free_at, leaves_at = None, None, _ALWAYS, _ALWAYS
+        key, current, free_at, leaves_at, settled = None, None, _ALWAYS, _ALWAYS, False
         for rows in batches:
+            if rows.empty:
+                continue
+            names = rows[_SLICE]
+            starts = np.flatnonzero((names != names.shift()).any(axis=1).to_numpy())
+            upto, last = rows["upto"].to_numpy(), rows["last_fire"].to_numpy()
             out = []
-            for ip, kind, start, upto, last in zip(
-                rows["source_ip"], rows["alert_type"], rows["_slice"],
-                rows["upto"], rows["last_fire"],
-            ):
+            for begin, end in zip(starts, np.append(starts[1:], len(rows))):
+                ip, kind, start = names.iloc[begin]
                 if (ip, kind) != key:
                     key, current, leaves_at = (ip, kind), None, _ALWAYS
                 if start != current:
-                    current, free_at = start, leaves_at
+                    current, free_at, settled = start, leaves_at, False
                     out.append((ip, kind, start, free_at))
-                if free_at <= upto and leaves_at == free_at:
-                    leaves_at = last + pause
+                if not settled:  # a slice's steps may continue in the next batch
+                    step = begin + np.searchsorted(upto[begin:end], free_at)
+                    if step < end:
+                        leaves_at, settled = int(last[step]) + pause, True
             yield pd.DataFrame(out, columns=[*_SLICE, "_free_at"])
 
     return run

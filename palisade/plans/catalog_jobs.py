@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.functions.time import epoch_micros
 from palisade.models.autoencoder import Autoencoder
 from palisade.models.isolation_forest import IsolationForest
 from palisade.models.registry import Models, load_models, retrain, train_models
@@ -115,6 +116,41 @@ def features_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "state_expiry",
+    sql("feat", "SELECT id, ip_req_count_1m, ip_req_count_5m, unique_paths_1m FROM feat"),
+)
+def state_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log in four micro-batches, arriving as it happened.
+
+    Between them, state of addresses that were silent for long enough is released; the counts
+    are those of the whole table all the same.
+    """
+    channel, target = work_folder(spark, "log"), work_folder(spark, "features")
+    log = source.access_log(spark, sf_dir)
+    micros = epoch_micros(F.col("ts"))
+    cuts = log.agg(F.percentile_approx(micros, [0.25, 0.5, 0.75])).first()[0]
+    part = sum((micros >= cut).cast("int") for cut in cuts)
+    for nth in range(len(cuts) + 1):
+        log.where(part == nth).write.mode("append").parquet(f"{channel}/part={nth}")
+        arriving = (
+            spark.readStream.schema(log.schema)
+            .parquet(f"{channel}/part=*")
+            .withColumn("ingest_ts", F.col("ts"))
+        )
+        running = (
+            features_stream(arriving)
+            .select("id", "ip_req_count_1m", "ip_req_count_5m", "unique_paths_1m")
+            .writeStream.format("parquet")
+            .option("path", target)
+            .option("checkpointLocation", f"{target}-checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        _finish(running)
+    return spark.read.parquet(target)
+
+
 _EVENTS_SQL = sql(
     "scored",
     """SELECT id, ts, source_ip, method, path, status_code,

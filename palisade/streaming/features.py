@@ -31,7 +31,8 @@ IDLE_SECONDS = 960
 
 ALLOWED_LATENESS = 300
 
-STATE_SCHEMA = "us array<bigint>, status array<int>, path array<string>"
+# Times, status codes and path numbers as packed arrays; a busy address holds many events.
+STATE_SCHEMA = "us binary, status binary, path binary, names array<string>"
 COUNTS = [
     ("ip_req_count_1m", T.LongType()),
     ("ip_req_count_5m", T.LongType()),
@@ -47,6 +48,20 @@ def _as_micros(times: pd.Series) -> np.ndarray:
     return times.to_numpy().astype("datetime64[us]").astype(np.int64)
 
 
+def _unpacked(held: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    us, status, path, names = held
+    paths = np.array(names, dtype=object)[np.frombuffer(path, np.int32)]
+    return np.frombuffer(us, np.int64), np.frombuffer(status, np.int32).astype(np.int64), paths
+
+
+def _packed(us: np.ndarray, status: np.ndarray, path: np.ndarray) -> tuple:
+    codes, names = pd.factorize(path)
+    return (
+        us.tobytes(), status.astype(np.int32).tobytes(), codes.astype(np.int32).tobytes(),
+        list(names),
+    )
+
+
 def _window_counts(us: np.ndarray, status: np.ndarray, path: np.ndarray) -> dict[str, np.ndarray]:
     """Counts for each of one address's events, sorted by time."""
     upto = np.searchsorted(us, us, side="right")
@@ -89,14 +104,12 @@ def _advance(columns: list[str], ts: str, lateness: int):
         resets = rows["reset"].to_numpy(dtype=bool)
         reset_times = _as_micros(rows.loc[resets, ts])
         rows = rows[~resets].reset_index(drop=True)
-        known = state.get if state.exists else ([], [], [])
+        known = _unpacked(state.get if state.exists else (b"", b"", b"", []))
         old = len(known[0])
-        us = np.concatenate([np.array(known[0], np.int64), _as_micros(rows[ts])])
-        status = np.concatenate(
-            [np.array(known[1], np.int64), rows["status_code"].fillna(0).to_numpy(np.int64)]
-        )
-        path = np.concatenate([np.array(known[2], object), rows["path"].to_numpy(object)])
-        newest_known = max(known[0], default=None)
+        newest_known = known[0].max() if old else None
+        us = np.concatenate([known[0], _as_micros(rows[ts])])
+        status = np.concatenate([known[1], rows["status_code"].fillna(0).to_numpy(np.int64)])
+        path = np.concatenate([known[2], rows["path"].to_numpy(object)])
         order = np.argsort(us, kind="stable")
         us, status, path = us[order], status[order], path[order]
         # Frames do not reach back over a reset, so each stretch between resets stands alone.
@@ -121,7 +134,7 @@ def _advance(columns: list[str], ts: str, lateness: int):
         start = cuts[-1] if len(cuts) else 0
         if len(us):
             start = max(start, int(np.searchsorted(us, us[-1] - keep_for)))
-        state.update((us[start:].tolist(), status[start:].tolist(), path[start:].tolist()))
+        state.update(_packed(us[start:], status[start:], path[start:]))
         state.setTimeoutTimestamp(arrived + IDLE_SECONDS * 1000)
 
     return run

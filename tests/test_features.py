@@ -113,6 +113,28 @@ def test_stream_reset_forgets_an_address(spark, tmp_path):
     assert [found[nth]["ip_req_count_1m"] for nth in range(6)] == [1, 2, 3, 1, 2, 3]
 
 
+def test_state_of_a_silent_address_is_released(spark, tmp_path):
+    """Arrival times are given, so that 1.1.1.1 is idle for longer than state is held."""
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    arrivals = [("1.1.1.1", 0), ("2.2.2.2", 3000), ("2.2.2.2", 3001), ("1.1.1.1", 3002)]
+    for nth, (ip, arrival) in enumerate(arrivals):
+        row = (nth, START, ip, "GET", "/a", 200, 0.0, START + dt.timedelta(seconds=arrival))
+        spark.createDataFrame([row], LOG_FIELDS + ", ingest_ts timestamp_ntz").coalesce(
+            1
+        ).write.mode("append").parquet(source)
+    stream = (
+        spark.readStream.schema(LOG_FIELDS + ", ingest_ts timestamp_ntz")
+        .option("maxFilesPerTrigger", 1).parquet(source)
+    )
+    running = (
+        features_stream(stream).writeStream.format("parquet").option("path", target)
+        .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    )
+    assert running.awaitTermination(300)
+    found = {row["id"]: row["ip_req_count_1m"] for row in spark.read.parquet(target).collect()}
+    assert found == {0: 1, 1: 1, 2: 2, 3: 1}
+
+
 def test_features_feed_the_rules(spark):
     log = [
         (nth, START + dt.timedelta(seconds=nth), "1.1.1.1", "POST", "/login", 401, 0.2)
