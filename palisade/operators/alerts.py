@@ -157,7 +157,7 @@ def cooldown(
     ``last_fires`` is (source_ip, alert_type, last_fire) from earlier batches.
     """
     pause = settings.cooldown_seconds * MICROS
-    seconds = max(settings.fold_slice_seconds, settings.cooldown_seconds)
+    seconds = max(settings.cooldown_slice_seconds, settings.cooldown_seconds)
     width = seconds * MICROS + 2 * pause  # keeps neighbouring groups more than a pause apart
     id_type = candidates.schema["id"].dataType.simpleString()
     step_type = "source_ip string, alert_type string, _slice bigint"

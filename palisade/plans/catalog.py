@@ -190,6 +190,21 @@ def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "busy_address_features",
+    sql(
+        "feat",
+        """SELECT id, ip_req_count_1m, ip_req_count_5m, ip_fail_count_1m, ip_fail_count_5m,
+          unique_paths_1m, round(avg_status_code_1m, 6) AS avg_status_code_1m, burst_rate FROM feat""",
+    ),
+)
+def busy_address_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses with more than 300 events in a slice are split by the second."""
+    log = source.access_log(spark, sf_dir).select("id", "ts", "source_ip", "path", "status_code")
+    counts = features.sliding_counts(log, busy_rows=300)
+    return _rounded(counts.drop("ts", "source_ip", "path", "status_code"), "avg_status_code_1m")
+
+
 def _reset_frame(seconds: int) -> str:
     return (
         "(PARTITION BY source_ip, era ORDER BY ts "

@@ -28,9 +28,12 @@ def process_log(
 ) -> Processed:
     """Features, scores, alerts and reputation of a log table.
 
-    The scored events are stored once; alerts and reputation read the columns they need.
+    ``log`` is a stored table: busy addresses are looked up in a pass of its own. The scored
+    events are stored once; alerts and reputation read the columns they need.
     """
-    featured = with_features(log, slice_seconds=settings.window_slice_seconds)
+    featured = with_features(
+        log, slice_seconds=settings.window_slice_seconds, busy_rows=settings.busy_rows
+    )
     events = stored(score(featured), "events")
     return Processed(
         events,

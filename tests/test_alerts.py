@@ -10,7 +10,7 @@ from palisade.operators.alerts import alert_candidates, cooldown, fire_alerts, l
 from samples import START, expected_fires
 
 FIELDS = "id bigint, ts timestamp_ntz, source_ip string, alert_type string"
-MINUTE_SLICES = Settings(fold_slice_seconds=60)
+MINUTE_SLICES = Settings(cooldown_slice_seconds=60)
 
 
 def fired(spark, rows, **options):
@@ -38,9 +38,9 @@ def test_ties_fire_the_lowest_id(spark):
     assert fired(spark, rows) == {3}
 
 
-@pytest.mark.parametrize("fold_slice_seconds", [60, 600, 3600])
+@pytest.mark.parametrize("cooldown_slice_seconds", [60, 600, 3600])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_matches_one_by_one(spark, seed, fold_slice_seconds):
+def test_matches_one_by_one(spark, seed, cooldown_slice_seconds):
     draw = random.Random(seed)
     rows = [
         (
@@ -51,7 +51,7 @@ def test_matches_one_by_one(spark, seed, fold_slice_seconds):
         )
         for nth in range(1500)
     ]
-    options = Settings(fold_slice_seconds=fold_slice_seconds)
+    options = Settings(cooldown_slice_seconds=cooldown_slice_seconds)
     assert fired(spark, rows, settings=options) == expected_fires(rows)
 
 

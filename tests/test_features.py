@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from palisade.operators.busy import busy_addresses, busy_counts
 from palisade.operators.features import event_defaults, sliding_counts, with_features
 from palisade.operators.scoring import hybrid
 from palisade.schemas import FEATURE_NAMES
@@ -27,6 +28,22 @@ def test_counts_match_a_direct_count(spark, seed, slice_seconds):
     assert found == expected_counts(log)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_counts_in_single_seconds_match_a_direct_count(spark, seed):
+    log = random_log(seed, seconds=700)
+    assert as_dict(busy_counts(spark.createDataFrame(log, LOG_FIELDS))) == expected_counts(log)
+
+
+def test_busy_addresses_are_split_further(spark):
+    log = random_log(4)
+    frame = spark.createDataFrame(log, LOG_FIELDS)
+    busy = {row[0] for row in busy_addresses(frame, "ts", 900, 60).collect()}
+    assert busy == {"10.0.0.1"}
+    result = sliding_counts(frame, busy_rows=60)
+    assert as_dict(result) == expected_counts(log)
+    assert result.columns == sliding_counts(frame).columns
+
+
 def test_frames_are_closed_at_both_ends(spark):
     times = [0, 5, 60, 300, 300.000001]
     log = [
