@@ -6,7 +6,7 @@ page), ids and counts with delta encoding, row groups and pages of a set size, a
 that a filter on ``doc_id`` opens a few pages and metadata is read without touching tokens.
 ``read`` goes over the files again: offsets come from sums per file and a running sum inside a file.
 
-Words that a blank separates never share a token in this vocabulary, so each worker keeps the ids of
+Words that a blank or line feed separates never share a token in this vocabulary, so each worker keeps the ids of
 words it has met. A new word of plain letters and marks goes to the library's model in the two parts
 that the vocabulary's splitter makes of it, any other word to the library's ``encode``; a text that
 holds a special token's string goes there whole.
@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -56,6 +57,25 @@ _TOKENS = pa.schema(
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%$#&*|]*)")
 
 
+class _Memory(dict):
+    """A dictionary that makes what it doesn't hold, and starts anew when it is full."""
+
+    def __init__(self, make, kept: int) -> None:
+        super().__init__()
+        self.make, self.kept = make, kept
+
+    def __missing__(self, key: str) -> bytes:
+        made = self.make(key)
+        if len(self) >= self.kept:
+            self.clear()
+        self[key] = made
+        return made
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 @lru_cache(maxsize=1)
 def _encoder(path: str, kept: int = KEPT_WORDS):
     """The worker's encoder; it outlives a task, so words are met once per worker."""
@@ -66,50 +86,33 @@ def _encoder(path: str, kept: int = KEPT_WORDS):
     tokenizer = Tokenizer.from_file(path)
     model, to_bytes = tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    known: dict[str, bytes] = {}
-    parts: dict[str, bytes] = {"": b""}
+    end = _packed([END_ID])
 
-    def packed(ids: list[int]) -> bytes:
-        return np.array(ids, "<i4").tobytes()
-
-    end = packed([END_ID])
+    def library(text: str) -> bytes:
+        return _packed(tokenizer.encode(text, add_special_tokens=False).ids)
 
     def part(text: str) -> bytes:
         """Ids of one piece that the vocabulary's splitter would hand to the model."""
-        ids = parts.get(text)
-        if ids is None:
-            if len(parts) >= kept:
-                parts.clear()
-                parts[""] = b""
-            shown = text if text.isascii() else to_bytes.pre_tokenize_str(text)[0][0]
-            ids = parts[text] = packed([token.id for token in model.tokenize(shown)])
-        return ids
+        shown = text if text.isascii() else to_bytes.pre_tokenize_str(text)[0][0]
+        return _packed([token.id for token in model.tokenize(shown)])
 
     def word(text: str) -> bytes:
         plain = _PLAIN.fullmatch(text)
-        if plain:
-            letters, marks = plain.groups()
-            return part(letters.lower()) + part(marks)
-        return packed(tokenizer.encode(text, add_special_tokens=False).ids)
+        if not plain:
+            return library(text)
+        letters, marks = plain.groups()
+        return parts[letters.lower()] + parts[marks] if marks else parts[letters.lower()]
+
+    parts, known = _Memory(part, kept), _Memory(word, kept)
 
     def encode(texts: list[str]) -> list[bytes]:
         """Ids of each text, four bytes each."""
-        out = []
-        for text in texts:
-            if any(s in text for s in special):
-                out.append(packed(tokenizer.encode(text, add_special_tokens=False).ids) + end)
-                continue
-            words = text.split(" ")
-            try:
-                ids = b"".join(map(known.__getitem__, words))
-            except KeyError:
-                if len(known) + len(words) > kept:
-                    known.clear()
-                for one in set(words).difference(known):
-                    known[one] = word(one)
-                ids = b"".join(map(known.__getitem__, words))
-            out.append(ids + end)
-        return out
+        return [
+            library(text) + end
+            if any(s in text for s in special)
+            else b"".join(map(known.__getitem__, text.replace("\n", " ").split(" "))) + end
+            for text in texts
+        ]
 
     return encode
 
