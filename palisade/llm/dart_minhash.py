@@ -8,10 +8,11 @@ The cost is the number of runs plus the number of darts, not their product: rank
 to the point where enough darts are expected, and further only while a coordinate is empty.
 
 Candidates share a band of coordinates. They are compared exactly, on all runs (as 32-bit hashes).
-Texts with equal word sequences are one node from the start. Within a band's bucket only members in
-different components are compared: with the first member, then with the next two, four, ...; no
-pair of a bucket is left out unless both are already connected, and a group of copies costs a few
-comparisons per member instead of all pairs.
+Texts with equal word sequences are one node from the start. Within a band's bucket every member is
+compared with two others, one after the other; that joins nearly all of what belongs together. Where
+a bucket still has members of several components, those outside the largest are compared with all
+others, in blocks. So no pair of a bucket is left out unless both are already connected, and a group
+of copies costs a few comparisons per member instead of all pairs.
 
 Words are runs of letters and digits in lower case. A text with fewer than five words is one run.
 Defined cases: null and wordless texts are equal to each other, so they are one class; rows with a
@@ -26,7 +27,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.llm.common import BASE, MIX, codes_of, letter_hashes, powers, segment_hashes, slices
@@ -42,6 +44,8 @@ DARTS = COORDINATES * (np.log(COORDINATES) + 2)
 SLICE_BYTES = 1_000_000
 #: Ids of documents to compare are sent to all tasks up to so many; beyond, texts are joined by id.
 BROADCAST_IDS = 1_000_000
+#: Sides of a block in which a bucket's outsiders are compared with its members.
+OUTSIDERS, MEMBERS = 256, 2_048
 #: Bits of a rank's fraction; the rest is its whole part.
 _FRACTION = 40
 #: Chances of at most 0, 1, 2, ... darts where one is expected.
@@ -208,9 +212,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     in_bucket = Window.partitionBy("band").orderBy("node")
     buckets = stored(
         nodes.where("n > 0 and rep is not null").select("node", "n", F.explode("bands").alias("band"))
-        .withColumn("place", F.row_number().over(in_bucket))
-        .withColumn("more", F.lead("node").over(in_bucket).isNotNull())
-        .where("more or place > 1").drop("more"),
+        .withColumn("more", F.lead("node").over(in_bucket).isNotNull() | F.lag("node").over(in_bucket).isNotNull())
+        .where("more").drop("more"),
         "dart-buckets",
     )
     bags = _candidate_bags(docs, nodes, buckets)
@@ -246,39 +249,104 @@ def _candidate_bags(docs: DataFrame, nodes: DataFrame, buckets: DataFrame) -> Da
 
 def _linked(buckets: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     """``node, root`` of all nodes that are linked to another."""
-    first = Window.partitionBy("band").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    pairs = (
-        buckets.withColumn("lead", F.first("node").over(first))
-        .withColumn("lead_n", F.first("n").over(first)).where("place > 1")
-        .select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("lead_n").alias("an"), F.col("n").alias("bn"))
+    roots = None
+    # Two stars per bucket, around its first and its last member, join most of what belongs together.
+    for order in (F.asc("mixed"), F.desc("mixed")):
+        mixed = buckets.withColumn("mixed", F.xxhash64("node", "band"))
+        member = Window.partitionBy("band").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        if roots is not None:
+            mixed = _unsettled(mixed, roots)
+        pairs = mixed.select(
+            F.first("node").over(member).alias("a"), F.first("n").over(member).alias("an"),
+            F.col("node").alias("b"), F.col("n").alias("bn"),
+            *([F.first("root").over(member).alias("ar"), F.col("root").alias("br")] if roots is not None else []),
+        ).where("a <> b" if roots is None else "a <> b and ar <> br").drop("ar", "br")
+        roots = _merged(roots, _similar(pairs, bags, similarity))
+    return _merged(roots, _settled(_unsettled(buckets, roots), bags, similarity))
+
+
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    if roots is None:
+        return components(links, "dart-components")
+    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    links = stored(links, "dart-links")
+    return roots if links.isEmpty() else components(known.unionByName(links), "dart-components")
+
+
+def _unsettled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Buckets whose members are in several components, with each member's ``root``."""
+    placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return placed.join(several.where("low <> high").select("band"), "band")
+
+
+def _settled(buckets: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """Links between members of a bucket that are in different components.
+
+    Of two such members one at least is outside the bucket's largest component. So the outsiders are
+    compared with all members, in a grid of blocks of both.
+    """
+    buckets = stored(buckets.select("band", "node", "root"), "dart-unsettled")
+    sizes = buckets.groupBy("band", "root").agg(F.count(F.lit(1)).alias("rows"))
+    largest = sizes.groupBy("band").agg(
+        F.max_by("root", F.struct("rows", "root")).alias("largest"), F.max("rows").alias("most"),
+        F.sum("rows").alias("rows"),
+    ).select(
+        "band", "largest",
+        F.ceil((F.col("rows") - F.col("most")) / OUTSIDERS).cast("long").alias("out_blocks"),
+        F.ceil(F.col("rows") / MEMBERS).cast("long").alias("blocks"),
     )
-    roots = components(_similar(pairs, bags, similarity), "dart-components")
-    leaders = 2
-    while True:
-        placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = (
-            placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"),
-                                       F.max("place").alias("size"))
-            .where((F.col("low") != F.col("high")) & (F.col("size") > leaders)).select("band")
-        )
-        # Buckets whose members are in one component, or all of whose pairs are settled, are done.
-        buckets = stored(placed.drop("root").join(mixed, "band"), "dart-buckets")
-        if buckets.isEmpty():
-            return roots
-        placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        lead = placed.where(F.col("place").between(leaders, 2 * leaders - 1))
-        lead = lead.select("band", F.col("node").alias("a"), F.col("n").alias("an"),
-                           F.col("place").alias("lead"), F.col("root").alias("lead_root"))
-        pairs = (
-            placed.join(lead, "band").where("place > lead and root <> lead_root")
-            .select("a", F.col("node").alias("b"), "an", F.col("n").alias("bn"), "lead_root", "root")
-        )
-        found = _similar(pairs, bags, similarity)
-        both = stored(
-            roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found), "dart-links"
-        )
-        roots = components(both, "dart-components")
-        leaders *= 2
+    full = stored(buckets.join(largest, "band").join(bags, "node"), "dart-unsettled-bags")
+
+    def all_of(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+
+    spread = F.xxhash64("node", F.lit(1))
+    outside = (
+        full.where("root <> largest")
+        .withColumn("out_block", F.pmod(spread, F.col("out_blocks"))).withColumn("block", all_of("blocks"))
+    )
+    inside = (
+        full.withColumn("block", F.pmod(spread, F.col("blocks"))).withColumn("out_block", all_of("out_blocks"))
+    )
+    keys, values = ["band", "out_block", "block"], ["node", "root", "bag"]
+    return (
+        outside.select(*keys, *values).groupBy(*keys)
+        .cogroup(inside.select(*keys, *values).groupBy(*keys))
+        .applyInArrow(_compare(similarity), "a long, b long").distinct()
+    )
+
+
+def _compare(similarity: float):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Each row of left with all rows of right; one link per component of right will do."""
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        bags = right["bag"].combine_chunks()
+        sizes = pc.list_value_length(bags).to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        kinds, flat = np.unique(bags.flatten().to_numpy(), return_inverse=True)
+        node, root = right["node"].to_numpy(), right["root"].to_numpy()
+        marked = np.zeros(len(kinds) + 1, np.int32)
+        a, b = [], []
+        rows = zip(left["node"].to_numpy(), left["root"].to_numpy(), left["bag"].combine_chunks())
+        for own, own_root, bag in rows:
+            bag = bag.values.to_numpy()
+            at = np.searchsorted(kinds, bag)
+            at = at[(at < len(kinds)) & (kinds[np.minimum(at, len(kinds) - 1)] == bag)]
+            marked[at] = 1
+            common = np.add.reduceat(marked[flat], starts)
+            marked[at] = 0
+            ok = (common >= similarity * (len(bag) + sizes - common)) & (root != own_root)
+            hits = np.flatnonzero(ok)
+            hits = hits[np.unique(root[hits], return_index=True)[1]]
+            a.append(np.full(len(hits), own))
+            b.append(node[hits])
+        return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=schema)
+
+    return compare
 
 
 def _similar(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
