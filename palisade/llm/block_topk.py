@@ -45,7 +45,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if largest < 1 << 63:
         return a @ b.T
     whole = a.astype(object) @ b.astype(object).T
-    return np.clip(whole, _LOW, _HIGH).astype(np.int64)
+    return np.clip(whole, _LOW + 1, _HIGH).astype(np.int64)
 
 
 def _whole(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:

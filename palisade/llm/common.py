@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: An odd multiplier, its inverse modulo 2**64, and a second multiplier.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -34,6 +35,11 @@ def free_name(columns: list[str], wanted: str) -> str:
     return wanted
 
 
+def with_fields(docs: DataFrame, **fields: T.DataType) -> T.StructType:
+    """The schema of ``docs`` with more fields, which may be null."""
+    return T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in fields.items())])
+
+
 def slices(texts: pa.Array, size: int, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``size`` bytes each and of ``rows`` rows at most."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))

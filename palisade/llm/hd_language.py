@@ -25,10 +25,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from palisade.llm.common import codes_of, slices
+from palisade.llm.common import codes_of, slices, with_fields
 
 #: Components of a vector, letters per run, and seed of the letters' vectors.
 DIMENSION, RUN, SEED = 1024, 3, 20_240_117
@@ -65,7 +66,8 @@ def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     letters = _alphabet()[codes].astype(np.int32)
     doc = np.repeat(np.arange(len(texts)), size)
     keep = np.ones(len(letters), bool)
-    keep[1:] = (letters[1:] > 0) | (letters[:-1] > 0)  # one edge between words
+    # One edge between words, and one on either side of a text.
+    keep[1:] = (letters[1:] > 0) | (letters[:-1] > 0) | (doc[1:] != doc[:-1])
     letters, doc = letters[keep], doc[keep]
     runs = letters[:-2] << 16 | letters[1:-1] << 8 | letters[2:]
     whole = (letters[1:-1] > 0) & (doc[:-2] == doc[2:])
@@ -148,9 +150,5 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
                 columns = [*part.columns, pa.array(found, pa.string()), pa.array(score, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *made])
 
-    schema = docs.select("*", F.lit("").alias(made[0]), F.lit(0.0).alias(made[1])).schema
+    schema = with_fields(docs, lang_pred=T.StringType(), score=T.DoubleType())
     return docs.mapInArrow(run, schema)
-
-
-def training(held_out: Column) -> Column:
-    return ~F.coalesce(held_out, F.lit(False))

@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from palisade.llm.common import free_name
+from palisade.llm.common import free_name, with_fields
 
 # Fixed values of HTML: kinds of elements, and names that mark a region.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -463,5 +464,5 @@ def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
                 names=[*own, *made],
             )
 
-    schema = pages.select("*", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
+    schema = with_fields(pages, text=T.StringType(), n_chars=T.LongType())
     return joined.select(*own, host, reference, template).mapInArrow(run, schema)

@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from palisade.llm.common import codes_of, segment_hashes, slices
+from palisade.llm.common import codes_of, segment_hashes, slices, with_fields
 
 #: Rows of each side that the fit uses at most.
 FIT_ROWS = 12_000
@@ -196,7 +197,7 @@ def _described(docs: DataFrame) -> DataFrame:
                     [*columns, features], names=[*(part.schema.names[i] for i in kept), "features"]
                 )
 
-    schema = docs.drop("text").select("*", F.array(F.lit(0.0).cast("float")).alias("features")).schema
+    schema = with_fields(docs.drop("text"), features=T.ArrayType(T.FloatType()))
     return docs.mapInArrow(run, schema)
 
 
@@ -250,5 +251,5 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                     names=[*part.schema.names, *made],
                 )
 
-    schema = docs.select("*", F.lit(0.0).alias(made[0]), F.lit(0).alias(made[1])).schema
+    schema = with_fields(docs, score=T.DoubleType(), predicted=T.IntegerType())
     return docs.mapInArrow(run, schema)

@@ -36,8 +36,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from palisade.llm.common import BASE, letter_hashes, powers, segment_hashes, slices
+from palisade.llm.common import BASE, letter_hashes, powers, segment_hashes, slices, with_fields
 
 #: Fixed values of the format: the mark for a blank, kinds of pieces and of models.
 BLANK = "▁"
@@ -411,7 +412,7 @@ def encode(
                 ids = encoder.texts(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, to])
 
-    return docs.mapInArrow(run, docs.select("*", F.array(F.lit(0)).alias(to)).schema)
+    return docs.mapInArrow(run, with_fields(docs, **{to: T.ArrayType(T.IntegerType())}))
 
 
 def decode(docs: DataFrame, pieces: Pieces, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -437,7 +438,7 @@ def decode(docs: DataFrame, pieces: Pieces, ids: str = "ids", to: str = "decoded
             text = pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), text)
             yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, to])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit("").alias(to)).schema)
+    return docs.mapInArrow(run, with_fields(docs, **{to: T.StringType()}))
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
