@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.functions.scoring import UNFITTED_SCORE, error_score
+from palisade.operators.quantiles import percentile
+from palisade.session import stored
 from palisade.sources.tables import latest_version, read_snapshot, write_snapshot
 
 # Fixed values.
@@ -32,15 +34,12 @@ ADAM = (0.9, 0.999, 1e-8)
 
 _SHAPES = [(a, b) for a, b in zip(LAYERS[:-1], LAYERS[1:])]
 WEIGHTS = sum(a * b + b for a, b in _SHAPES)
-_EXACT_PERCENTILE_ROWS = 1_000_000
 MODEL_SCHEMA = "position int, weight double, shift double, scale double, threshold double"
 
 
-def error_threshold(error: str, rows: int = 0) -> Column:
-    """Aggregate: 95th percentile of the errors, interpolated; approximate for large tables."""
-    if rows > _EXACT_PERCENTILE_ROWS:
-        return F.percentile_approx(error, THRESHOLD_PERCENTILE, 1_000_000)
-    return F.percentile(error, THRESHOLD_PERCENTILE)
+def error_threshold(rows: DataFrame, error: Column | str) -> float | None:
+    """95th percentile of the errors, interpolated."""
+    return percentile(rows, error, THRESHOLD_PERCENTILE)
 
 
 def _layers(weights: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -172,9 +171,8 @@ class Autoencoder:
                 raise ValueError("no training rows")
             state = averaged.sort_values("position")["value"].to_numpy()
         fitted = cls(state[:WEIGHTS], shift, scale)
-        errors = features.select(fitted.error(F.col("features")).alias("error"))
-        total = features.count()
-        threshold = errors.agg(error_threshold("error", total)).first()[0]
+        errors = stored(features.select(fitted.error(F.col("features")).alias("error")), "errors")
+        threshold = error_threshold(errors, "error")
         return cls(fitted.weights, shift, scale, float(threshold))
 
     def error(self, features: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisade.operators.scoring import minmax_scores
+from palisade.operators.quantiles import percentile
 from palisade.session import stored
 from palisade.sources.tables import latest_version, read_snapshot, write_snapshot
 
@@ -30,7 +31,6 @@ NODE_SCHEMA = (
     "path_length double"
 )
 MODEL_SCHEMA = f"{NODE_SCHEMA}, sample_size int, offset double"
-_EXACT_PERCENTILE_ROWS = 1_000_000
 _UNIT = float(2**53)
 
 
@@ -135,12 +135,8 @@ class IsolationForest:
             .toPandas()  # at most trees * (2 * 256 - 1) short rows
         )
         forest = cls._from_nodes(nodes, size, 0.0)
-        scored = rows.select(forest.decision(F.col("features")).alias("score"))
-        if total <= _EXACT_PERCENTILE_ROWS:
-            cut = F.percentile("score", contamination)
-        else:
-            cut = F.percentile_approx("score", contamination, 1_000_000)
-        return cls._from_nodes(nodes, size, float(scored.agg(cut).first()[0]))
+        scored = stored(rows.select(forest.decision(F.col("features")).alias("score")), "scores")
+        return cls._from_nodes(nodes, size, percentile(scored, "score", contamination))
 
     @classmethod
     def _from_nodes(cls, nodes: pd.DataFrame, size: int, offset: float) -> IsolationForest:

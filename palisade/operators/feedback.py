@@ -19,10 +19,7 @@ def feedback_count(events: DataFrame, minimum: int = MIN_FEEDBACK) -> DataFrame:
     ).withColumn("enough", F.col("feedback_events") >= minimum)
 
 
-def training_rows(events: DataFrame, limit: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """Events that are normal or not labelled, lowest ids first."""
-    return (
-        events.where(F.col("label").isNull() | (F.col("label") == "normal"))
-        .orderBy("id")
-        .limit(limit)
-    )
+def training_rows(events: DataFrame, limit: int | None = None) -> DataFrame:
+    """Events that are normal or not labelled; with a limit, so many with the lowest ids."""
+    rows = events.where(F.col("label").isNull() | (F.col("label") == "normal"))
+    return rows if limit is None else rows.orderBy("id").limit(limit)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from palisade.config import DEFAULTS, Settings
 from palisade.functions.scoring import reputation_tag
 from palisade.functions.time import epoch_micros, time_slice
+from palisade.schemas import IP_TAGS
 
 
 def _decay(events: Column, settings: Settings) -> Column:
@@ -149,11 +150,14 @@ def reputation_lookup(table: DataFrame, ip: str) -> DataFrame:
 def override_tags(table: DataFrame, overrides: DataFrame) -> DataFrame:
     """Applies the latest override (ip, tag, override_ts) of each address.
 
+    Overrides with a tag of no known kind don't count; of several at one time the greatest tag holds.
     An override holds until the address's next event. Overrides of unknown addresses have no
     row to apply to; see :func:`unknown_overrides`.
     """
-    latest = overrides.groupBy("ip").agg(
-        F.max_by("tag", "override_ts").alias("_tag"), F.max("override_ts").alias("_at")
+    latest = (
+        overrides.where(F.col("tag").isin(IP_TAGS) & F.col("override_ts").isNotNull())
+        .groupBy("ip").agg(F.max(F.struct("override_ts", "tag")).alias("_last"))
+        .select("ip", F.col("_last.tag").alias("_tag"), F.col("_last.override_ts").alias("_at"))
     )
     holds = F.col("_at") >= F.col("last_seen")
     return table.join(latest, "ip", "left").select(

@@ -21,6 +21,11 @@ def check_page(skip: int, limit: int) -> None:
         raise ValueError(f"limit must be between 1 and {MAX_LIMIT}")
 
 
+def page_accepted(skip: Column, limit: Column) -> Column:
+    """:func:`check_page` for columns."""
+    return (skip >= 0) & limit.between(1, MAX_LIMIT)
+
+
 def _newest(table: DataFrame, skip: int, limit: int) -> DataFrame:
     # The id only makes the order of rows with equal times repeatable.
     return table.orderBy(F.desc("created_at"), "id").offset(skip).limit(limit)

@@ -14,6 +14,7 @@ from palisade.operators import alerts as alert_ops
 from palisade.operators import dashboard, features, feedback, reputation, tables
 from palisade.operators import scoring as score_ops
 from palisade.operators.parse import accepted, parse_log, quarantined
+from palisade.operators.quantiles import percentile
 from palisade.plans import access_log as source
 from palisade.plans.oracles import (
     LABEL_FEED,
@@ -366,8 +367,8 @@ def iforest_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ae_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palisade.models.autoencoder import error_threshold
 
-    values = source.table(spark, sf_dir, "events")
-    return values.agg(F.round(error_threshold("value"), 6).alias("threshold"))
+    threshold = error_threshold(source.table(spark, sf_dir, "events"), "value")
+    return spark.range(1).select(F.round(F.lit(threshold).cast("double"), 6).alias("threshold"))
 
 
 @query(
@@ -380,7 +381,7 @@ def ae_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palisade.models.autoencoder import error_threshold
 
     values = source.table(spark, sf_dir, "events")
-    threshold = values.agg(error_threshold("value").alias("threshold")).scalar()
+    threshold = F.lit(error_threshold(values, "value")).cast("double")
     return values.select(
         F.col("event_id").alias("id"),
         F.round(scoring.error_score(F.col("value"), threshold), 6).alias("score"),
@@ -554,7 +555,8 @@ def tag_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reputation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first half of the time range as a known table, the second half merged into it."""
     scored = _scored(spark, sf_dir)
-    middle = source.access_log(spark, sf_dir).agg(F.median(epoch_micros(F.col("ts")))).scalar()
+    log = source.access_log(spark, sf_dir)
+    middle = F.lit(percentile(log, epoch_micros(F.col("ts")), 0.5)).cast("double")
     early = epoch_micros(F.col("ts")) < middle
     known = reputation.reputation(scored.where(early))
     later = reputation.summarise_events(scored.where(~early))
@@ -563,6 +565,19 @@ def reputation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "page_bounds",
+    """SELECT event_id AS id, event_id % 7 - 2 >= 0 AND user_id * 3 - 9 BETWEEN 1 AND 200 AS accepted
+       FROM events""",
+)
+def page_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages may be asked for, with skips and limits from the table's numbers."""
+    return source.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"),
+        tables.page_accepted(F.col("event_id") % 7 - 2, F.col("user_id") * 3 - 9).alias("accepted"),
+    )
+
+
 # --- listing, counting, updates ------------------------------------------------------------
 
 _EVENT_COLUMNS = ["id", "ts", "source_ip", "path", "status_code", "attack_type"]
@@ -918,7 +933,8 @@ def feedback_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feedback.training_rows(_labelled(spark, sf_dir)).select("id", "label")
+    labelled = _labelled(spark, sf_dir)
+    return feedback.training_rows(labelled, feedback.MAX_TRAINING_ROWS).select("id", "label")
 
 
 # --- payloads and capture ------------------------------------------------------------------

@@ -33,15 +33,10 @@ from palisade.sources.raw import raw_stream, with_arrival
 from palisade.streaming.features import features_stream
 from palisade.streaming.flow import Flow
 
-STREAM_TIMEOUT = 600
-# Trained in the registered queries; the training job's own default is higher.
-EPOCHS = 5
-
 
 def _finish(running) -> None:
     try:
-        if not running.awaitTermination(STREAM_TIMEOUT):
-            raise TimeoutError("the stream did not finish")
+        running.awaitTermination()
     finally:
         running.stop()
 
@@ -168,11 +163,27 @@ _REPUTATION_SQL = sql(
 )
 
 
-@query("score_log", _EVENTS_SQL)
+@query(
+    "score_log",
+    sql(
+        "all",
+        """SELECT s.id, s.ts, s.source_ip, s.method, s.path, s.status_code,
+          round(s.anomaly_score, 6) AS anomaly_score, s.attack_type,
+          a.event_id IS NOT NULL AS fired, t.tag
+        FROM scored s LEFT JOIN alerts a ON a.event_id = s.id LEFT JOIN tagged t ON t.ip = s.source_ip""",
+    ),
+)
 def score_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole job over the table: features, scores, stored events, alerts, reputation."""
+    """The whole job over the table: every event with its score, whether it fired an alert, and the
+    tag of its address."""
     done = process_log(source.access_log(spark, sf_dir), lambda f: hybrid(f, F.col("ml_score")))
-    return _rounded(done.events.select(*_EVENT_COLUMNS), "anomaly_score")
+    fired = done.alerts.select(F.col("event_id").alias("id"), F.lit(True).alias("fired"))
+    tags = done.reputation.select(F.col("ip").alias("source_ip"), "tag")
+    events = (
+        done.events.select(*_EVENT_COLUMNS).join(fired, "id", "left").join(tags, "source_ip", "left")
+        .select(*_EVENT_COLUMNS, F.coalesce("fired", F.lit(False)).alias("fired"), "tag")
+    )
+    return _rounded(events, "anomaly_score")
 
 
 @query("events_sink", _EVENTS_SQL)
@@ -240,7 +251,7 @@ def iforest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("autoencoder_fit")
 def autoencoder_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_folder(spark, "autoencoder")
-    model = Autoencoder.fit(_training_table(spark, sf_dir), epochs=EPOCHS)
+    model = Autoencoder.fit(_training_table(spark, sf_dir))
     model.save(spark, root, 1)
     return spark.read.parquet(f"{root}/v=1")
 
@@ -249,7 +260,7 @@ def autoencoder_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def train_models_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both models trained, saved, loaded again and applied to the whole log."""
     root = work_folder(spark, "models")
-    train_models(_training_table(spark, sf_dir), root, EPOCHS)
+    train_models(_training_table(spark, sf_dir), root)
     return load_models(spark, root).score(_featured(spark, sf_dir)).select(
         "id", "anomaly_score", "attack_type"
     )
@@ -262,7 +273,7 @@ def train_models_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest difference between scores of fitted and of reloaded models; all zero."""
     root = work_folder(spark, "models")
-    fitted = train_models(_training_table(spark, sf_dir), root, EPOCHS)
+    fitted = train_models(_training_table(spark, sf_dir), root)
     loaded = load_models(spark, root)
     vector = F.col("features")
     return _featured(spark, sf_dir).select(
@@ -293,7 +304,7 @@ def retrain_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         label_events(featured, _label_feed(spark, sf_dir)).select("id", "features", "label"),
         "events",
     )
-    outcomes = [retrain(events, root, epochs=1) for _ in range(2)]
+    outcomes = [retrain(events, root) for _ in range(2)]
     return spark.createDataFrame(outcomes, "trained boolean, version int")
 
 
@@ -303,7 +314,7 @@ def model_hot_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_folder(spark, "models")
     featured = stored(_featured(spark, sf_dir), "features")
     before = load_models(spark, root)
-    train_models(_training_table(spark, sf_dir), root, epochs=1)
+    train_models(_training_table(spark, sf_dir), root)
     after = load_models(spark, root, before)
     parts = [
         models.score(featured, mode="autoencoder")

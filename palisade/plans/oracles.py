@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+# Fixed values in what follows: addresses, paths and status codes of the derived log, thresholds,
+# keywords, names of alert and attack types, and message formats.
+
 LOG = """
 blocks AS (
   SELECT *, event_id // 400 AS blk, (event_id // 400) % 4 AS kind FROM events),

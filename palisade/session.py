@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,17 +26,10 @@ def get_session(app_name: str = "palisade", master: str | None = None, **conf: s
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below the cluster's shared checkpoint folder.
-
-    Only a local session without ``spark.checkpoint.dir`` gets a temporary folder; on a cluster
-    the executors could not see it, so there the setting is required.
-    """
+    """A fresh path below the shared folder that ``spark.checkpoint.dir`` names."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="palisade-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
 
 

@@ -21,7 +21,7 @@ def capture_log(requests: DataFrame) -> DataFrame:
     is the first forwarded address when there is one, else the peer.
     """
     forwarded = F.when(F.length("x_forwarded_for") > 0, F.col("x_forwarded_for"))
-    client = F.trim(F.substring_index(forwarded, ",", 1))
+    client = F.regexp_replace(F.substring_index(forwarded, ",", 1), r"(?U)^\s+|\s+$", "")
     query = F.when(F.length("query") > 0, F.concat(F.lit("?"), "query")).otherwise("")
     path = F.concat(F.lit("/"), "path", query)
     return requests.select(
