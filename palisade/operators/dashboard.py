@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palisade.config import DEFAULTS, Settings
 from palisade.functions.scoring import alert_severity, table_band
 from palisade.functions.time import epoch_micros, time_slice
+from palisade.session import stored
 
 # Sizes of the live view.
 ROLLING_SCORES = 500
@@ -65,6 +66,11 @@ def ranked(scored: DataFrame, ts: str = "ts", settings: Settings = DEFAULTS) ->
     )
 
 
+def _needed(scored: DataFrame, ts: str) -> DataFrame:
+    """Id, time and score, stored, as ranking reads them more than once."""
+    return stored(scored.select("id", ts, "anomaly_score"), "live-scores")
+
+
 def rolling_avg_score(
     scored: DataFrame, ts: str = "ts", rows: int = ROLLING_SCORES, settings: Settings = DEFAULTS
 ) -> DataFrame:
@@ -74,7 +80,7 @@ def rolling_avg_score(
     ``rows`` events before it, so the work spreads evenly whatever the rate.
     """
     run = max(_RANKS_PER_TASK, rows)
-    base = ranked(scored, ts, settings).select(
+    base = ranked(_needed(scored, ts), ts, settings).select(
         "id", ts, "_rank", F.coalesce("anomaly_score", F.lit(0.0)).alias("_score")
     )
     first = F.floor((F.col("_rank") - 1) / run)
@@ -115,11 +121,11 @@ def timeline(
 
     Only the events of these ticks and the ``rows`` events before them are averaged.
     """
+    scored = _needed(scored, ts)
     rates = events_per_second(scored, ts).orderBy(F.desc("tick")).limit(ticks)
     cut = rates.agg(F.min("tick").alias("cut")).scalar()
-    score = scored.select("id", ts, "anomaly_score")
-    before = score.where(F.col(ts) < cut).orderBy(F.desc(ts), F.desc("id")).limit(rows)
-    recent = score.where(F.col(ts) >= cut).unionByName(before)
+    before = scored.where(F.col(ts) < cut).orderBy(F.desc(ts), F.desc("id")).limit(rows)
+    recent = scored.where(F.col(ts) >= cut).unionByName(before)
     means = (
         rolling_avg_score(recent, ts, rows)
         .groupBy(F.window(ts, "1 second").alias("_tick"))
@@ -169,7 +175,7 @@ def alert_feed(
 
 def running_totals(scored: DataFrame, ts: str = "ts", settings: Settings = DEFAULTS) -> DataFrame:
     """Events and alerts seen so far, after each event."""
-    return ranked(scored, ts, settings).select(
+    return ranked(_needed(scored, ts), ts, settings).select(
         "id",
         ts,
         F.col("_rank").alias("events_so_far"),

@@ -791,26 +791,25 @@ def column_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", reason.alias("reject_reason"))
 
 
-def _binary_grid(scored: DataFrame) -> DataFrame:
-    """Scores in steps of 1/1024, which add up without rounding in any order."""
-    return scored.withColumn("anomaly_score", F.floor(F.col("anomaly_score") * 1024) / 1024)
-
-
 # --- live view -----------------------------------------------------------------------------
 
+# Means of few scores often lie on an exact half of the sixth place; those go up on both sides.
+_UP = 1e-9
+
 
 @query(
     "rolling_avg_score",
     sql(
         "scored",
-        """SELECT id, avg(floor(anomaly_score * 1024) / 1024) OVER (
-          ORDER BY ts, id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW) AS rolling_avg_score
+        f"""SELECT id, round({_UP} + avg(anomaly_score) OVER (
+          ORDER BY ts, id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW), 6) AS rolling_avg_score
         FROM scored""",
     ),
 )
 def rolling_avg_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dashboard.rolling_avg_score(_binary_grid(_scored(spark, sf_dir))).select(
-        "id", "rolling_avg_score"
+    mean = F.round(F.col("rolling_avg_score") + _UP, 6)
+    return dashboard.rolling_avg_score(_scored(spark, sf_dir)).select(
+        "id", mean.alias("rolling_avg_score")
     )
 
 
@@ -826,18 +825,20 @@ def events_per_second(spark: SparkSession, sf_dir: str) -> DataFrame:
     "timeline",
     sql(
         "scored",
-        """SELECT date_trunc('second', ts) AS tick, count(*) AS events,
-          max_by(mean, nth) AS avg_score
+        f"""SELECT date_trunc('second', ts) AS tick, count(*) AS events,
+          round({_UP} + max_by(mean, nth), 6) AS avg_score
         FROM means GROUP BY 1 ORDER BY 1 DESC LIMIT 60""",
         """
 means AS (
-  SELECT ts, row_number() OVER (ORDER BY ts, id) AS nth, avg(floor(anomaly_score * 1024) / 1024) OVER (
+  SELECT ts, row_number() OVER (ORDER BY ts, id) AS nth, avg(anomaly_score) OVER (
     ORDER BY ts, id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW) AS mean
   FROM scored)""",
     ),
 )
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dashboard.timeline(_binary_grid(_scored(spark, sf_dir)))
+    return dashboard.timeline(_scored(spark, sf_dir)).withColumn(
+        "avg_score", F.round(F.col("avg_score") + _UP, 6)
+    )
 
 
 @query(
