@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palisade.operators.scoring import minmax_scores
+from palisade.functions.scoring import inverted_minmax
 from palisade.operators.quantiles import percentile
+from palisade.operators.scoring import minmax_scores
 from palisade.session import stored
 from palisade.sources.tables import latest_version, read_snapshot, write_snapshot
 
@@ -30,7 +31,7 @@ NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left_child int, right_child int, "
     "path_length double"
 )
-MODEL_SCHEMA = f"{NODE_SCHEMA}, sample_size int, offset double"
+MODEL_SCHEMA = f"{NODE_SCHEMA}, sample_size int, offset double, low double, high double"
 _UNIT = float(2**53)
 
 
@@ -53,18 +54,19 @@ def tree_samples(
 ) -> DataFrame:
     """(tree, features): for each tree ``size`` rows without replacement.
 
-    Large tables are first thinned to a uniform pool of a few hundred thousand rows at most, in
-    one pass and without a shuffle; each tree then takes the pool rows with its lowest hashes.
+    Each tree takes the rows with its lowest hashes, out of all rows. About four times as many come
+    into question; the others are left out before a row is repeated for its trees.
     """
-    pool_share = min(1.0, 4.0 * trees * size / total)
-    pool = rows.where(_hash_fraction(F.lit(seed), F.col("id")) < pool_share)
-    tree_share = min(1.0, 4.0 * size / (total * pool_share))
-    drawn = pool.select(
-        "id", "features", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    ).withColumn("_draw", _hash_fraction(F.lit(seed), F.col("tree"), F.col("id")))
+    share = min(1.0, 4.0 * size / total)
+
+    def draw(tree: Column) -> Column:
+        return _hash_fraction(F.lit(seed), tree, F.col("id"))
+
+    trees_of_row = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: draw(tree) < share)
+    drawn = rows.select("id", "features", F.explode(trees_of_row).alias("tree"))
     lowest = Window.partitionBy("tree").orderBy("_draw", "id")
     return (
-        drawn.where(F.col("_draw") < tree_share)
+        drawn.withColumn("_draw", draw(F.col("tree")))
         .withColumn("_nth", F.row_number().over(lowest))
         .where(F.col("_nth") <= size)
         .select("tree", "features")
@@ -106,7 +108,8 @@ def _grow(size: int, seed: int):
 
 @dataclass(frozen=True)
 class IsolationForest:
-    """A fitted forest: node columns as (trees, nodes) arrays, and the decision offset."""
+    """A fitted forest: node columns as (trees, nodes) arrays, the decision offset, and the lowest and
+    highest decision value of a training row."""
 
     feature: np.ndarray
     threshold: np.ndarray
@@ -114,6 +117,8 @@ class IsolationForest:
     path_length: np.ndarray
     sample_size: int
     offset: float
+    low: float = 0.0
+    high: float = 0.0
 
     @classmethod
     def fit(
@@ -136,10 +141,14 @@ class IsolationForest:
         )
         forest = cls._from_nodes(nodes, size, 0.0)
         scored = stored(rows.select(forest.decision(F.col("features")).alias("score")), "scores")
-        return cls._from_nodes(nodes, size, percentile(scored, "score", contamination))
+        offset = percentile(scored, "score", contamination)
+        low, high = scored.agg(F.min("score"), F.max("score")).first()
+        return cls._from_nodes(nodes, size, offset, low - offset, high - offset)
 
     @classmethod
-    def _from_nodes(cls, nodes: pd.DataFrame, size: int, offset: float) -> IsolationForest:
+    def _from_nodes(
+        cls, nodes: pd.DataFrame, size: int, offset: float, low: float = 0.0, high: float = 0.0
+    ) -> IsolationForest:
         shape = (int(nodes["tree"].max()) + 1, int(nodes["node"].max()) + 1)
         at = (nodes["tree"].to_numpy(), nodes["node"].to_numpy())
 
@@ -156,6 +165,8 @@ class IsolationForest:
             grid("path_length", 0.0, np.float64),
             size,
             offset,
+            low,
+            high,
         )
 
     def raw_scores(self, points: np.ndarray) -> np.ndarray:
@@ -208,9 +219,17 @@ class IsolationForest:
 
         With ``scope='batch'`` the decision values are needed twice, for their range and for the
         scores, so the rows are stored with them rather than walked through the trees again.
+        ``scope='model'`` takes the range of the training rows, so a row's score depends on nothing
+        but the row and the model; values outside of the range score 0 or 1.
         """
         if scope == "row":
             return featured.withColumn("iforest_score", F.lit(1.0))
+        if scope == "model":
+            score = inverted_minmax(F.col("_decision"), F.lit(self.low), F.lit(self.high))
+            return (
+                featured.withColumn("_decision", self.decision(F.col("features")))
+                .withColumn("iforest_score", score).drop("_decision")
+            )
         decided = stored(
             featured.withColumn("_decision", self.decision(F.col("features"))), "decisions"
         )
@@ -232,6 +251,8 @@ class IsolationForest:
                 "path_length": self.path_length.ravel(),
                 "sample_size": np.int32(self.sample_size),
                 "offset": self.offset,
+                "low": self.low,
+                "high": self.high,
             }
         )
         write_snapshot(spark.createDataFrame(frame, MODEL_SCHEMA).coalesce(1), root, version)
@@ -247,4 +268,5 @@ class IsolationForest:
         schema = spark.createDataFrame([], MODEL_SCHEMA).schema
         nodes = read_snapshot(spark, root, schema, version).toPandas()
         first = nodes.iloc[0]
-        return cls._from_nodes(nodes, int(first["sample_size"]), float(first["offset"]))
+        ends = [float(first[name]) for name in ("offset", "low", "high")]
+        return cls._from_nodes(nodes, int(first["sample_size"]), *ends)

@@ -71,6 +71,18 @@ def test_row_scope_scores_one(rows, forest):
     assert forest.scores(rows, "row").agg(F.min("iforest_score")).first()[0] == 1.0
 
 
+def test_model_scope_does_not_depend_on_the_other_rows(spark, rows, forest):
+    whole = {r["id"]: r["iforest_score"] for r in forest.scores(rows, "model").collect()}
+    part = {r["id"]: r["iforest_score"] for r in forest.scores(rows.where("id % 7 = 1"), "model").collect()}
+    assert part and all(whole[key] == value for key, value in part.items())
+    by_batch = {r["id"]: r["iforest_score"] for r in forest.scores(rows).collect()}
+    assert whole == pytest.approx(by_batch, abs=1e-9)  # the training rows as one batch
+    root = work_folder(spark, "forest")
+    forest.save(spark, root, 1)
+    loaded = IsolationForest.load(spark, root)
+    assert (loaded.low, loaded.high) == (forest.low, forest.high) and loaded.low < 0 < loaded.high
+
+
 def test_fits_repeat(rows, forest):
     again = IsolationForest.fit(rows.repartition(5), trees=60)
     assert np.array_equal(again.threshold, forest.threshold) and again.offset == forest.offset
