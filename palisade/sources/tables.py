@@ -52,6 +52,12 @@ def read_batches(
     )
 
 
+def read_complete(spark: SparkSession, root: str) -> DataFrame:
+    """All complete batches, with their ``batch_id`` and the schema their files have."""
+    batches = [f"{root}/batch_id={n}" for n in _versions(spark, root, "batch_id")]
+    return spark.read.option("basePath", root).parquet(*batches)
+
+
 def read_batch(spark: SparkSession, root: str, schema: StructType, batch_id: int) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root}/batch_id={batch_id}")
 

@@ -68,7 +68,8 @@ def log_stream(messages: DataFrame, **options: bool) -> DataFrame:
 
 
 def score_with_models(featured: DataFrame, models: Models) -> DataFrame:
-    return models.score(featured)
+    """Scores by the range the model saw in training, whatever else is in the micro-batch."""
+    return models.score(featured, scope="model")
 
 
 @dataclass
@@ -109,7 +110,7 @@ class Flow:
         )
 
     def _store_events(self, batch: DataFrame, batch_id: int) -> T.StructType:
-        late = batch.where("late").select("id", "raw_log", F.lit("late").alias("reject_reason"))
+        late = batch.where("late").drop("copy", "late").withColumn("reject_reason", F.lit("late"))
         tables.write_batch(late, self.table("late"), batch_id)
         own_id = F.when(F.col("copy") == 0, F.col("id"))
         if isinstance(batch.schema["id"].dataType, T.StringType):
@@ -160,10 +161,14 @@ class Flow:
         )
 
     def events(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.table("events"))
+        return tables.read_complete(spark, self.table("events"))
+
+    def late(self, spark: SparkSession) -> DataFrame:
+        """Rows that came too late for events, with all their columns."""
+        return tables.read_complete(spark, self.table("late"))
 
     def alerts(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.table("alerts"))
+        return tables.read_complete(spark, self.table("alerts"))
 
     def reputation(self, spark: SparkSession, last: int | None = None) -> DataFrame:
         """Reputation after all, or the first ``last``, micro-batches."""

@@ -149,6 +149,33 @@ def test_late_rows_are_marked(spark, tmp_path):
     assert found == {0: False, 1: False, 2: True}
 
 
+def test_late_rows_are_stored_whole(spark, tmp_path):
+    source = str(tmp_path / "in")
+    job = Flow(str(tmp_path / "out"), score=by_ml_score)
+    for nth, minute in enumerate([30, 27, 20]):
+        row = (nth, START + dt.timedelta(minutes=minute), "1.1.1.1", "GET", f"/{nth}", 200, 0.25)
+        spark.createDataFrame([row], LOG_FIELDS).coalesce(1).write.mode("append").parquet(source)
+    stream = (
+        spark.readStream.schema(LOG_FIELDS).option("maxFilesPerTrigger", 1).parquet(source)
+        .withColumn("ingest_ts", F.localtimestamp())
+    )
+    assert job.start(stream, str(tmp_path / "c"), available_now=True).awaitTermination(300)
+    late = job.late(spark).collect()
+    assert [(row["id"], row["path"], row["ml_score"]) for row in late] == [(2, "/2", 0.25)]
+    assert late[0]["ts"] == START + dt.timedelta(minutes=20) and len(late[0]["features"]) == 12
+    assert {row["id"] for row in job.events(spark).collect()} == {0, 1}
+
+
+def test_a_half_written_batch_is_not_read(spark, log, tmp_path):
+    root = str(tmp_path / "t")
+    frame = spark.createDataFrame(log[:5], LOG_FIELDS)
+    tables.write_batch(frame, root, 0)
+    frame.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(
+        f"{root}/batch_id=1"
+    )
+    assert tables.read_complete(spark, root).count() == 5
+
+
 def test_live_figures(spark, log, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame(log, LOG_FIELDS).coalesce(1).write.parquet(source)
