@@ -21,12 +21,14 @@ from palisade.plans.catalog import (
     _featured,
     _label_feed,
     _messages,
+    _override_feed,
     _parsed_sql,
+    _resolution_feed,
     _rounded,
     query,
 )
 from palisade.plans.jobs import process_log
-from palisade.plans.oracles import LABEL_FEED, sql
+from palisade.plans.oracles import LABEL_FEED, OVERRIDE_FEED, RESOLUTION_FEED, sql
 from palisade.schemas import FEATURE_NAMES
 from palisade.session import stored, work_folder
 from palisade.sources.raw import raw_stream, with_arrival
@@ -65,6 +67,14 @@ def _run_flow(spark: SparkSession, sf_dir: str) -> Flow:
     return flow
 
 
+def _run_part(spark: SparkSession, flow: Flow, rows: DataFrame) -> None:
+    """Lets more rows arrive at the job, and waits until they are done."""
+    channel = f"{flow.root}-in"
+    rows.write.mode("append").parquet(channel)
+    arriving = with_arrival(spark.readStream.schema(rows.schema).parquet(channel))
+    _finish(flow.start(arriving, f"{flow.root}-checkpoint", available_now=True))
+
+
 # --- streams -------------------------------------------------------------------------------
 
 
@@ -222,6 +232,88 @@ def reputation_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(table, "anomaly_sum", "reputation_score")
 
 
+@query(
+    "outbox_stream",
+    sql(
+        "alerts",
+        """SELECT message AS text, severity, source_ip, round(anomaly_score, 6) AS score
+        FROM alerts a JOIN scored s ON s.id = a.event_id""",
+    ),
+)
+def outbox_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outbox = _run_flow(spark, sf_dir).outbox(spark)
+    return _rounded(outbox.select("text", "severity", "source_ip", "score"), "score")
+
+
+@query(
+    "late_events",
+    sql(
+        "feat",
+        """SELECT id, source_ip, path, id % 50 = 7 AS held,
+          CASE WHEN id % 50 = 7 THEN ip_req_count_1m END AS ip_req_count_1m,
+          CASE WHEN id % 50 = 7 THEN ip_fail_count_5m END AS ip_fail_count_5m,
+          CASE WHEN id % 50 = 7 THEN unique_paths_1m END AS unique_paths_1m,
+          CASE WHEN id % 50 = 7 THEN round(avg_status_code_1m, 6) END AS avg_status_code_1m,
+          CASE WHEN id % 50 = 7 THEN burst_rate END AS burst_rate
+        FROM feat""",
+    ),
+)
+def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows through the streaming job, every fiftieth held back until the others are done.
+
+    The rows held back find all others there, so their counts are those of the whole table.
+    """
+    flow = Flow(work_folder(spark, "flow"), score=_stand_in)
+    log, held = source.access_log(spark, sf_dir), F.col("id") % 50 == 7
+    _run_part(spark, flow, log.where(~held))
+    _run_part(spark, flow, log.where(held))
+    counts = [
+        "ip_req_count_1m", "ip_fail_count_5m", "unique_paths_1m", "avg_status_code_1m", "burst_rate",
+    ]
+    events = flow.events(spark).select(
+        "id", "source_ip", "path", held.alias("held"),
+        *[F.when(held, F.col(name)).alias(name) for name in counts],
+    )
+    return _rounded(events, "avg_status_code_1m")
+
+
+@query(
+    "analyst_loop",
+    sql(
+        "all",
+        """SELECT s.id, u.label, r.resolved, r.resolved_by, r.is_false_positive,
+          CASE WHEN o.override_ts >= t.last_seen THEN o.tag ELSE t.tag END AS tag
+        FROM scored s LEFT JOIN (
+          SELECT event_id, max_by(label, labelled_at) AS label FROM (
+            SELECT * FROM label_feed WHERE label IN ('normal', 'attack', 'false_positive')
+            UNION ALL
+            SELECT event_id, 'false_positive', resolved_at FROM resolved_alerts WHERE is_false_positive)
+          GROUP BY event_id) u ON u.event_id = s.id
+        LEFT JOIN resolved_alerts r ON r.event_id = s.id AND r.resolved
+        JOIN tagged t ON t.ip = s.source_ip
+        LEFT JOIN (
+          SELECT ip, max(override_ts) AS override_ts, max_by(tag, override_ts) AS tag
+          FROM overrides WHERE tag <> 'friendly' GROUP BY ip) o ON o.ip = s.source_ip""",
+        LABEL_FEED, RESOLUTION_FEED, OVERRIDE_FEED,
+    ),
+)
+def analyst_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels, resolutions and tag overrides given to the streaming job's tables, and read back."""
+    flow = _run_flow(spark, sf_dir)
+    flow.label(_label_feed(spark, sf_dir))
+    flow.resolve(_resolution_feed(flow.alerts(spark), source.access_log(spark, sf_dir)))
+    flow.override(_override_feed(spark, sf_dir))
+    resolved = flow.alerts(spark).select(
+        F.col("event_id").alias("id"), "resolved", "resolved_by", "is_false_positive"
+    )
+    tags = flow.reputation(spark).select(F.col("ip").alias("source_ip"), "tag")
+    return (
+        flow.events(spark).select("id", "source_ip", "label")
+        .join(resolved.where("resolved"), "id", "left").join(tags, "source_ip")
+        .select("id", "label", "resolved", "resolved_by", "is_false_positive", "tag")
+    )
+
+
 # --- models --------------------------------------------------------------------------------
 
 
@@ -323,3 +415,43 @@ def model_hot_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
         for models in (before, after)
     ]
     return parts[0].unionByName(parts[1])
+
+
+@query(
+    "flow_model_swap",
+    sql(
+        "log",
+        """SELECT CASE WHEN l.id * 2 < m.last THEN 'v0' WHEN g.enough THEN 'v1' ELSE 'v0' END AS version,
+          count(*) AS events, CAST(0 AS BIGINT) AS differing
+        FROM labelled l, (SELECT max(event_id) AS last FROM events) m,
+          (SELECT count(*) >= 50 AS enough FROM labelled, (SELECT max(event_id) AS last FROM events)
+           WHERE id * 2 < last AND label IN ('normal', 'false_positive')) g
+        GROUP BY 1""",
+        LABEL_FEED,
+    ),
+)
+def flow_model_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job over the first half of the log, without models; labels and training on its own
+    events; the job over the second half, with the models it then finds. Per model version, the
+    events, and how many scores are not those of a batch job with that version."""
+    flow = Flow(work_folder(spark, "flow"), work_folder(spark, "models"))
+    log = source.access_log(spark, sf_dir)
+    early = F.col("id") * 2 < F.lit(log.agg(F.max("id")).scalar())
+    _run_part(spark, flow, log.where(early))
+    before = load_models(spark, flow.models_root)
+    flow.label(_label_feed(spark, sf_dir))
+    flow.retrain(spark)
+    _run_part(spark, flow, log.where(~early))
+    after = load_models(spark, flow.models_root)
+    featured = stored(_featured(spark, sf_dir), "features")
+    expected = [
+        models.score(featured.where(part), scope="model")
+        .select("id", F.col("anomaly_score").alias("expected"), F.lit(models.name).alias("version"))
+        for models, part in ((before, early), (after, ~early))
+    ]
+    found = flow.events(spark).select("id", "anomaly_score")
+    same = F.coalesce(F.abs(F.col("anomaly_score") - F.col("expected")) < 1e-9, F.lit(False))
+    return (
+        expected[0].unionByName(expected[1]).join(found, "id", "left").groupBy("version")
+        .agg(F.count("*").alias("events"), F.count_if(~same).alias("differing"))
+    )

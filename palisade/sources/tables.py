@@ -6,23 +6,23 @@ micro-batch leaves the same table behind. Only folders with a success marker cou
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 
+def _files(spark: SparkSession, root: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _versions(spark: SparkSession, root: str, key: str) -> list[int]:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return []
-    marker = spark._jvm.org.apache.hadoop.fs.Path
-    found = []
-    for status in files.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith(f"{key}=") and files.exists(marker(status.getPath(), "_SUCCESS")):
-            found.append(int(name.split("=", 1)[1]))
-    return sorted(found)
+    """Numbers of the complete folders, from one listing of their success markers."""
+    markers = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{key}=*/_SUCCESS")
+    found = _files(spark, root).globStatus(markers) or []
+    return sorted(int(m.getPath().getParent().getName().split("=", 1)[1]) for m in found)
 
 
 def write_batch(frame: DataFrame, root: str, batch_id: int, date_of: str | None = None) -> None:
@@ -52,12 +52,30 @@ def read_batches(
     )
 
 
-def read_complete(spark: SparkSession, root: str) -> DataFrame:
-    """All complete batches, with their ``batch_id`` and the schema their files have."""
-    batches = [f"{root}/batch_id={n}" for n in _versions(spark, root, "batch_id")]
+def read_complete(
+    spark: SparkSession, root: str, schema: StructType | None = None, last: int | None = None
+) -> DataFrame:
+    """All complete batches, with their ``batch_id`` and the schema their files have.
+
+    With ``schema``, a table without batches is an empty one.
+    """
+    wanted = [n for n in _versions(spark, root, "batch_id") if last is None or n <= last]
+    if not wanted and schema is not None:
+        return spark.createDataFrame([], schema)
+    batches = [f"{root}/batch_id={n}" for n in wanted]
     return spark.read.option("basePath", root).parquet(*batches)
 
 
+def append_updates(frame: DataFrame, root: str) -> int:
+    """Adds a batch numbered by the clock, for tables that any caller may add to.
+
+    The readers of such tables take the latest update of each row, so storing one twice does no harm.
+    """
+    number = time.time_ns()
+    frame.write.mode("errorifexists").parquet(f"{root}/batch_id={number}")
+    return number
+
+
 def read_batch(spark: SparkSession, root: str, schema: StructType, batch_id: int) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root}/batch_id={batch_id}")
 
@@ -66,6 +84,15 @@ def write_snapshot(frame: DataFrame, root: str, version: int) -> None:
     frame.write.mode("overwrite").parquet(f"{root}/v={version}")
 
 
+def prune_snapshots(spark: SparkSession, root: str, keep: int) -> None:
+    """Removes all complete snapshots but the ``keep`` newest."""
+    if keep < 2:
+        raise ValueError("a retried batch needs the snapshot before the newest")
+    files = _files(spark, root)
+    for version in _versions(spark, root, "v")[:-keep]:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v={version}"), True)
+
+
 def latest_version(spark: SparkSession, root: str, before: int | None = None) -> int | None:
     versions = [n for n in _versions(spark, root, "v") if before is None or n < before]
     return versions[-1] if versions else None

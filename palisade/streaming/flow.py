@@ -4,6 +4,9 @@ Everything after the stateful features is ordinary DataFrame code inside one ``f
 the same operators batch jobs use. All outputs of micro-batch ``n`` go to folders named after it
 and are overwritten as a whole, and state from before is read as of ``n - 1``, so a retried
 micro-batch changes nothing.
+
+Analysts add labels, resolutions and tag overrides at any time, to tables of their own. The readers
+apply them, so a running job and its stored batches are left alone.
 """
 
 from __future__ import annotations
@@ -18,9 +21,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from palisade.config import DEFAULTS, Settings
-from palisade.models.registry import Models, load_models
+from palisade.models.autoencoder import EPOCHS
+from palisade.models.registry import Models, load_models, retrain
 from palisade.operators import alerts as alert_ops
 from palisade.operators import reputation as reputation_ops
+from palisade.operators import tables as table_ops
+from palisade.operators.features import FIVE_MINUTES, with_features
 from palisade.operators.parse import accepted, parse_log, quarantined
 from palisade.schemas import (
     ALERT_SCHEMA,
@@ -29,7 +35,7 @@ from palisade.schemas import (
     REPUTATION_SCHEMA,
 )
 from palisade.sources import tables
-from palisade.sources.capture import live_feed
+from palisade.sources.capture import alert_outbox, live_feed
 from palisade.streaming.features import ALLOWED_LATENESS, features_stream
 
 STRETCH_SCHEMA = T.StructType(
@@ -45,6 +51,23 @@ STRETCH_SCHEMA = T.StructType(
     ]
 )
 
+_RESOLUTION_SCHEMA = T.StructType(
+    [
+        T.StructField("alert_id", T.StringType()),
+        T.StructField("resolved_by", T.StringType()),
+        T.StructField("resolved_at", T.TimestampNTZType()),
+        T.StructField("is_false_positive", T.BooleanType()),
+    ]
+)
+
+_OVERRIDE_SCHEMA = T.StructType(
+    [
+        T.StructField("ip", T.StringType()),
+        T.StructField("tag", T.StringType()),
+        T.StructField("override_ts", T.TimestampNTZType()),
+    ]
+)
+
 _EVENT_COLUMNS = [
     "id", "ts", "source_ip", "dest_ip", "method", "path", "status_code", "user_agent",
     "log_source", "raw_log", *FEATURE_NAMES, "features", "anomaly_score", "attack_type",
@@ -85,6 +108,7 @@ class Flow:
     score: Scorer = score_with_models
     settings: Settings = DEFAULTS
     compact_every: int = 50
+    keep_snapshots: int = 5
     _models: Models = field(default_factory=Models, repr=False)
 
     def table(self, name: str) -> str:
@@ -110,14 +134,19 @@ class Flow:
         )
 
     def _store_events(self, batch: DataFrame, batch_id: int) -> T.StructType:
-        late = batch.where("late").drop("copy", "late").withColumn("reject_reason", F.lit("late"))
-        tables.write_batch(late, self.table("late"), batch_id)
         own_id = F.when(F.col("copy") == 0, F.col("id"))
         if isinstance(batch.schema["id"].dataType, T.StringType):
             own_id = own_id.otherwise(F.concat_ws("-", "id", F.col("copy").cast("string")))
         else:
             own_id = own_id.otherwise(F.xxhash64("id", "copy", "ingest_ts"))
-        in_time = batch.where(~F.col("late")).withColumn("id", own_id)
+        named = batch.withColumn("id", own_id).drop("copy")
+        late = named.where("late").drop("late").withColumn("reject_reason", F.lit("late"))
+        tables.write_batch(late, self.table("late"), batch_id)
+        in_time = named.where(~F.col("late")).drop("late")
+        late = tables.read_batch(batch.sparkSession, self.table("late"), late.schema, batch_id)
+        if not late.isEmpty():
+            found = self._late_features(late.drop("reject_reason"), in_time, batch_id)
+            in_time = in_time.unionByName(found)
         events = self.score(in_time, self._models).select(
             *_EVENT_COLUMNS,
             F.lit(None).cast("string").alias("label"),
@@ -126,6 +155,32 @@ class Flow:
         tables.write_batch(events, self.table("events"), batch_id, date_of="ts")
         return events.schema
 
+    def _late_features(self, late: DataFrame, in_time: DataFrame, batch_id: int) -> DataFrame:
+        """Late rows with the counts their frames hold by now, most of which the stream's state has
+        let go: from the stored events of their addresses, on the days concerned, and this batch.
+
+        Events that follow a late one and have their scores already keep them.
+        """
+        spark = late.sparkSession
+        counts = [*FEATURE_NAMES, "features"]
+        plain = late.drop(*counts)
+        needed = ["id", "ts", "source_ip", "method", "path", "status_code"]
+        days = late.agg(
+            F.to_date(F.min("ts") - F.expr(f"INTERVAL {FIVE_MINUTES} SECONDS")).alias("first"),
+            F.to_date(F.max("ts")).alias("last"),
+        ).first()
+        before = tables.read_complete(
+            spark, self.table("events"), T.StructType(
+                [*(late.schema[name] for name in needed), T.StructField("day", T.DateType())]
+            ), last=batch_id - 1,
+        ).where(F.col("day").between(days["first"], days["last"]))
+        around = before.select(*needed).unionByName(in_time.select(*needed))
+        around = around.join(late.select("source_ip").distinct(), "source_ip", "left_semi")
+        together = plain.withColumn("_late", F.lit(True)).unionByName(
+            around, allowMissingColumns=True
+        )
+        return with_features(together).where("_late").select(*in_time.columns)
+
     def _store_alerts(self, events: DataFrame, batch_id: int) -> None:
         spark, root = events.sparkSession, self.table("cooldown")
         before = tables.latest_version(spark, root, before=batch_id)
@@ -139,14 +194,20 @@ class Flow:
         ).select(F.col("event_id").alias("id"))
         again = alert_ops.alert_candidates(events, self.settings).join(stored, "id", "left_semi")
         tables.write_snapshot(alert_ops.latest_fires(again, last_fires), root, batch_id)
+        tables.prune_snapshots(spark, root, self.keep_snapshots)
+        rows = tables.read_batch(spark, self.table("alerts"), self.alert_schema(events), batch_id)
+        tables.write_batch(alert_outbox(rows, events), self.table("alert_outbox"), batch_id)
 
     def _store_reputation(self, events: DataFrame, batch_id: int) -> None:
         """Appends the batch's stretches; now and then they are folded into a snapshot."""
         stretches = reputation_ops.summarise_events(events, settings=self.settings)
         tables.write_batch(stretches, self.table("stretches"), batch_id)
         if batch_id and batch_id % self.compact_every == 0:
-            table = self.reputation(events.sparkSession, last=batch_id)
+            table = self._reputation(events.sparkSession, last=batch_id)
             tables.write_snapshot(table, self.table("reputation"), batch_id)
+            tables.prune_snapshots(
+                events.sparkSession, self.table("reputation"), self.keep_snapshots
+            )
 
     # --- reading the tables ----------------------------------------------------------------
 
@@ -161,16 +222,44 @@ class Flow:
         )
 
     def events(self, spark: SparkSession) -> DataFrame:
-        return tables.read_complete(spark, self.table("events"))
+        """All events, with their newest label.
+
+        An alert resolved as a false positive labels its event as one, at the time of the resolution.
+        """
+        stored = tables.read_complete(spark, self.table("events"))
+        labels = self._updates(spark, "labels", self._label_schema(stored))
+        wrong = (
+            self._resolutions(spark)
+            .where(F.coalesce("is_false_positive", F.lit(False)))
+            .join(self._stored_alerts(spark).select(F.col("id").alias("alert_id"), "event_id"), "alert_id")
+            .select(
+                "event_id", F.lit("false_positive").alias("label"),
+                F.col("resolved_at").alias("labelled_at"),
+            )
+        )
+        return table_ops.label_events(stored, labels.unionByName(wrong))
 
     def late(self, spark: SparkSession) -> DataFrame:
-        """Rows that came too late for events, with all their columns."""
+        """Rows that came too late for the stream's counts, as they came; events has them as well."""
         return tables.read_complete(spark, self.table("late"))
 
-    def alerts(self, spark: SparkSession) -> DataFrame:
+    def _stored_alerts(self, spark: SparkSession) -> DataFrame:
         return tables.read_complete(spark, self.table("alerts"))
 
-    def reputation(self, spark: SparkSession, last: int | None = None) -> DataFrame:
+    def alerts(self, spark: SparkSession) -> DataFrame:
+        """All alerts, with their newest resolution."""
+        return table_ops.resolve_alerts(self._stored_alerts(spark), self._resolutions(spark))
+
+    def outbox(self, spark: SparkSession) -> DataFrame:
+        """Notifications for every alert that fired."""
+        return tables.read_complete(spark, self.table("alert_outbox"))
+
+    def reputation(self, spark: SparkSession) -> DataFrame:
+        """Reputation after all micro-batches, with the tag overrides that still hold."""
+        overrides = self._updates(spark, "overrides", _OVERRIDE_SCHEMA)
+        return reputation_ops.override_tags(self._reputation(spark), overrides)
+
+    def _reputation(self, spark: SparkSession, last: int | None = None) -> DataFrame:
         """Reputation after all, or the first ``last``, micro-batches."""
         root = self.table("reputation")
         version = tables.latest_version(spark, root, before=last)
@@ -182,6 +271,46 @@ class Flow:
         combined = reputation_ops.combine_stretches(stretches, "batch_id", self.settings)
         return reputation_ops.merge_reputation(known, combined, self.settings)
 
+    # --- what analysts do -------------------------------------------------------------------
+
+    def _updates(self, spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
+        return tables.read_complete(spark, self.table(name), schema).select(*schema.names)
+
+    def _resolutions(self, spark: SparkSession) -> DataFrame:
+        return self._updates(spark, "resolutions", _RESOLUTION_SCHEMA)
+
+    @staticmethod
+    def _label_schema(events: DataFrame) -> T.StructType:
+        return T.StructType(
+            [
+                T.StructField("event_id", events.schema["id"].dataType),
+                T.StructField("label", T.StringType()),
+                T.StructField("labelled_at", T.TimestampNTZType()),
+            ]
+        )
+
+    def label(self, updates: DataFrame) -> None:
+        """Adds labels (event_id, label, labelled_at); only known labels of known events count."""
+        tables.append_updates(
+            updates.select("event_id", "label", "labelled_at"), self.table("labels")
+        )
+
+    def resolve(self, updates: DataFrame) -> None:
+        """Adds resolutions (alert_id, resolved_by, resolved_at, is_false_positive)."""
+        tables.append_updates(
+            updates.select(*_RESOLUTION_SCHEMA.names), self.table("resolutions")
+        )
+
+    def override(self, updates: DataFrame) -> None:
+        """Adds tag overrides (ip, tag, override_ts), each valid until the address's next event."""
+        tables.append_updates(updates.select(*_OVERRIDE_SCHEMA.names), self.table("overrides"))
+
+    def retrain(self, spark: SparkSession, epochs: int = EPOCHS) -> tuple[bool, int | None]:
+        """Trains on the job's own labelled events; the next micro-batch scores with the result."""
+        if not self.models_root:
+            raise ValueError("the job has no folder for models")
+        return retrain(self.events(spark), self.models_root, epochs)
+
     # --- starting --------------------------------------------------------------------------
 
     def start(

@@ -163,7 +163,81 @@ def test_late_rows_are_stored_whole(spark, tmp_path):
     late = job.late(spark).collect()
     assert [(row["id"], row["path"], row["ml_score"]) for row in late] == [(2, "/2", 0.25)]
     assert late[0]["ts"] == START + dt.timedelta(minutes=20) and len(late[0]["features"]) == 12
-    assert {row["id"] for row in job.events(spark).collect()} == {0, 1}
+    assert {row["id"] for row in job.events(spark).collect()} == {0, 1, 2}
+    assert job.reputation(spark).first()["total_events"] == 3
+
+
+def test_late_rows_count_what_came_before_them(spark, tmp_path):
+    """Their frames are long gone from the stream's state."""
+    source = str(tmp_path / "in")
+    job = Flow(str(tmp_path / "out"), score=by_ml_score)
+    first = [(nth, START + dt.timedelta(seconds=nth), "1.1.1.1", "GET", f"/{nth}", 404, 0.1)
+             for nth in range(5)]
+    other = (5, START, "2.2.2.2", "GET", "/", 200, 0.1)
+    newest = (6, START + dt.timedelta(hours=2), "1.1.1.1", "GET", "/n", 200, 0.1)
+    late = [(7, START + dt.timedelta(seconds=3), "1.1.1.1", "GET", "/0", 500, 0.9),
+            (8, START + dt.timedelta(seconds=4), "1.1.1.1", "GET", "/x", 200, 0.1)]
+    for rows in ([*first, other], [newest], late):
+        spark.createDataFrame(rows, LOG_FIELDS).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(LOG_FIELDS).parquet(source).withColumn(
+            "ingest_ts", F.localtimestamp())
+        running = job.start(stream, str(tmp_path / "c"), available_now=True)
+        assert running.awaitTermination(300)
+    found = {row["id"]: row for row in job.events(spark).collect()}
+    assert set(found) == set(range(9))
+    assert (found[7]["ip_req_count_1m"], found[7]["unique_paths_1m"]) == (5, 4)
+    assert (found[8]["ip_req_count_1m"], found[8]["ip_fail_count_1m"]) == (7, 6)
+    assert found[8]["unique_paths_1m"] == 6 and len(found[8]["features"]) == 12
+    assert {row["event_id"] for row in job.alerts(spark).collect()} == {7}
+    ips = {row["ip"]: row["total_events"] for row in job.reputation(spark).collect()}
+    assert ips == {"1.1.1.1": 8, "2.2.2.2": 1}
+
+
+def test_analyst_updates_show_in_the_readers(spark, flow):
+    at = START + dt.timedelta(days=1)
+    alerts = flow.alerts(spark).orderBy("event_id").collect()
+    wrong, right = alerts[0], alerts[1]
+    free = [n for n in range(240) if n not in {row["event_id"] for row in alerts}][:3]
+    labels = [(free[0], "attack", at), (free[0], "normal", at + dt.timedelta(hours=1)),
+              (free[1], "spam", at), (9999, "normal", at),
+              (right["event_id"], "attack", at)]
+    flow.label(spark.createDataFrame(labels, "event_id bigint, label string, labelled_at timestamp_ntz"))
+    resolutions = [(wrong["id"], "ann", at, True), (right["id"], None, at, None)]
+    flow.resolve(spark.createDataFrame(
+        resolutions,
+        "alert_id string, resolved_by string, resolved_at timestamp_ntz, is_false_positive boolean"))
+    fields = "ip string, tag string, override_ts timestamp_ntz"
+    flow.override(spark.createDataFrame([("10.0.0.1", "trusted", at), ("10.0.0.2", "no", at)], fields))
+    flow.override(spark.createDataFrame([("10.0.0.1", "suspicious", at + dt.timedelta(hours=1)),
+                                         ("10.0.0.3", "blocked", START - dt.timedelta(days=1))], fields))
+    found = {row["id"]: row["label"] for row in flow.events(spark).collect()}
+    assert len(found) == 240
+    assert {number: label for number, label in found.items() if label} == {
+        free[0]: "normal", wrong["event_id"]: "false_positive", right["event_id"]: "attack",
+    }
+    after = {row["id"]: row for row in flow.alerts(spark).collect()}
+    assert after[wrong["id"]]["resolved_by"] == "ann" and after[wrong["id"]]["is_false_positive"]
+    assert after[right["id"]]["resolved_by"] == "analyst" and after[right["id"]]["resolved"]
+    assert not after[right["id"]]["is_false_positive"]
+    assert sum(row["resolved"] for row in after.values()) == 2
+    tags = {row["ip"]: row["tag"] for row in flow.reputation(spark).collect()}
+    plain = {row["ip"]: row["tag"] for row in flow._reputation(spark).collect()}
+    assert tags == plain | {"10.0.0.1": "suspicious"}
+
+
+def test_every_alert_is_in_the_outbox(spark, flow):
+    sent = sorted(row["text"] for row in flow.outbox(spark).collect())
+    assert sent and sent == sorted(row["message"] for row in flow.alerts(spark).collect())
+
+
+def test_old_snapshots_go(spark, log, tmp_path):
+    root = str(tmp_path / "s")
+    for version in range(4):
+        tables.write_snapshot(spark.createDataFrame(log[: version + 1], LOG_FIELDS), root, version)
+    tables.prune_snapshots(spark, root, 2)
+    assert tables.latest_version(spark, root) == 3
+    assert tables.latest_version(spark, root, before=3) == 2
+    assert tables.latest_version(spark, root, before=2) is None
 
 
 def test_a_half_written_batch_is_not_read(spark, log, tmp_path):
