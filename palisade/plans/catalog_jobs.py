@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.functions.time import epoch_micros
-from palisade.models.autoencoder import Autoencoder
-from palisade.models.isolation_forest import IsolationForest
+from palisade.models.autoencoder import THRESHOLD_PERCENTILE, Autoencoder
+from palisade.models.isolation_forest import CONTAMINATION, IsolationForest
 from palisade.models.registry import Models, load_models, retrain, train_models
 from palisade.operators.feedback import training_rows
 from palisade.operators.parse import accepted, parse_log
@@ -360,7 +360,8 @@ def train_models_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "model_store",
-    "SELECT 0.0::DOUBLE AS forest_difference, 0.0::DOUBLE AS autoencoder_difference",
+    """SELECT 0.0::DOUBLE AS forest_difference, 0.0::DOUBLE AS autoencoder_difference,
+      count(*) AS events FROM events""",
 )
 def model_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest difference between scores of fitted and of reloaded models; all zero."""
@@ -375,6 +376,57 @@ def model_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(
         F.max(F.abs("forest")).alias("forest_difference"),
         F.max(F.abs("autoencoder")).alias("autoencoder_difference"),
+        F.count("id").alias("events"),
+    )
+
+
+def _splits(value: Column, cut: float, share: float) -> Column:
+    """Whether ``cut`` is the interpolated percentile of the values, equal ones included."""
+    first = F.floor(F.lit(share) * (F.count(value) - 1)) + 1
+    slack = max(abs(cut), 1e-6) * 1e-6  # vectors of equal value may differ by rounding
+    return (F.count_if(value < cut - slack) <= first) & (F.count_if(value <= cut + slack) >= first)
+
+
+@query(
+    "model_properties",
+    sql(
+        "log",
+        """SELECT 'v1' AS version, CAST(200 AS BIGINT) AS trees, t.training_rows,
+          TRUE AS offset_splits, TRUE AS threshold_splits,
+          e.events, e.events AS in_range, 0.0::DOUBLE AS lowest, 1.0::DOUBLE AS highest
+        FROM (SELECT count(*) AS training_rows FROM labelled WHERE label IS NULL OR label = 'normal') t,
+          (SELECT count(*) AS events FROM access_log) e""",
+        LABEL_FEED,
+    ),
+)
+def model_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for the trained models whatever was drawn: number of trees, the share of training
+    rows on either side of the forest's offset and of the autoencoder's threshold, every event scored
+    once and within bounds, and forest scores that reach both ends."""
+    rows, root = _training_table(spark, sf_dir), work_folder(spark, "models")
+    train_models(rows, root)
+    models, vector = load_models(spark, root), F.col("features")
+    trained = rows.select(
+        models.forest.decision(vector).alias("decision"),
+        models.autoencoder.error(vector).alias("error"),
+    ).agg(
+        F.count("*").alias("training_rows"),
+        _splits(F.col("decision"), 0.0, CONTAMINATION).alias("offset_splits"),
+        _splits(F.col("error"), models.autoencoder.threshold, THRESHOLD_PERCENTILE)
+        .alias("threshold_splits"),
+    )
+    featured = stored(_featured(spark, sf_dir), "features")
+    forest = models.forest.scores(featured.select("id", "features")).select("id", "iforest_score")
+    scored = models.score(featured).select("id", "anomaly_score").join(forest, "id").agg(
+        F.count_distinct("id").alias("events"),
+        F.count_if(F.col("anomaly_score").between(0, 1)).alias("in_range"),
+        F.round(F.min("iforest_score"), 6).alias("lowest"),
+        F.round(F.max("iforest_score"), 6).alias("highest"),
+    )
+    return trained.withColumn("_one", F.lit(1)).join(scored.withColumn("_one", F.lit(1)), "_one").select(
+        F.lit(models.name).alias("version"),
+        F.lit(len(models.forest.feature)).cast("long").alias("trees"),
+        "training_rows", "offset_splits", "threshold_splits", "events", "in_range", "lowest", "highest",
     )
 
 
