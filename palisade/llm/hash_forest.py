@@ -2,14 +2,12 @@
 
 A tree gives every vector a long string of symbols: per place, a random rotation and the axis (with
 its sign) that the rotated vector is closest to. Vectors with a long common prefix are near each
-other with high chance. A query descends in every tree to its longest matching prefix, then ascends
-in all trees together, one symbol at a time, until enough candidates are found. All candidates at
-that depth are compared exactly, in double precision.
+other with high chance. A query is compared with all rows that share, in any tree, its prefix of the
+fitted depth (the floor), however many they are: this is what the fit measures.
 
-Rows are dealt by tree and the shortest prefix that queries ascend to (the floor). Within such a
-cell the strings are a sorted array in which a longer prefix is a range. A cell with more rows or
-queries than fit one task is split into a grid of row blocks and query blocks, so a hot cell is many
-tasks; each block reports, per query and depth, how many candidates it has and its nearest few.
+Rows are dealt by tree and prefix. A cell with more rows or queries than fit one task is split into
+a grid of row blocks and query blocks, so a hot cell is many tasks; each block reports its nearest
+few per query. What blocks report is compared exactly, in double precision.
 
 Number of trees and floor are fitted: a documented sample of queries is compared with all rows, and
 the cheapest setting that finds ``RECALL`` of their true neighbours is taken. If none does, the
@@ -39,8 +37,6 @@ from palisade.session import stored
 SYMBOLS, BITS, SEED = 4, 12, 99
 #: Settings from which the fit chooses, and the recall that it wants on its sample of queries.
 TREES, RECALL, SAMPLE_QUERIES = (8, 16, 24, 32, 48, 64), 0.95, 128
-#: A query ascends until it has so many candidates, repeats over trees counted.
-CANDIDATES = 4096
 #: Rows and queries of a block.
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 1_024
 
@@ -156,7 +152,7 @@ def fit(entries: DataFrame, queries: DataFrame, nearest: int) -> Setting:
 
 def _strings_of(setting: Setting):
     """A row per tree: the first column, the vector at length 1 in single precision (it only ranks
-    candidates), ``tree, cell, string``."""
+    candidates), ``tree, cell``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,11 +162,10 @@ def _strings_of(setting: Setting):
             unit = unit_rows(rows)
             short = as_lists(unit, pa.float32())
             for tree in range(setting.trees):
-                string = strings(unit, tree)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), short, pa.array(np.full(len(rows), tree, np.int32)),
-                     pa.array(_prefix(string, setting.floor)), pa.array(string)],
-                    names=[batch.schema.names[0], "vector", "tree", "cell", "string"],
+                     pa.array(_prefix(strings(unit, tree), setting.floor))],
+                    names=[batch.schema.names[0], "vector", "tree", "cell"],
                 )
 
     return run
@@ -178,47 +173,22 @@ def _strings_of(setting: Setting):
 
 def _search_cell(setting: Setting, nearest: int):
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        """left: queries of a block, right: rows of a block."""
-        names = ["query", "depth", "candidates", "ids", "scores"]
-        schema = pa.schema([("query", pa.int64()), ("depth", pa.int32()), ("candidates", pa.int64()),
-                            ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
+        """left: queries of a block, right: rows of a block; all agree in the symbols of the floor."""
+        schema = pa.schema([("query", pa.int64()), ("entries", pa.list_(pa.int64()))])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         asked, rows = matrix(left["vector"], np.float32), matrix(right["vector"], np.float32)
-        strings_q, strings_r = left["string"].to_numpy(), right["string"].to_numpy()
-        order = np.argsort(strings_r, kind="stable")
-        rows, strings_r = rows[order], strings_r[order]
-        entry = right["entry"].to_numpy()[order]
+        entry = right["entry"].to_numpy()
         near = asked @ rows.T
-        out = {n: [] for n in names}
-        for i, query in enumerate(left["query"].to_numpy()):
-            before = None
-            for depth in range(setting.floor, SYMBOLS + 1):
-                low = strings_q[i] >> (BITS * (SYMBOLS - depth)) << (BITS * (SYMBOLS - depth))
-                high = low + (1 << (BITS * (SYMBOLS - depth)))
-                a, b = np.searchsorted(strings_r, [low, high])
-                if a == b:
-                    break
-                if before == (a, b):  # the same rows one symbol deeper
-                    out["query"].append(query)
-                    out["depth"].append(depth)
-                    out["candidates"].append(b - a)
-                    out["ids"].append(out["ids"][-1])
-                    out["scores"].append(out["scores"][-1])
-                    continue
-                before = (a, b)
-                scores = near[i, a:b]
-                best = np.arange(b - a)
-                if b - a > nearest:  # all that tie with the last one, those with small ids first
-                    least = np.partition(scores, -nearest)[-nearest]
-                    best = np.flatnonzero(scores >= least - 1e-6)
-                    best = best[np.lexsort((entry[a:b][best], -np.round(scores[best], 6)))][:nearest]
-                out["query"].append(query)
-                out["depth"].append(depth)
-                out["candidates"].append(b - a)
-                out["ids"].append(entry[a:b][best])
-                out["scores"].append(scores[best])
-        return pa.table([pa.array(out[n], schema.field(n).type) for n in names], schema=schema)
+        found = []
+        for scores in near:
+            best = np.arange(len(scores))
+            if len(scores) > nearest:  # all that tie with the last one, those with small ids first
+                least = np.partition(scores, -nearest)[-nearest]
+                best = np.flatnonzero(scores >= least - 1e-6)
+                best = best[np.lexsort((entry[best], -np.round(scores[best], 6)))][:nearest]
+            found.append(entry[best])
+        return pa.table([left["query"].combine_chunks(), pa.array(found, pa.list_(pa.int64()))], schema=schema)
 
     return cell
 
@@ -241,8 +211,8 @@ def search(
 
     run = _strings_of(setting)
     indexed = entries.select("entry", "vector").mapInArrow(
-        run, "entry long, vector array<float>, tree int, cell long, string long")
-    located = asked.mapInArrow(run, "query long, vector array<float>, tree int, cell long, string long")
+        run, "entry long, vector array<float>, tree int, cell long")
+    located = asked.mapInArrow(run, "query long, vector array<float>, tree int, cell long")
     # Cells have at most trees * (2 * dimension) ** floor kinds, but count what is there.
     row_counts = indexed.groupBy("tree", "cell").agg(F.count(F.lit(1)).alias("n_rows"))
     query_counts = located.groupBy("tree", "cell").agg(F.count(F.lit(1)).alias("n_queries"))
@@ -270,23 +240,10 @@ def search(
         .withColumn("row_block", other("row_blocks"))
     )
     keys = ["tree", "cell", "row_block", "query_block"]
-    found = ask.select(*keys, "query", "vector", "string").groupBy(*keys).cogroup(
-        rows.select(*keys, "entry", "vector", "string").groupBy(*keys)
-    ).applyInArrow(
-        _search_cell(setting, 3 * nearest + 3), "query long, depth int, candidates long, ids array<long>, scores array<double>"
-    )
-    # Ascend together: the deepest level at which all trees hold enough candidates, else the floor.
-    per_depth = found.groupBy("query", "depth").agg(
-        F.sum("candidates").alias("candidates"),
-        F.flatten(F.collect_list(F.arrays_zip("ids", "scores"))).alias("near"),
-    )
-    chosen = per_depth.groupBy("query").agg(
-        F.max_by("near", F.when(F.col("candidates") >= CANDIDATES, F.col("depth"))
-                 .otherwise(F.lit(-100) - F.col("depth"))).alias("near")
-    )
-    entry = chosen.select("query", F.explode(F.array_distinct("near")).alias("n")).select(
-        "query", F.col("n.ids").alias("entry")
-    ).distinct()
+    found = ask.select(*keys, "query", "vector").groupBy(*keys).cogroup(
+        rows.select(*keys, "entry", "vector").groupBy(*keys)
+    ).applyInArrow(_search_cell(setting, 3 * nearest + 3), "query long, entries array<long>")
+    entry = found.select("query", F.explode("entries").alias("entry")).distinct()
     # The exact measure on the original vectors, in one fixed order of summation.
     hits = (
         entry.join(entries.select("entry", "ids", F.col("vector").alias("v")), "entry")

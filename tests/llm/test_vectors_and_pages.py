@@ -81,6 +81,21 @@ def test_fitted_forest_reaches_its_recall(spark):
     assert setting.floor == 0 or setting.recall >= hash_forest.RECALL
 
 
+def test_forest_compares_all_rows_at_the_floor(spark, monkeypatch):
+    """A dense cell doesn't send a query below the floor that the fit measured."""
+    monkeypatch.setattr(hash_forest, "CANDIDATES", 8, raising=False)
+    rows = vectors(2000, size=8)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = lists(hash_forest.search(table, F.col("vec_id") % 50 == 0, setting=hash_forest.Setting(4, 1, 1.0)))
+    unit = hash_forest.unit_rows(np.array([v for _, v in rows], np.float64))
+    cells = [hash_forest.strings(unit, tree) >> hash_forest.BITS * (hash_forest.SYMBOLS - 1) for tree in range(4)]
+    for i in range(0, 2000, 50):
+        shared = np.any([c == c[i] for c in cells], axis=0)
+        near = np.where(shared, unit @ unit[i], -2)
+        near[i] = -2
+        assert [v for v, _ in found[i]] == np.argsort(-near)[:5].tolist()
+
+
 def test_topk_is_exact(table, monkeypatch):
     monkeypatch.setattr(block_topk, "BLOCK", 16)
     monkeypatch.setattr(block_topk, "RANGE", 4)
