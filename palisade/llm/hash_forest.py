@@ -11,8 +11,9 @@ few per query. What blocks report is compared exactly, in double precision.
 
 Number of trees and floor are fitted: a documented sample of queries is compared with all rows, and
 the cheapest setting that finds ``RECALL`` of their true neighbours is taken. If none does, the
-floor is 0, where every row is a candidate. Every row is indexed; equal vectors share one entry
-that carries its smallest ids, which is all that a list of the nearest can show of them.
+floor is 0: nothing is hashed and every row is a candidate. Every row is indexed; equal vectors
+share one entry that carries its smallest ids, which is all that a list of the nearest can show of
+them.
 
 Defined cases: vectors that are null, empty, zero or hold null, NaN or infinite components take no
 part, nor do those of another length than most, nor rows with a null id; repeated rows of one id and
@@ -47,10 +48,10 @@ def _rotations(tree: int, size: int) -> list[np.ndarray]:
     return [np.linalg.qr(random.standard_normal((size, size)))[0] for _ in range(SYMBOLS)]
 
 
-def strings(unit: np.ndarray, tree: int) -> np.ndarray:
-    """The hash string of every row as one number, first symbol highest."""
+def strings(unit: np.ndarray, tree: int, symbols: int = SYMBOLS) -> np.ndarray:
+    """The first symbols of every row's hash string as one number, first symbol highest."""
     out = np.zeros(len(unit), np.int64)
-    for rotation in _rotations(tree, unit.shape[1]):
+    for rotation in _rotations(tree, unit.shape[1])[:symbols]:
         turned = unit @ rotation
         axis = np.abs(turned).argmax(axis=1)
         symbol = axis * 2 + (turned[np.arange(len(unit)), axis] > 0)
@@ -164,7 +165,7 @@ def _strings_of(setting: Setting):
             for tree in range(setting.trees):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), short, pa.array(np.full(len(rows), tree, np.int32)),
-                     pa.array(_prefix(strings(unit, tree), setting.floor))],
+                     pa.array(strings(unit, tree, setting.floor))],
                     names=[batch.schema.names[0], "vector", "tree", "cell"],
                 )
 

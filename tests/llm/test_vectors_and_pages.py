@@ -96,6 +96,19 @@ def test_forest_compares_all_rows_at_the_floor(spark, monkeypatch):
         assert [v for v, _ in found[i]] == np.argsort(-near)[:5].tolist()
 
 
+def test_forest_at_floor_0_compares_all_rows_of_a_dense_group(spark, monkeypatch):
+    monkeypatch.setattr(hash_forest, "CANDIDATES", 8, raising=False)
+    random = np.random.default_rng(3)
+    rows = vectors(1000) + [(1000 + i, (np.eye(8)[0] + random.normal(size=8) * 0.2).tolist()) for i in range(500)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = lists(hash_forest.search(table, F.col("vec_id") % 50 == 0, setting=hash_forest.Setting(1, 0, 1.0)))
+    unit = hash_forest.unit_rows(np.array([v for _, v in rows], np.float64))
+    for i in range(0, 1500, 50):
+        near = unit @ unit[i]
+        near[i] = -2
+        assert [v for v, _ in found[i]] == np.argsort(-near)[:5].tolist()
+
+
 def test_topk_is_exact(table, monkeypatch):
     monkeypatch.setattr(block_topk, "BLOCK", 16)
     monkeypatch.setattr(block_topk, "RANGE", 4)
