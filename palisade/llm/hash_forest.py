@@ -7,17 +7,19 @@ fitted depth (the floor), however many they are: this is what the fit measures.
 
 Rows are dealt by tree and prefix. A cell with more rows or queries than fit one task is split into
 a grid of row blocks and query blocks, so a hot cell is many tasks; each block reports its nearest
-few per query. What blocks report is compared exactly, in double precision.
+few per query. Blocks filter in single precision, keep all rows that its error leaves open, and rank
+those by the exact measure in double precision, so that they never drop one of the nearest.
 
 Number of trees and floor are fitted: a documented sample of queries is compared with all rows, and
 the cheapest setting that finds ``RECALL`` of their true neighbours is taken. If none does, the
-floor is 0: nothing is hashed and every row is a candidate. Every row is indexed; equal vectors
-share one entry that carries its smallest ids, which is all that a list of the nearest can show of
-them.
+floor is 0: nothing is hashed and every row is a candidate. Every row is indexed; vectors of equal
+direction (to ``PLACES`` places) share one entry that carries the vector of its smallest id and its
+smallest ids, which is all that a list of the nearest can show of them.
 
 Defined cases: vectors that are null, empty, zero or hold null, NaN or infinite components take no
 part, nor do those of another length than most, nor rows with a null id; repeated rows of one id and
-vector are one; ties go to the smaller id; fewer candidates than asked for give a shorter list.
+vector are one; cosines that agree to ``PLACES`` places tie, and ties go to the smaller id; fewer
+candidates than asked for give a shorter list.
 """
 
 from __future__ import annotations
@@ -31,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.vectors import as_lists, dimension, matrix, usable
+from palisade.llm.vectors import dimension, matrix, usable
 from palisade.session import stored
 
 #: Symbols per string, bits per symbol, seed of the rotations.
 SYMBOLS, BITS, SEED = 4, 12, 99
 #: Settings from which the fit chooses, and the recall that it wants on its sample of queries.
 TREES, RECALL, SAMPLE_QUERIES = (8, 16, 24, 32, 48, 64), 0.95, 128
+#: Directions and cosines that agree to so many decimal places are equal.
+PLACES = 12
 #: Rows and queries of a block.
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 1_024
 
@@ -77,24 +81,31 @@ class Setting:
 
 
 def _entries(vectors: DataFrame, vec_id: str, vector: str, keep: int) -> DataFrame:
-    """``ids, vector``: distinct usable vectors with their smallest ids."""
+    """``ids, vector``: usable vectors of distinct directions with their smallest ids."""
     clean = vectors.where(F.col(vec_id).isNotNull() & usable(vector)).select(
         F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")
     ).where(F.exists("vector", lambda x: x != 0))
     size = dimension(clean, "vector")
     clean = clean.where(F.size("vector") == size)
+    # The largest component first, so that no square overflows.
+    largest = F.array_max(F.transform("vector", lambda x: F.abs(x)))
+    scaled = F.transform("vector", lambda x: x / F.col("largest"))
+    length = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x))
+    direction = F.transform("scaled", lambda x: F.rint(x / F.col("length") * 10.0**PLACES).cast("long"))
     # The digest, not the vector, is the key; a bucket of ids first, so that a very common vector
     # is pre-aggregated in many tasks.
-    digest = F.md5(F.to_json(F.struct("vector")).cast("binary"))
+    digest = F.md5(F.to_json(F.struct(direction.alias("d"))).cast("binary"))
     part = F.pmod(F.xxhash64("id"), F.lit(64))
     least = F.slice(F.array_sort(F.collect_set("id")), 1, keep)
+    first = F.min(F.struct("id", "vector")).alias("first")
     return (
-        clean.withColumn("digest", digest)
-        .groupBy("digest", part.alias("part")).agg(least.alias("ids"), F.first("vector").alias("vector"))
+        clean.withColumn("largest", largest).withColumn("scaled", scaled).withColumn("length", length)
+        .withColumn("digest", digest).withColumn("part", part)
+        .groupBy("digest", "part").agg(least.alias("ids"), first)
         .groupBy("digest").agg(
             F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids"),
-            F.first("vector").alias("vector"),
-        ).select("ids", "vector")
+            F.min("first").alias("first"),
+        ).select("ids", F.col("first.vector").alias("vector"))
     )
 
 
@@ -152,8 +163,7 @@ def fit(entries: DataFrame, queries: DataFrame, nearest: int) -> Setting:
 
 
 def _strings_of(setting: Setting):
-    """A row per tree: the first column, the vector at length 1 in single precision (it only ranks
-    candidates), ``tree, cell``."""
+    """A row per tree: all columns, ``tree, cell``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,33 +171,44 @@ def _strings_of(setting: Setting):
             if not len(rows):
                 continue
             unit = unit_rows(rows)
-            short = as_lists(unit, pa.float32())
             for tree in range(setting.trees):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), short, pa.array(np.full(len(rows), tree, np.int32)),
+                    [*batch.columns, pa.array(np.full(len(rows), tree, np.int32)),
                      pa.array(strings(unit, tree, setting.floor))],
-                    names=[batch.schema.names[0], "vector", "tree", "cell"],
+                    names=[*batch.schema.names, "tree", "cell"],
                 )
 
     return run
 
 
-def _search_cell(setting: Setting, nearest: int):
+def _cosines(query: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """What ``cosine`` says of a query and the columns of a matrix, to the last bit: sums in order."""
+    product, own, square = 0.0, 0.0, 0.0
+    for q, p in zip(query, parts):
+        product, own, square = product + q * p, own + q * q, square + p * p
+    return product / (np.sqrt(own) * np.sqrt(square))
+
+
+def _search_cell(nearest: int):
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         """left: queries of a block, right: rows of a block; all agree in the symbols of the floor."""
         schema = pa.schema([("query", pa.int64()), ("entries", pa.list_(pa.int64()))])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        asked, rows = matrix(left["vector"], np.float32), matrix(right["vector"], np.float32)
-        entry = right["entry"].to_numpy()
-        near = asked @ rows.T
+        asked, rows = matrix(left["vector"]), matrix(right["vector"])
+        entry, first = right["entry"].to_numpy(), right["first"].to_numpy()
+        near = unit_rows(asked).astype(np.float32) @ unit_rows(rows).astype(np.float32).T
+        # What single precision can be wrong by, for two cosines.
+        error = 4 * (rows.shape[1] + 4) * 2.0**-24
+        parts = np.ascontiguousarray(rows.T)
         found = []
-        for scores in near:
+        for query, scores in zip(asked, near):
             best = np.arange(len(scores))
-            if len(scores) > nearest:  # all that tie with the last one, those with small ids first
+            if len(scores) > nearest:
                 least = np.partition(scores, -nearest)[-nearest]
-                best = np.flatnonzero(scores >= least - 1e-6)
-                best = best[np.lexsort((entry[best], -np.round(scores[best], 6)))][:nearest]
+                best = np.flatnonzero(scores >= least - error)
+                exact = np.rint(_cosines(query, parts[:, best]) * 10.0**PLACES)
+                best = best[np.lexsort((first[best], -exact))][:nearest]
             found.append(entry[best])
         return pa.table([left["query"].combine_chunks(), pa.array(found, pa.list_(pa.int64()))], schema=schema)
 
@@ -211,9 +232,12 @@ def search(
     setting = setting or fit(entries, asked, nearest)
 
     run = _strings_of(setting)
-    indexed = entries.select("entry", "vector").mapInArrow(
-        run, "entry long, vector array<float>, tree int, cell long")
-    located = asked.mapInArrow(run, "query long, vector array<float>, tree int, cell long")
+    # Vectors travel in their own precision.
+    kind = "array<float>" if dict(vectors.dtypes)[vector] == "array<float>" else "array<double>"
+    own = F.col("vector").cast(kind).alias("vector")
+    indexed = entries.select("entry", F.col("ids")[0].alias("first"), own).mapInArrow(
+        run, f"entry long, first long, vector {kind}, tree int, cell long")
+    located = asked.select("query", own).mapInArrow(run, f"query long, vector {kind}, tree int, cell long")
     # Cells have at most trees * (2 * dimension) ** floor kinds, but count what is there.
     row_counts = indexed.groupBy("tree", "cell").agg(F.count(F.lit(1)).alias("n_rows"))
     query_counts = located.groupBy("tree", "cell").agg(F.count(F.lit(1)).alias("n_queries"))
@@ -242,8 +266,8 @@ def search(
     )
     keys = ["tree", "cell", "row_block", "query_block"]
     found = ask.select(*keys, "query", "vector").groupBy(*keys).cogroup(
-        rows.select(*keys, "entry", "vector").groupBy(*keys)
-    ).applyInArrow(_search_cell(setting, 3 * nearest + 3), "query long, entries array<long>")
+        rows.select(*keys, "entry", "first", "vector").groupBy(*keys)
+    ).applyInArrow(_search_cell(nearest + 1), "query long, entries array<long>")
     entry = found.select("query", F.explode("entries").alias("entry")).distinct()
     # The exact measure on the original vectors, in one fixed order of summation.
     hits = (
@@ -252,7 +276,8 @@ def search(
         .select("query", F.explode("ids").alias("vec_id"), cosine("q", "v").alias("score"))
         .where("vec_id <> query")
     )
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    place = F.row_number().over(
+        Window.partitionBy("query").orderBy(F.desc(F.rint(F.col("score") * 10.0**PLACES)), "vec_id"))
     return (
         hits.withColumn("rank", place).where(F.col("rank") <= nearest)
         .select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")

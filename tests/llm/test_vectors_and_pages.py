@@ -109,6 +109,22 @@ def test_forest_at_floor_0_compares_all_rows_of_a_dense_group(spark, monkeypatch
         assert [v for v, _ in found[i]] == np.argsort(-near)[:5].tolist()
 
 
+def test_forest_tells_near_copies_apart(spark):
+    """More near copies, and more scaled copies, than a block reports; ids against the row order."""
+    random = np.random.default_rng(5)
+    base = random.normal(size=8)
+    rows = [(2000 - i, (base * (1 + 5e-4 * random.normal(size=8))).tolist()) for i in range(500)]
+    rows += [(900 - i, (np.arange(1.0, 9) * (i + 1)).tolist()) for i in range(200)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = lists(hash_forest.search(table, F.col("vec_id") % 50 == 0, setting=hash_forest.Setting(1, 0, 1.0)))
+    ids = np.array([i for i, _ in rows])
+    unit = hash_forest.unit_rows(np.array([v for _, v in rows]))
+    for query in ids[ids % 50 == 0]:
+        near = np.round(unit @ unit[ids == query][0], 12)
+        near[ids == query] = -2
+        assert [v for v, _ in found[query]] == ids[np.lexsort((ids, -near))[:5]].tolist()
+
+
 def test_topk_is_exact(table, monkeypatch):
     monkeypatch.setattr(block_topk, "BLOCK", 16)
     monkeypatch.setattr(block_topk, "RANGE", 4)
