@@ -216,6 +216,23 @@ def test_pipeline_stage_by_stage(spark):
     assert np.mean(right) > 0.9
 
 
+def test_language_stage_rejects_what_was_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    random = np.random.default_rng(2)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", "αβγδεζηθικλμνξοπρστυφχψω",
+                 "абвгдежзийклмнопрстуфхцчшщъыьэюя", "".join(map(chr, range(0xAC00, 0xB3D0)))]
+    odd = ["".join(random.choice(list(a + "     "), 600)) for a in alphabets for _ in range(20)]
+    field = docs.schema["doc_id"].dataType.simpleString()
+    # Ids that are held out, so that nothing is learned from these texts.
+    ids = [i for i in range(10**9, 10**9 + 2000) if zlib.crc32(str(i).encode()) % 3 == 1][: len(odd)]
+    more = spark.createDataFrame(list(zip(ids, odd)), "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(field))
+    wide = docs.unionByName(more, allowMissingColumns=True)
+    kept = {r[0] for r in corpus_pipeline.language_id(spark, wide, "").select("doc_id").collect()}
+    assert not kept & {r[0] for r in more.select("doc_id").collect()}
+    real = {r[0] for r in docs.where(F.length("text") > 0).select("doc_id").collect()}
+    assert len(real & kept) >= 0.998 * len(real)
+
+
 def test_topk_sql(spark):
     connection = duckdb.connect()
     connection.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF_DIR}/embeddings.parquet'")
