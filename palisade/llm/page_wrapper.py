@@ -1,11 +1,13 @@
 """Main text of web pages by wrapper induction.
 
 Pages of one host share a template. One page of each host, the one with the smallest hash, is its
-reference; every other page is aligned with it by simple tree matching, and each task counts, per
-node of the reference, how often the node was matched and how often its own text was the same. A
-node that nearly always has the same text belongs to the template; where the text varies there is a
-slot. Only these counts are shuffled, summed per task first, so a host with a third of all pages is
-no hot key, and all pages take part.
+reference; every other page is aligned with it by simple tree matching. Distinct contents vote, not
+pages: a page that has most of its text in common with the reference is a copy of it and has no
+vote, and pages with the same longest varying text have one vote together. The votes say, per node
+of the reference, how often the node was matched and how often its own text was the same. A node
+that nearly always has the same text belongs to the template; where the text varies there is a slot.
+What is shuffled is two bits per node and page, by host and content, and counts that are summed per
+task first, so a host with a third of all pages is no hot key, and all pages take part.
 
 The wrapper then reads a page: nodes aligned with template nodes go, together with everything that
 markup itself declares to be no article (menus, headers and footers of the page, sidebars, notices,
@@ -15,13 +17,14 @@ varying prose. Headings and paragraphs of a declared article stay even if pages
 copies of a page would otherwise lose their text.
 
 Defined cases: null or empty html gives an empty text; a null or broken url puts the page on a host
-of its own kind (""); a page alone on its host, or whose host has too few others, is read by its
-markup only; text without any markup is one block. ``extract`` keeps the columns of the input and
+of its own kind (""); a page alone on its host, or whose host has too few other contents, is read by
+its markup only, as is one that would have no text left without the template; text without any markup is one block. ``extract`` keeps the columns of the input and
 replaces ``text`` and ``n_chars``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -73,8 +76,10 @@ ARTICLE = re.compile(
     r"(?:^|[\s_-])(?:article|articlebody|post|entry|story|content|main)(?:$|[\s_-])", re.I
 )
 
-#: A reference node is template if its text was the same in this share of at least so many pages.
+#: A reference node is template if its text was the same in this share of at least so many contents.
 SAME_SHARE, LEAST_PAGES = 0.9, 4
+#: A page with more than this share of its text in common with the reference is a copy of it.
+COPY_SHARE = 0.5
 #: References and templates are broadcast up to so many bytes in all; beyond, they are joined by host.
 BROADCAST_BYTES = 16 << 20
 #: Elements nest this deep at most.
@@ -366,10 +371,29 @@ def main_text(page: str | None, reference: Node | None = None) -> str:
         align(reference, root, pairs)
         for ours, theirs in pairs:
             theirs.template = ours.template and ours.own_text == theirs.own_text
+    text = _read(root)
+    if not text and reference is not None:
+        for node in _walk(root):
+            node.template = False
+        text = _read(root)
+    return text
+
+
+def _read(root: Node) -> str:
     nodes, declared = _article(root)
     return "\n".join(_blocks(nodes, declared))
 
 
+def _content(root: Node, same: set[int]) -> str | None:
+    """What a page's vote stands for: its longest text besides the nodes (by ``id``) that are the same
+    in the reference; None for a copy of the reference."""
+    texts = [(len(text), text, id(n) in same) for n in _visible(root) if (text := n.own_text)]
+    common = sum(n for n, _, known in texts if known)
+    if not texts or common > COPY_SHARE * sum(n for n, _, _ in texts):
+        return None
+    return max((n, text) for n, text, known in texts if not known)[1]
+
+
 def host_of(url: Column) -> Column:
     host = F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)", 1)
     return F.regexp_replace(host, r"^www\.", "")
@@ -384,10 +408,10 @@ def induce(pages: DataFrame) -> DataFrame:
     )
     references = references.where(F.col("pages") > LEAST_PAGES).select("host", "reference")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[str, tuple[Node, dict[int, int], list[str]]] = {}
         for batch in batches:
+            hosts, contents, votes = [], [], []
             for host, page, reference in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if page == reference:
                     continue
@@ -398,23 +422,45 @@ def induce(pages: DataFrame) -> DataFrame:
                     nodes = list(_walk(tree))
                     trees[host] = tree, {id(n): i for i, n in enumerate(nodes)}, [n.own_text for n in nodes]
                 tree, number, texts = trees[host]
-                if host not in sums:
-                    sums[host] = np.zeros((len(number), 2), np.int64)
-                pairs: list[tuple[Node, Node]] = []
-                align(tree, parse(page), pairs)
+                bits = np.zeros((len(number), 2), bool)
+                root, pairs, same = parse(page), [], set()
+                align(tree, root, pairs)
                 for ours, theirs in pairs:
                     i = number[id(ours)]
-                    sums[host][i, 0] += 1
-                    sums[host][i, 1] += texts[i] != "" and texts[i] == theirs.own_text
-        rows = [(h, i, *map(int, v)) for h, s in sums.items() for i, v in enumerate(s) if v[0]]
+                    bits[i, 0] = True
+                    if texts[i] != "" and texts[i] == theirs.own_text:
+                        bits[i, 1] = True
+                        same.add(id(theirs))
+                content = _content(root, same)
+                if content is not None:
+                    hosts.append(host)
+                    contents.append(hashlib.md5(content.encode("utf-8", "replace")).digest())
+                    votes.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.string()), pa.array(contents, pa.binary()), pa.array(votes, pa.binary())],
+                names=["host", "content", "vote"],
+            )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for host, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                votes = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(np.int64)
+                sums[host] = sums[host] + votes if host in sums else votes
+        rows = [(h, i, *map(int, v)) for h, s in sums.items() for i, v in enumerate(s.reshape(-1, 2)) if v[0]]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.string())]
             + [pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)],
             names=["host", "node", "matched", "same"],
         )
 
-    counts = (
+    votes = (
         _with_host(known, references).select("host", "html", "reference")
+        .mapInArrow(vote, "host string, content binary, vote binary")
+        .groupBy("host", "content").agg(F.min("vote").alias("vote"))
+    )
+    counts = (
+        votes.select("host", "vote")
         .mapInArrow(count, "host string, node long, matched long, same long")
         .groupBy("host", "node").agg(F.sum("matched").alias("matched"), F.sum("same").alias("same"))
     )

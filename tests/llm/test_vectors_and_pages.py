@@ -189,6 +189,29 @@ def test_wrapper_finds_the_template_of_undeclared_pages(spark):
     assert page_wrapper.induce(pages.limit(0)).count() == 0
 
 
+def test_near_copies_do_not_make_an_article_template(spark):
+    page = ("<html><body><div class=x1><p>Our company</p></div><div class=x2><p>%s</p><p>%s</p></div>"
+            "<div class=x3><p>%s</p></div></body></html>")
+    story = "The same long story is told again on nearly every page of this host", "and goes on for a while"
+    rows = [(i, f"http://copies.org/{i}", page % (*story, f"Buy article {i}")) for i in range(40)]
+    rows += [(i, f"http://mixed.org/{i}", page % (*story, f"Buy article {i}")) for i in range(100, 190)]
+    rows += [(i, f"http://mixed.org/{i}", page % (f"Other story {i} about another thing " * 3, f"and more of {i}", "Ours"))
+             for i in range(190, 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in page_wrapper.extract(pages, page_wrapper.induce(pages)).collect()}
+    for i in [*range(40), *range(100, 190)]:
+        assert "\n".join(story) in found[i]
+    for i in range(190, 200):
+        assert f"Other story {i} about" in found[i] and f"and more of {i}" in found[i]
+    for i in range(100, 200):
+        assert "Our company" not in found[i]
+
+
+def test_page_without_text_besides_the_template_is_read_by_markup():
+    reference = page_wrapper.wrapper("<p>one</p><p>two</p>", [0, 1, 2])
+    assert page_wrapper.main_text("<p>one</p><p>two</p>", reference) == "one\ntwo"
+
+
 def test_alignment_is_the_largest_match():
     a = page_wrapper.parse("<a></a><b></b><i></i><u></u>")
     b = page_wrapper.parse("<b></b><a></a><i></i><s></s><u></u>")
