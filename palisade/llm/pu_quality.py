@@ -214,11 +214,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | N
     drawn = F.xxhash64(F.lit(SEED), "doc_id")
     positive = marked.where("quality = 1").select("doc_id", F.lit(True).alias("trusted"), drawn.alias("h"))
     positive = positive.orderBy("h").limit(rows)
-    pool = docs.where(F.col("doc_id").isNotNull()).select("doc_id")
+    pool = docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
     pool = pool.select("doc_id", F.lit(False).alias("trusted"), F.xxhash64(F.lit(SEED + 1), "doc_id").alias("h"))
     pool = pool.orderBy("h").limit(rows)
     sample = F.broadcast(positive.unionByName(pool).drop("h"))  # at most 2 * rows
-    chosen = _described(docs.select("doc_id", "text").join(sample, "doc_id").select("trusted", "text"))
+    # One row for each id, or a repeated id would go beyond the bound.
+    texts = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "trusted").agg(F.min("text").alias("text"))
+    chosen = _described(texts.select("trusted", "text"))
     found = chosen.toPandas()
     trusted = found["trusted"].to_numpy(bool) if len(found) else np.zeros(0, bool)
     if not trusted.any() or trusted.all():

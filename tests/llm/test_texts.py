@@ -349,6 +349,16 @@ def test_quality_of_held_out_documents(spark, odd, empty):
     assert pu_quality.score(empty, model).count() == 0
 
 
+def test_quality_sample_is_bounded_with_a_repeated_id(spark, monkeypatch):
+    rows = [(i, f"text number {i}") for i in range(60)] + [(7, "again and again")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(60)], "doc_id long, quality int")
+    sizes = []
+    monkeypatch.setattr(pu_quality, "fit_model", lambda p, u, prior: sizes.append((len(p), len(u))))
+    pu_quality.train(docs, labels, rows=60)
+    assert sizes == [(30, 60)]
+
+
 def test_risk_finds_hidden_positives():
     """Half of the unlabelled rows are of the positive kind; the fit tells them from the others."""
     random = np.random.default_rng(1)
