@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from palisade.llm import (
     block_topk,
     dart_minhash,
+    ftrl_toxicity,
+    hard_negatives,
     hash_forest,
     hd_language,
     lpt_shards,
@@ -18,6 +20,7 @@ from palisade.llm import (
     pu_quality,
     sentence_pieces,
     source_mix,
+    token_alignment,
     token_store,
 )
 from palisade.llm.common import crc_remainder, table
@@ -25,6 +28,8 @@ from palisade.session import stored, work_folder
 
 #: Queries of the searches are the rows whose id is divisible by this.
 EVERY = 50
+#: Anchors of the hard negatives.
+ANCHORS = 100
 
 
 def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,11 +97,37 @@ def op10_page_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_wrapper.extract(pages, wrappers).select("page_id", "url", "text", "n_chars")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh vector are moved on by one first, as wrongly marked rows are."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(vectors, F.col("id") % ANCHORS == 0)
+
+
+def op13_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = crc_remainder("doc_id", 5)
+    model = ftrl_toxicity.train(
+        docs.where(remainder != 0), table(spark, sf_dir, "labels").where(remainder != 0)
+    )
+    held_out = F.coalesce(remainder == 0, F.lit(False))
+    scored = ftrl_toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     run.__name__: run
     for run in (
         op1_sentence_pieces, op2_hash_forest, op3_dart_minhash, op4_source_mix, op5_pu_quality,
         op6_token_store, op7_lpt_shards, op8_hd_language, op9_block_topk, op10_page_wrapper,
+        op11_token_alignment, op12_hard_negatives, op13_ftrl_toxicity,
     )
 }
 
@@ -158,4 +189,24 @@ s AS (
 r AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op12_hard_negatives": """
+WITH w AS (
+  SELECT row_number() OVER () AS n, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT a.n, c.n AS m, a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS alike,
+         CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM w a JOIN w c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT n, m, anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id, m) <= 5)
+SELECT p.anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY p.n, p.m ORDER BY score DESC, vec_id, s.m) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.n = p.n AND NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10""",
 }
