@@ -85,7 +85,7 @@ def grow(points: np.ndarray, leaf: int, most: int = 1 << 30) -> dict[str, np.nda
     radius[0] = float(_distances(points, points[0]).max()) if len(points) else 0.0
     node = 0
     while node < len(begin):
-        inside = order[begin[node] : end[node]]
+        inside = order[begin[node] : end[node]].copy()
         reach = radius[node]
         if len(inside) > leaf and reach > 0 and len(begin) < most:
             own = np.flatnonzero(inside == centre[node])[0]
