@@ -36,7 +36,7 @@ def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and whether decoding them gives the text back."""
     pieces = sentence_pieces.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = sentence_pieces.decode(sentence_pieces.encode(docs, pieces), pieces)
+    both = sentence_pieces.encode_and_decode(docs, pieces)
     return both.select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),

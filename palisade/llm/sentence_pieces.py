@@ -46,9 +46,11 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: An unknown character costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Bytes per slice of texts, and segments (about 50 bytes each) that a worker remembers.
-SLICE_BYTES = 2_000_000
-KEPT_SEGMENTS = 500_000
+#: Bytes per slice of texts, characters of new segments whose lattice is held at once, and segments
+#: (about 50 bytes each) that a worker remembers.
+SLICE_BYTES = 1_000_000
+LATTICE_CHARACTERS = 32_000
+KEPT_SEGMENTS = 400_000
 
 @dataclass
 class Pieces:
@@ -128,7 +130,7 @@ class _Lookup:
     def __init__(self, pieces: Pieces) -> None:
         self.hash = np.zeros(len(pieces.text), np.uint64)
         self.length = np.array([len(t) for t in pieces.text], np.int64)
-        self.power = powers(64)
+        self.power = powers(pieces.longest + 1)
         ids = np.flatnonzero(pieces.normal)
         self.inside = np.zeros(1 << 22, bool)
         for i in ids:
@@ -215,7 +217,7 @@ class Encoder:
     def __init__(self, pieces: Pieces, kept: int = KEPT_SEGMENTS) -> None:
         self.p, self.lookup, self.kept = pieces, _Lookup(pieces), kept
         self.apart = _Apart(pieces, self.lookup)
-        self.longest = min(pieces.longest, 63)
+        self.longest = pieces.longest
         scores = pieces.score[pieces.normal]
         self.unknown_score = (scores.min() if len(scores) else 0.0) - UNKNOWN_PENALTY
         self._forget()
@@ -373,18 +375,24 @@ class Encoder:
         old[inside] = self.known[place[inside]] == unique[inside]
         new = np.flatnonzero(~old)
         if len(new):
-            ids, count = self.segments(codes, size[new], at[new])
-            begin = len(self.store) + np.concatenate([[0], np.cumsum(count)[:-1]])
-            self.store = np.concatenate([self.store, ids])
-            known = np.concatenate([self.known, unique[new]])
-            order = np.argsort(known, kind="stable")
-            self.known = known[order]
-            self.begin = np.concatenate([self.begin, begin])[order]
-            self.count = np.concatenate([self.count, count])[order]
+            parts = [self.segments(codes, size[part], at[part]) for part in _portions(new, size[new])]
+            count = np.concatenate([c for _, c in parts])
+            begin = len(self.store) + np.cumsum(count) - count
+            self.store = np.concatenate([self.store, *(ids for ids, _ in parts)])
+            where = place[new]
+            self.known = np.insert(self.known, where, unique[new])
+            self.begin = np.insert(self.begin, where, begin)
+            self.count = np.insert(self.count, where, count)
             place = np.searchsorted(self.known, unique)
         return self.begin[place], self.count[place]
 
 
+def _portions(which: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """``which`` in portions of about LATTICE_CHARACTERS; a longer segment is one of its own."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // LATTICE_CHARACTERS)) + 1
+    return np.split(which, cuts)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -415,32 +423,62 @@ def encode(
     return docs.mapInArrow(run, with_fields(docs, **{to: T.ArrayType(T.IntegerType())}))
 
 
-def decode(docs: DataFrame, pieces: Pieces, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """Adds the text that the ids stand for as the column ``to``; null for null."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() == to.lower()])
+def _spellings(pieces: Pieces) -> list[bytes]:
+    """What each id stands for; a byte piece for its byte."""
     raw = [t.encode() for t in pieces.text]
     for value, i in enumerate(pieces.byte_ids):
         if i >= 0:
             raw[i] = bytes([value])
-    sent = docs.sparkSession.sparkContext.broadcast(raw)
+    return raw
+
+
+def _decoded(lists: pa.ListArray, spellings: pa.Array) -> pa.Array:
+    """The texts that lists of ids stand for; null for null."""
+    flat = spellings.take(lists.flatten())
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    whole = pc.binary_join(pa.ListArray.from_arrays(offsets, flat), b"")
+    text = pc.replace_substring(whole.cast(pa.string()), BLANK, " ")
+    text = pc.replace_substring_regex(text, r"\A ", "")  # the blank put before every text
+    return pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), text)
+
+
+def decode(docs: DataFrame, pieces: Pieces, ids: str = "ids", to: str = "decoded") -> DataFrame:
+    """Adds the text that the ids stand for as the column ``to``; null for null."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == to.lower()])
+    sent = docs.sparkSession.sparkContext.broadcast(_spellings(pieces))
     at = docs.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = pa.array(sent.value, pa.binary())
+        spellings = pa.array(sent.value, pa.binary())
         for batch in batches:
-            lists = batch.column(at)
-            flat = parts.take(lists.flatten())
-            offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(
-                zero_copy_only=False))])
-            whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), b"")
-            text = pc.replace_substring(whole.cast(pa.string()), BLANK, " ")
-            text = pc.replace_substring_regex(text, r"\A ", "")  # the blank put before every text
-            text = pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), text)
+            text = _decoded(batch.column(at), spellings)
             yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, to])
 
     return docs.mapInArrow(run, with_fields(docs, **{to: T.StringType()}))
 
 
+def encode_and_decode(
+    docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "ids", back: str = "decoded"
+) -> DataFrame:
+    """Adds the piece ids and the text that they stand for, by one Python worker per task."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in (to.lower(), back.lower())])
+    context = docs.sparkSession.sparkContext
+    sent, spelled = context.broadcast(pieces), context.broadcast(_spellings(pieces))  # as large as the model
+    at, key = docs.columns.index(text), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, spellings = _worker_encoder(key, sent), pa.array(spelled.value, pa.binary())
+        for batch in batches:
+            for begin, end in slices(batch.column(at), SLICE_BYTES):
+                part = batch.slice(begin, end - begin)
+                ids = encoder.texts(part.column(at))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, ids, _decoded(ids, spellings)], names=[*part.schema.names, to, back])
+
+    return docs.mapInArrow(run, with_fields(docs, **{to: T.ArrayType(T.IntegerType()), back: T.StringType()}))
+
+
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     """``piece, id, score`` of the pieces that can be edges."""
     rows = [(pieces.text[i], int(i), float(pieces.score[i])) for i in np.flatnonzero(pieces.normal)]
@@ -453,7 +491,7 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     Words have to be whole (blanks as marks). After ``distinct`` the rows are already dealt by word,
     so grouping the edges needs no further shuffle.
     """
-    longest = min(pieces.longest, 63)
+    longest = pieces.longest
     scores = pieces.score[pieces.normal]
     unknown = float(scores.min() if len(scores) else 0.0) - UNKNOWN_PENALTY
     table = F.broadcast(piece_table(words.sparkSession, pieces))  # as large as the model
