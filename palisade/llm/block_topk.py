@@ -12,9 +12,11 @@ its own small answer; the answers of a query are merged at the end. Nothing depe
 vector or value occurs.
 
 Defined cases: vectors that are null, empty or hold null, NaN or infinite components take no part,
-nor do those of another length than most, nor rows with a null id; of rows that share an id, the one
-with the largest vector counts; ties go to the smaller id; fewer candidates than k give a shorter
-list; scores beyond 64 bits are held at their ends.
+nor do those of another length than most, nor rows with a null id; every other row counts, also rows
+that share an id or are repeated; a query's candidates are the rows with another id, and queries that
+share an id have one list, the best of all their products; ties go to the smaller id; fewer candidates
+than k give a shorter list, an empty table none; scores beyond 64 bits are held at their ends. Other
+columns of the input are not used.
 """
 
 from __future__ import annotations
@@ -38,8 +40,7 @@ _LOW, _HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact ``a @ b.T`` of whole numbers, in the fastest arithmetic that holds them."""
-    largest = int(np.abs(a.astype(object)).max(initial=0)) * int(np.abs(b.astype(object)).max(initial=0))
-    largest *= a.shape[1]
+    largest = _largest(a) * _largest(b) * a.shape[1]
     if largest < 1 << 53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     if largest < 1 << 63:
@@ -48,13 +49,16 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(whole, _LOW + 1, _HIGH).astype(np.int64)
 
 
+def _largest(values: np.ndarray) -> int:
+    return max(-int(values.min(initial=0)), int(values.max(initial=0)))
+
+
 def _whole(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """``id, v``: one row per id with ``floor(256 * x)`` of each component."""
+    """``id, v``: every row that takes part, with ``floor(256 * x)`` of each component."""
     clean = vectors.where(F.col(vec_id).isNotNull() & usable(vector)).select(
         F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")
     )
-    one = clean.groupBy("id").agg(F.max("x").alias("x"))
-    return one.select(
+    return clean.select(
         "id", F.transform("x", lambda x: F.floor(x * float(SCALE)).cast("long")).alias("v")
     )
 
