@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from palisade.functions import rules, scoring
 from palisade.functions.text import three_decimals
+from palisade.operators.quantiles import ordered_image, percentile
 from palisade.operators.scoring import apply_rules, hybrid, minmax_scores, score_events
 
 FIELDS = (
@@ -101,3 +104,28 @@ def test_three_decimals_round_like_exact_arithmetic(spark):
 def test_auth_paths_are_case_sensitive(spark):
     frame = spark.createDataFrame([("/api/auth",), ("/Login",), ("/x/ssh",)], "p string")
     assert [row[0] for row in frame.select(rules.is_auth_path(F.col("p"))).collect()] == [1, 0, 1]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.05, 0.5, 0.95, 1.0])
+def test_percentile_is_exact_for_any_spread(spark, share):
+    draw = random.Random(7)
+    sets = [
+        [draw.gauss(0, 1) for _ in range(501)],
+        [draw.choice([-1e300, -1e-300, -0.0, 0.0, 5e-324, 1e-5, 3.0, 1.7e308]) for _ in range(200)],
+        [2.5] * 40 + [2.5000000000000004] * 3,
+        [-3.25],
+    ]
+    for values in sets:
+        frame = spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(3)
+        place = share * (len(values) - 1)
+        low, high = sorted(values)[int(place)], sorted(values)[min(int(place) + 1, len(values) - 1)]
+        wanted = low if low == high else low + (high - low) * (place - int(place))
+        assert percentile(frame, "v", share) == wanted
+    assert percentile(spark.createDataFrame([(None,)], "v double"), "v", share) is None
+
+
+def test_images_keep_the_order_of_doubles(spark):
+    values = [float("-inf"), -1e10, -1.0, -5e-324, 0.0, 5e-324, 1.0, 1e10, float("inf"), float("nan")]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    images = [r[0] % 2**64 for r in frame.orderBy("i").select(ordered_image(F.col("v"))).collect()]
+    assert images == sorted(images) and len(set(images)) == len(images)
