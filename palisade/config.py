@@ -16,8 +16,9 @@ class Settings:
     # address ends up in one task. The window slice must be at least the longest frame.
     window_slice_seconds: int = 900
     fold_slice_seconds: int = 3600
-    # A cooldown slice is held in a task's memory as a few integers per alert candidate.
-    cooldown_slice_seconds: int = 600
+    # A cooldown slice passes through a task in batches; two integers are held per candidate of its
+    # first minute.
+    cooldown_slice_seconds: int = 3600
     # Addresses with more events than this in a window slice are split further, by the second.
     busy_rows: int | None = 5_000_000
 

@@ -4,10 +4,13 @@ The cooldown is a sequential rule: after an alert fires, events of the same addr
 silent until 60 s later, and silent events do not extend the pause. To run it without sending all
 events of a busy address to one task, each (address, type) is cut into time slices:
 
-1. Per slice: for every state a slice can be entered with, find the last alert it would fire.
-   Only the first minute of a slice can be affected by earlier slices, so this is a short table.
+1. Per slice: the map from the moment from which alerts may fire when the slice is entered to that
+   moment when it is left. Such a map is a step function. Every Arrow batch of a slice is one more
+   stretch of time, and its map is composed with that of the stretches before, so a slice of any size
+   passes through in batches. Only entry states within the first minute can occur, so the map has no
+   more steps than the slice has candidates in that minute: two whole numbers each.
 2. Per (address, type): walk those short tables in time order to fix each slice's entry state.
-3. Per slice: fire alerts from the known entry state.
+3. Per slice: fire alerts from the known entry state, which is carried from batch to batch.
 """
 
 from __future__ import annotations
@@ -37,65 +40,81 @@ def alert_candidates(scored: DataFrame, settings: Settings = DEFAULTS) -> DataFr
     )
 
 
-def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Re-cuts sorted batches so that every (address, type, slice) lies in one frame."""
-    held: list[pd.DataFrame] = []
-    for batch in batches:
-        if batch.empty:
-            continue
-        last = batch[_SLICE].iloc[-1]
-        tail = (batch[_SLICE] == last).all(axis=1).to_numpy()
-        if held and not tail.all():
-            yield pd.concat([*held, batch[~tail]], ignore_index=True)
-            held = [batch[tail]]
-        elif not tail.all():
-            yield batch[~tail].reset_index(drop=True)
-            held = [batch[tail]]
-        elif held and not (held[-1][_SLICE].iloc[-1] == last).all():
-            yield pd.concat(held, ignore_index=True)
-            held = [batch]
-        else:
-            held.append(batch)
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
-def _on_one_axis(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Group number of each row, its time on an axis where groups follow each other, group ends."""
+def _stretches(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of one (address, type, slice) in sorted rows begin and end."""
     keys = rows[_SLICE]
-    group = np.cumsum((keys != keys.shift()).any(axis=1).to_numpy()) - 1
-    axis = group * width + (rows["_us"] - rows["_slice"]).to_numpy()
-    ends = np.searchsorted(group, np.arange(group[-1] + 1), side="right")
-    return group, axis, ends
-
-
-def _slice_steps(pause: int, width: int):
-    """Entry states of each slice and the last alert that follows from each."""
+    begin = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+    return begin, np.append(begin[1:], len(rows))
+
+
+def _last_fires(at: np.ndarray, pause: int) -> np.ndarray:
+    """The time of the last alert of a stretch if its first one is fired by each of its candidates."""
+    following = np.searchsorted(at, at + pause)
+    here = np.arange(len(at))
+    last = np.where(following < len(at), following, here)
+    while True:  # doubles the distance each round
+        further = last[last]
+        if np.array_equal(further, last):
+            return at[last]
+        last = further
+
+
+class _StepMap:
+    """From the moment from which alerts may fire at the begin of a slice to that at its end.
+
+    A state up to ``upto[k]``, and above ``upto[k - 1]``, leads to ``leaves[k]``; a state above all
+    of them stays as it is."""
+
+    def __init__(self, key: tuple, first: int, pause: int) -> None:
+        self.key, self.pause = key, pause
+        self.reach = first + pause  # no earlier alert keeps the slice silent for longer
+        self.upto, self.leaves = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def then(self, at: np.ndarray) -> None:
+        """Composes the map with that of the next stretch, whose candidates are at these times."""
+        at = np.unique(at)
+        leaves = _last_fires(at, self.pause) + self.pause
+        place = np.searchsorted(at, self.leaves)
+        inside = place < len(at)
+        self.leaves[inside] = leaves[place[inside]]
+        if not len(self.upto) or self.upto[-1] < self.reach:
+            begin = np.searchsorted(at, self.upto[-1], side="right") if len(self.upto) else 0
+            end = np.searchsorted(at, self.reach) + 1
+            self.upto = np.concatenate([self.upto, at[begin:end]])
+            self.leaves = np.concatenate([self.leaves, leaves[begin:end]])
+
+    def table(self) -> pd.DataFrame:
+        # Of neighbouring entry states with the same outcome, the last one is enough.
+        kept = np.append(self.leaves[1:] != self.leaves[:-1], True)
+        return pd.DataFrame(
+            {**dict(zip(_SLICE, self.key)), "upto": self.upto[kept], "leaves": self.leaves[kept]})
+
+
+def _slice_steps(pause: int):
+    """The step map of each slice, composed batch by batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _whole_groups(batches):
-            group, axis, ends = _on_one_axis(rows, width)
-            following = np.searchsorted(axis, axis + pause)
-            here = np.arange(len(rows))
-            last = np.where(following < ends[group], following, here)
-            while True:  # doubles the distance each round
-                further = last[last]
-                if np.array_equal(further, last):
-                    break
-                last = further
-            starts = np.append(0, ends[:-1])
-            first_free = np.searchsorted(axis, np.arange(len(ends)) * width + pause)
-            reachable = here <= np.maximum(np.minimum(first_free, ends - 1), starts)[group]
-            steps = rows.assign(upto=rows["_us"], last_fire=rows["_us"].to_numpy()[last])
-            steps = steps.loc[reachable, [*_SLICE, "upto", "last_fire"]]
-            # Of neighbouring entry states with the same outcome, the last one is enough.
-            outcome = steps[[*_SLICE, "last_fire"]]
-            yield steps[(outcome != outcome.shift(-1)).any(axis=1)]
+        open_map = None
+        for rows in batches:
+            if rows.empty:
+                continue
+            at, done = rows["_us"].to_numpy(), []
+            for begin, end in zip(*_stretches(rows)):
+                key = tuple(rows[_SLICE].iloc[begin])
+                if open_map is None or open_map.key != key:
+                    if open_map is not None:
+                        done.append(open_map.table())
+                    open_map = _StepMap(key, int(at[begin]), pause)
+                open_map.then(at[begin:end])
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if open_map is not None:
+            yield open_map.table()
 
     return run
 
 
-def _entry_states(pause: int):
+def _entry_states():
     """First moment of each slice at which an alert may fire, from steps in time order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,7 +124,7 @@ def _entry_states(pause: int):
                 continue
             names = rows[_SLICE]
             starts = np.flatnonzero((names != names.shift()).any(axis=1).to_numpy())
-            upto, last = rows["upto"].to_numpy(), rows["last_fire"].to_numpy()
+            upto, leaves = rows["upto"].to_numpy(), rows["leaves"].to_numpy()
             out = []
             for begin, end in zip(starts, np.append(starts[1:], len(rows))):
                 ip, kind, start = names.iloc[begin]
@@ -117,22 +136,30 @@ def _entry_states(pause: int):
                 if not settled:  # a slice's steps may continue in the next batch
                     step = begin + np.searchsorted(upto[begin:end], free_at)
                     if step < end:
-                        leaves_at, settled = int(last[step]) + pause, True
+                        leaves_at, settled = int(leaves[step]), True
             yield pd.DataFrame(out, columns=[*_SLICE, "_free_at"])
 
     return run
 
 
 def _fire(pause: int, width: int):
+    """The candidates that fire; the state of a slice is carried to its next batch."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _whole_groups(batches):
-            group, axis, ends = _on_one_axis(rows, width)
-            starts = np.append(0, ends[:-1])
-            # An entry state lies within the slice's first minute, or before the slice.
-            wait = np.maximum((rows["_free_at"] - rows["_slice"]).to_numpy()[starts], 0)
-            front = np.searchsorted(axis, np.arange(len(ends)) * width + np.minimum(wait, width))
-            limit = ends
-            fired = []
+        carried_key, carried = None, _ALWAYS
+        for rows in batches:
+            if rows.empty:
+                continue
+            begin, end = _stretches(rows)
+            free_at = rows["_free_at"].to_numpy()[begin].copy()
+            if tuple(rows[_SLICE].iloc[0]) == carried_key:
+                free_at[0] = carried
+            # One axis on which slices follow each other, further apart than a pause.
+            at, start = rows["_us"].to_numpy(), rows["_slice"].to_numpy()[begin]
+            number = np.arange(len(begin))
+            axis = np.repeat(number, end - begin) * width + at - np.repeat(start, end - begin)
+            front = np.searchsorted(axis, number * width + np.clip(free_at - start, 0, width))
+            limit, fired = end, []
             while True:
                 inside = front < limit
                 front, limit = front[inside], limit[inside]
@@ -140,8 +167,11 @@ def _fire(pause: int, width: int):
                     break
                 fired.append(front)
                 front = np.searchsorted(axis, axis[front] + pause)
-            if fired:
-                yield rows.iloc[np.sort(np.concatenate(fired))][["id", *_SLICE, "_us"]]
+            places = np.sort(np.concatenate(fired)) if fired else np.zeros(0, np.int64)
+            carried_key, carried = tuple(rows[_SLICE].iloc[-1]), free_at[-1]
+            if len(places) and places[-1] >= begin[-1]:
+                carried = at[places[-1]] + pause
+            yield rows.iloc[places][["id", *_SLICE, "_us"]]
 
     return run
 
@@ -173,16 +203,17 @@ def cooldown(
     ).repartition(*_SLICE)
     in_order = events.sortWithinPartitions(*_SLICE, "_us", "id")
     steps = in_order.mapInPandas(
-        _slice_steps(pause, width), f"{step_type}, upto bigint, last_fire bigint"
+        _slice_steps(pause), f"{step_type}, upto bigint, leaves bigint"
     )
     entries = (
         steps.repartition(*_KEY)
         .sortWithinPartitions(*_SLICE, "upto")
-        .mapInPandas(_entry_states(pause), f"{step_type}, _free_at bigint")
+        .mapInPandas(_entry_states(), f"{step_type}, _free_at bigint")
     )
     return (
         events.join(entries, _SLICE)
         .select("id", *_SLICE, "_us", "_free_at")
+        .repartition(*_SLICE)  # a join need not keep groups whole
         .sortWithinPartitions(*_SLICE, "_us", "id")
         .mapInPandas(_fire(pause, width), f"id {id_type}, {step_type}, _us bigint")
         .select("id", *_KEY)

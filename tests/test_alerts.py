@@ -1,12 +1,13 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from palisade.config import Settings
-from palisade.operators.alerts import alert_candidates, cooldown, fire_alerts, latest_fires
+from palisade.operators.alerts import _StepMap, alert_candidates, cooldown, fire_alerts, latest_fires
 from samples import START, expected_fires
 
 FIELDS = "id bigint, ts timestamp_ntz, source_ip string, alert_type string"
@@ -55,6 +56,43 @@ def test_matches_one_by_one(spark, seed, cooldown_slice_seconds):
     assert fired(spark, rows, settings=options) == expected_fires(rows)
 
 
+@pytest.mark.parametrize("batch_rows", [1, 3, 50])
+@pytest.mark.parametrize("cooldown_slice_seconds", [60, 3600])
+def test_slices_pass_through_in_batches(spark, batch_rows, cooldown_slice_seconds):
+    draw = random.Random(batch_rows)
+    one_key = rows_at(sorted(draw.randrange(0, 1600) for _ in range(400)))
+    others = rows_at([draw.randrange(0, 1600) for _ in range(60)], ip="2.2.2.2", first=1000)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    try:
+        options = Settings(cooldown_slice_seconds=cooldown_slice_seconds)
+        assert fired(spark, one_key + others, settings=options) == expected_fires(one_key + others)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_composed_map_equals_that_of_the_whole():
+    pause = 60
+    for seed in range(30):
+        draw = random.Random(seed)
+        at = np.sort(np.array([draw.randrange(400) for _ in range(draw.randint(1, 80))]))
+        cuts = sorted(draw.randrange(len(at) + 1) for _ in range(4))
+        whole, parts = _StepMap(("k",), int(at[0]), pause), _StepMap(("k",), int(at[0]), pause)
+        whole.then(at)
+        for part in np.split(at, cuts):
+            if len(part):
+                parts.then(part)
+        for state in range(int(at[0]) - 5, int(at[0]) + pause):
+            free_at = state
+            for moment in at:
+                if moment >= free_at:
+                    free_at = moment + pause
+            for made in (whole, parts):
+                place = np.searchsorted(made.upto, state)
+                assert free_at == (made.leaves[place] if place < len(made.upto) else state)
+        assert len(parts.upto) <= len(np.unique(at[at < at[0] + pause])) + 1
+
+
 @settings(
     max_examples=8, deadline=None, derandomize=True,
     suppress_health_check=[HealthCheck.function_scoped_fixture],
