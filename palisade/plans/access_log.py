@@ -135,7 +135,7 @@ def messages_from(log: DataFrame) -> DataFrame:
 
 
 def captured_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captured HTTP requests, one per page: peer, forwarded header, path and query."""
+    """Captured HTTP requests, one per page: peer, forwarded header, path, query and time."""
     page = table(spark, sf_dir, "pages")
     number = F.col("page_id").cast("string")
     after_host = F.regexp_extract("url", "^[a-z]+://[^/]+/(.*)$", 1)
@@ -153,4 +153,5 @@ def captured_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("")
         .alias("query"),
         F.lit("probe").alias("user_agent"),
+        F.expr("timestampadd(MILLISECOND, page_id * 250, timestamp_ntz '2024-05-01')").alias("captured_at"),
     )

@@ -959,10 +959,13 @@ def publish_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _three_digit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both engines print these numbers the same way."""
-    return _scored(spark, sf_dir).withColumn(
-        "anomaly_score", F.floor(F.col("anomaly_score") * 1000) / 1000
+def _payload_parts(feed: DataFrame, place: str) -> DataFrame:
+    """The score as a number, since engines print its last digits differently, and the other text."""
+    score = F.get_json_object("payload", place).cast("double")
+    return feed.select(
+        "id",
+        F.round(score, 6).alias("anomaly_score"),
+        F.regexp_replace("payload", '"anomaly_score":[^,}]+', '"anomaly_score":0').alias("payload"),
     )
 
 
@@ -974,33 +977,33 @@ _ISO = """strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 10000
     "live_feed",
     sql(
         "scored",
-        f"""SELECT id, '{{"event":{{"id":"' || id || '","timestamp":"' || {_ISO}
+        f"""SELECT id, round(anomaly_score, 6) AS anomaly_score,
+          '{{"event":{{"id":"' || id || '","timestamp":"' || {_ISO}
           || '","source_ip":"' || source_ip || '","method":"' || method || '","path":"' || path
-          || '","status_code":' || status_code || ',"anomaly_score":'
-          || CAST(floor(anomaly_score * 1000) / 1000 AS VARCHAR) || ',"attack_type":'
+          || '","status_code":' || status_code || ',"anomaly_score":0,"attack_type":'
           || coalesce('"' || attack_type || '"', 'null') || '}}}}' AS payload FROM scored""",
     ),
 )
 def live_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return capture.live_feed(_three_digit_scores(spark, sf_dir))
+    return _payload_parts(capture.live_feed(_scored(spark, sf_dir)), "$.event.anomaly_score")
 
 
 @query(
     "live_feed_flat",
     sql(
         "scored",
-        f"""SELECT id, '{{"event_id":"' || id || '","timestamp":"' || {_ISO}
+        f"""SELECT id, round(anomaly_score, 6) AS anomaly_score,
+          '{{"event_id":"' || id || '","timestamp":"' || {_ISO}
           || '","source_ip":"' || source_ip || '","method":"' || method || '","path":"' || path
-          || '","status_code":' || status_code || ',"anomaly_score":'
-          || CAST(score AS VARCHAR) || ',"attack_type":'
+          || '","status_code":' || status_code || ',"anomaly_score":0,"attack_type":'
           || coalesce('"' || attack_type || '"', 'null') || ',"severity":"'
-          || CASE WHEN score >= 0.95::DOUBLE THEN 'critical' WHEN score >= 0.85::DOUBLE THEN 'high'
-                  WHEN score >= 0.7::DOUBLE THEN 'medium' ELSE 'low' END || '"}}' AS payload
-        FROM (SELECT *, floor(anomaly_score * 1000) / 1000 AS score FROM scored)""",
+          || CASE WHEN anomaly_score >= 0.95::DOUBLE THEN 'critical' WHEN anomaly_score >= 0.85::DOUBLE THEN 'high'
+                  WHEN anomaly_score >= 0.7::DOUBLE THEN 'medium' ELSE 'low' END || '"}}' AS payload
+        FROM scored""",
     ),
 )
 def live_feed_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return capture.live_feed(_three_digit_scores(spark, sf_dir), nested=False)
+    return _payload_parts(capture.live_feed(_scored(spark, sf_dir), nested=False), "$.anomaly_score")
 
 
 @query(
@@ -1018,12 +1021,14 @@ def alert_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "http_capture",
-    """WITH requests AS (
+    f"""WITH requests AS (
       SELECT page_id, CAST(page_id AS VARCHAR) AS number,
+        TIMESTAMP '2024-05-01' + to_milliseconds(page_id * 250) AS ts,
         regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1) AS rest, length(html) % 3 AS kind
       FROM pages),
     paths AS (
-      SELECT *, '/' || split_part(rest, '?', 1) || CASE WHEN contains(rest, '?')
+      SELECT *, regexp_extract(rest, '[?](.*)$', 1) AS query,
+        '/' || split_part(rest, '?', 1) || CASE WHEN contains(rest, '?')
         AND length(regexp_extract(rest, '[?](.*)$', 1)) > 0
         THEN '?' || regexp_extract(rest, '[?](.*)$', 1) ELSE '' END AS path FROM requests)
     SELECT page_id AS id,
@@ -1031,11 +1036,14 @@ def alert_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
       'honeypot' AS dest_ip, 'GET' AS method, path,
       CAST(CASE WHEN regexp_matches(path, 'admin|login|wp-|config|env|api') THEN 200 ELSE 404 END
         AS INTEGER) AS status_code,
-      'probe' AS user_agent, 'http' AS log_source
+      'probe' AS user_agent, 'http' AS log_source, {_ISO} AS "timestamp",
+      '{{"headers":{{"x_forwarded_for":' || CASE kind WHEN 0 THEN '" 203.0.113.' || number || ' , 10.0.0.1"'
+        WHEN 1 THEN '""' ELSE 'null' END || ',"user_agent":"probe"}},"query":'
+        || CAST(to_json(query) AS VARCHAR) || '}}' AS raw_log
     FROM paths""",
 )
 def http_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return capture.capture_log(source.captured_requests(spark, sf_dir)).drop("raw_log")
+    return capture.capture_log(source.captured_requests(spark, sf_dir))
 
 
 # --- parsing -------------------------------------------------------------------------------

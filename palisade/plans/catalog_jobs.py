@@ -32,6 +32,7 @@ from palisade.plans.oracles import LABEL_FEED, OVERRIDE_FEED, RESOLUTION_FEED, s
 from palisade.schemas import FEATURE_NAMES
 from palisade.session import stored, work_folder
 from palisade.sources.raw import raw_stream, with_arrival
+from palisade.streaming.dashboard import events_per_second_stream, running_totals_stream
 from palisade.streaming.features import features_stream
 from palisade.streaming.flow import Flow
 
@@ -95,6 +96,54 @@ def raw_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(parsed.schema).parquet(target)
 
 
+def _landed(spark: SparkSession, stream: DataFrame, mode: str, purpose: str) -> DataFrame:
+    """What a stream of figures has given out when all its input is done."""
+    out = work_folder(spark, purpose)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        if mode == "complete":  # every batch holds all figures
+            batch.write.mode("overwrite").parquet(out)
+        else:
+            batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(keep)
+    _finish(
+        writer.option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start())
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
+
+
+@query(
+    "events_per_second_stream",
+    sql(
+        "log",
+        # A tick is given out once nothing can fall in it any more: the newest minute is still open.
+        """SELECT date_trunc('second', ts) AS tick, count(*) AS events FROM access_log GROUP BY 1
+        HAVING date_trunc('second', ts) + INTERVAL 1 SECOND <=
+          (SELECT max(date_trunc('milliseconds', ts)) - INTERVAL 1 MINUTE FROM access_log)""",
+    ),
+)
+def events_per_second_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _landed(
+        spark, events_per_second_stream(_event_stream(spark, sf_dir)), "append", "ticks")
+
+
+@query(
+    "running_totals_stream",
+    sql(
+        "scored",
+        """SELECT count(*) AS total_events, count(CASE WHEN anomaly_score >= 0.7::DOUBLE THEN 1 END) AS total_alerts
+        FROM scored""",
+    ),
+)
+def running_totals_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals over the events that the streaming job has stored, as they arrive."""
+    events = _run_flow(spark, sf_dir).events(spark).select("id", "anomaly_score")
+    channel = work_folder(spark, "scored")
+    events.write.parquet(channel)
+    arriving = spark.readStream.schema(events.schema).parquet(channel)
+    return _landed(spark, running_totals_stream(arriving), "complete", "totals")
+
+
 @query(
     "features_stream",
     sql(

@@ -14,11 +14,12 @@ BAIT_PATH_PARTS = ["admin", "login", "wp-", "config", "env", "api"]
 CAPTURE_TARGET = "honeypot"
 
 
-def capture_log(requests: DataFrame) -> DataFrame:
+def capture_log(requests: DataFrame, ts: str = "captured_at") -> DataFrame:
     """Log records of captured requests.
 
-    ``requests`` is (peer_ip, x_forwarded_for, method, path, query, user_agent, ...). The client
-    is the first forwarded address when there is one, else the peer.
+    ``requests`` is (peer_ip, x_forwarded_for, method, path, query, user_agent, captured_at, ...). The
+    client is the first forwarded address when there is one, else the peer. ``timestamp`` is the text
+    that the parser reads, so a published record enters the windows at the time of its capture.
     """
     forwarded = F.when(F.length("x_forwarded_for") > 0, F.col("x_forwarded_for"))
     client = F.regexp_replace(F.substring_index(forwarded, ",", 1), r"(?U)^\s+|\s+$", "")
@@ -37,6 +38,7 @@ def capture_log(requests: DataFrame) -> DataFrame:
             F.struct(F.struct("x_forwarded_for", "user_agent").alias("headers"), "query"),
             {"ignoreNullFields": "false"},
         ).alias("raw_log"),
+        iso_format(F.col(ts)).alias("timestamp"),
     )
 
 

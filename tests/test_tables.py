@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade.operators import dashboard, feedback, tables
+from palisade.operators.parse import accepted, parse_log
 from palisade.sources import capture
 from samples import START
 
@@ -162,7 +163,15 @@ def test_capture(spark):
         "id int, peer_ip string, x_forwarded_for string, method string, path string, "
         "query string, user_agent string",
     )
-    rows = capture.capture_log(requests).orderBy("id").collect()
+    timed = requests.withColumn("captured_at", F.expr("timestamp_ntz '2024-05-06 07:08:09.5'"))
+    rows = capture.capture_log(timed).orderBy("id").collect()
+    assert {row["timestamp"] for row in rows} == {"2024-05-06T07:08:09.500000"}
+    # A captured request that is published and parsed keeps its time and its text.
+    published = capture.publish_log(capture.capture_log(timed).drop("id")).withColumn(
+        "ingest_ts", F.expr("timestamp_ntz '2030-01-01'"))
+    parsed = accepted(parse_log(published)).orderBy("user_agent", "method").collect()
+    assert {row["ts"] for row in parsed} == {dt.datetime(2024, 5, 6, 7, 8, 9, 500000)}
+    assert {row["raw_log"] for row in parsed} == {row["raw_log"] for row in rows}
     assert [row["source_ip"] for row in rows] == ["1.1.1.1", "9.9.9.9", "127.0.0.1"]
     assert [row["path"] for row in rows] == ["/wp-login.php?a=1", "/x", "/ADMIN"]
     assert [row["status_code"] for row in rows] == [200, 404, 404]
