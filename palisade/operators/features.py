@@ -101,13 +101,14 @@ def sliding_counts(
     ts: str = "ts",
     slice_seconds: int = DEFAULTS.window_slice_seconds,
     resets: DataFrame | None = None,
-    busy_rows: int | None = None,
+    busy_rows: int | None = DEFAULTS.busy_rows,
 ) -> DataFrame:
     """Adds the seven window features to each log row.
 
-    ``resets`` lists (source_ip, reset_at); frames never reach back over a reset. With
-    ``busy_rows``, addresses with more events than that in one slice are split by the second, which
-    takes an extra pass over addresses and times; ``log`` should be a stored table then.
+    ``resets`` lists (source_ip, reset_at); frames never reach back over a reset. Addresses with more
+    than ``busy_rows`` events in one slice are split by the second, with equal results; they are looked
+    up in a pass over addresses and times of ``log``, which should be a stored table. None leaves that
+    out, for logs that are known to have no such address.
 
     Distinct paths: an event stands for its path from its own time until the next event on that
     path, or for one minute when there is none by then. The number of distinct paths at ``ts`` is
@@ -116,12 +117,12 @@ def sliding_counts(
     if busy_rows is not None:
         from palisade.operators.busy import busy_addresses, busy_counts
 
-        if resets is not None:
-            raise ValueError("resets and busy_rows do not go together")
-        busy = stored(busy_addresses(log, ts, slice_seconds, busy_rows), "busy-list")
-        others = log.join(busy, "source_ip", "left_anti").select(*log.columns)
-        split = busy_counts(log.join(busy, "source_ip", "left_semi").select(*log.columns), ts)
-        return sliding_counts(others, ts, slice_seconds).unionByName(split)
+        busy = busy_addresses(log, ts, slice_seconds, busy_rows)
+        if not busy.isEmpty():
+            busy = stored(busy, "busy-list")
+            others = log.join(busy, "source_ip", "left_anti").select(*log.columns)
+            split = busy_counts(log.join(busy, "source_ip", "left_semi").select(*log.columns), ts, resets)
+            return sliding_counts(others, ts, slice_seconds, resets, None).unionByName(split)
     sliced = with_eras(with_slices(with_resets(log, resets, ts), ts, slice_seconds), resets)
     by_path = Window.partitionBy("source_ip", "_slice", "_era", "path").orderBy("_us")
     minute = MINUTE * MICROS
@@ -200,7 +201,7 @@ def with_features(
     ts: str = "ts",
     slice_seconds: int = DEFAULTS.window_slice_seconds,
     resets: DataFrame | None = None,
-    busy_rows: int | None = None,
+    busy_rows: int | None = DEFAULTS.busy_rows,
 ) -> DataFrame:
     return feature_vector(
         binary_flags(sliding_counts(log, ts, slice_seconds, resets, busy_rows))

@@ -213,32 +213,43 @@ def _reset_frame(seconds: int) -> str:
     )
 
 
-@query(
-    "cleanup_ip",
-    sql(
-        "log",
-        f"""SELECT id, source_ip, count(*) OVER {_reset_frame(60)} AS ip_req_count_1m,
-          count(*) OVER {_reset_frame(300)} AS ip_req_count_5m,
-          count(DISTINCT path) OVER {_reset_frame(60)} AS unique_paths_1m
-        FROM eras""",
-        """
+_CLEANUP_SQL = sql(
+    "log",
+    f"""SELECT id, source_ip, count(*) OVER {_reset_frame(60)} AS ip_req_count_1m,
+      count(*) OVER {_reset_frame(300)} AS ip_req_count_5m,
+      count(DISTINCT path) OVER {_reset_frame(60)} AS unique_paths_1m
+    FROM eras""",
+    """
 eras AS (
   SELECT *, count(CASE WHEN event_type = 'signup' THEN 1 END) OVER (
     PARTITION BY source_ip ORDER BY ts
     RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS era
   FROM access_log)""",
-    ),
 )
-def cleanup_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = source.access_log(spark, sf_dir)
+
+
+def _cleaned(spark: SparkSession, sf_dir: str, busy_rows: int) -> DataFrame:
+    log = source.access_log(spark, sf_dir).select(
+        "id", "ts", "source_ip", "path", "status_code", "event_type")
     resets = log.where(F.col("event_type") == "signup").select(
         "source_ip", F.col("ts").alias("reset_at")
     )
-    return features.sliding_counts(log, resets=resets).select(
+    return features.sliding_counts(log, resets=resets, busy_rows=busy_rows).select(
         "id", "source_ip", "ip_req_count_1m", "ip_req_count_5m", "unique_paths_1m"
     )
 
 
+@query("cleanup_ip", _CLEANUP_SQL)
+def cleanup_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cleaned(spark, sf_dir, features.DEFAULTS.busy_rows)
+
+
+@query("busy_address_cleanup", _CLEANUP_SQL)
+def busy_address_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with busy addresses, here from 300 events in a slice on, split by the second."""
+    return _cleaned(spark, sf_dir, 300)
+
+
 @query(
     "event_defaults",
     sql(

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from palisade.operators.busy import busy_addresses, busy_counts
+from palisade.operators.busy import _flagged, busy_addresses, busy_counts
 from palisade.operators.features import event_defaults, sliding_counts, with_features
 from palisade.operators.scoring import hybrid
 from palisade.schemas import FEATURE_NAMES
@@ -44,6 +44,41 @@ def test_busy_addresses_are_split_further(spark):
     assert result.columns == sliding_counts(frame).columns
 
 
+@pytest.mark.parametrize("seed, seconds", [(5, 700), (6, 6_000)])
+def test_busy_addresses_keep_their_resets(spark, seed, seconds):
+    """Resets within a second, at an event, and of an address without events; several blocks."""
+    log = random_log(seed, seconds=seconds)
+    moments = sorted({row[1] for row in log if row[2] == "10.0.0.1"})
+    resets = spark.createDataFrame(
+        [("10.0.0.1", moments[len(moments) // 3]), ("10.0.0.1", moments[len(moments) // 2]),
+         ("10.0.0.1", moments[len(moments) // 2] + dt.timedelta(microseconds=1)),
+         ("10.0.0.2", START + dt.timedelta(seconds=seconds // 2)), ("10.9.9.9", START)],
+        "source_ip string, reset_at timestamp_ntz",
+    )
+    frame = spark.createDataFrame(log, LOG_FIELDS)
+    want = as_dict(sliding_counts(frame, resets=resets, busy_rows=None))
+    assert as_dict(busy_counts(frame, resets=resets)) == want
+    assert as_dict(sliding_counts(frame, resets=resets, busy_rows=60)) == want
+    assert want != expected_counts(log)
+
+
+def test_one_address_with_nearly_all_rows(spark):
+    """No task takes much more than the others, though nine rows in ten have one address."""
+    rows = [
+        (nth, START + dt.timedelta(milliseconds=137 * nth), "10.0.0.1" if nth % 10 else f"10.0.1.{nth % 50}",
+         "GET", f"/{nth % 7}", 200 if nth % 3 else 404, 0.0)
+        for nth in range(4_000)
+    ]
+    frame = spark.createDataFrame(rows, LOG_FIELDS)
+    split = _flagged(frame.where("source_ip = '10.0.0.1'"), "ts", None)
+    per_task = [r["count"] for r in split.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per_task) == 1 or max(per_task) <= 2 * sorted(per_task)[len(per_task) // 2]
+    per_key = split.groupBy("source_ip", "_era", "_second").count().agg(F.max("count")).first()[0]
+    assert per_key <= 8
+    want = as_dict(sliding_counts(frame, busy_rows=None))
+    assert as_dict(sliding_counts(frame, busy_rows=50)) == want
+
+
 def test_frames_are_closed_at_both_ends(spark):
     times = [0, 5, 60, 300, 300.000001]
     log = [
