@@ -43,7 +43,7 @@ from palisade.session import stored
 SCALE = 256
 #: Rows of the sample that the upper levels are grown on, upper nodes at most, rows of a part and of a
 #: leaf, anchors of a chunk, rows that give each search its first bound.
-SAMPLE, UPPER, PART, LEAF, CHUNK, SEED_ROWS = 8192, 512, 2048, 48, 1024, 1024
+SAMPLE, UPPER, PART, LEAF, CHUNK, SEED_ROWS = 8192, 512, 2048, 256, 1024, 1024
 #: By how much radii shrink from level to level.
 SHRINK = 1.4
 _LOW, _HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
@@ -60,12 +60,14 @@ def _distances(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.sqrt(((points - centre) ** 2).sum(axis=1))
 
 
-def cover(points: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+def cover(points: np.ndarray, radius: float, most: int = 1 << 30) -> tuple[np.ndarray, np.ndarray]:
     """Centres, the first row first, of which each point is within ``radius`` of one and no two are
-    within it of each other; and the nearest centre's place for each point."""
+    within it of each other; and the nearest centre's place for each point. With ``most`` centres the
+    radius stays at what they reach: in many dimensions points lie so far apart that each would be a
+    centre otherwise."""
     centres, nearest = [0], np.zeros(len(points), np.int64)
     least = _distances(points, points[0])
-    while least.max() > radius:
+    while least.max() > radius and len(centres) < most:
         far = int(least.argmax())  # the farthest point, so later centres stay apart
         apart = _distances(points, points[far])
         nearer = apart < least
@@ -90,7 +92,7 @@ def grow(points: np.ndarray, leaf: int, most: int = 1 << 30) -> dict[str, np.nda
         if len(inside) > leaf and reach > 0 and len(begin) < most:
             own = np.flatnonzero(inside == centre[node])[0]
             inside[[0, own]] = inside[[own, 0]]  # nesting: the parent's centre comes first
-            chosen, nearest = cover(points[inside], reach / SHRINK)
+            chosen, nearest = cover(points[inside], reach / SHRINK, max(4, 2 * len(inside) // leaf))
             if len(begin) + len(chosen) <= most:
                 dealt = np.argsort(nearest, kind="stable")
                 order[begin[node] : end[node]] = inside[dealt]
@@ -126,42 +128,61 @@ def _bounds(asked: np.ndarray, centres: np.ndarray, radius: np.ndarray) -> tuple
 def descend(tree: dict, ids, labels, rows, asked, ask_id, ask_label, low, high, same: bool, k: int):
     """The k best rows of each search in this tree: products and places, worst values where fewer.
 
-    ``low`` and ``high`` are the ends of the windows; ``low`` also holds what is known of the k-th."""
-    count, nodes = len(asked), len(tree["begin"])
+    ``low`` and ``high`` are the ends of the windows; ``low`` also holds what is known of the k-th. In
+    each turn every search opens its best node; searches that open the same one do so together."""
+    count, nodes, order = len(asked), len(tree["begin"]), tree["order"]
     top, owner = np.full((count, k), _LOW), np.full((count, k), -1)
-    rank_id = np.full((count, k), _HIGH)
-    kth = low.astype(np.float64)  # rounding down is safe as bounds have a margin; ties are opened
+    least_score = low.copy()
     opened = np.full((count, nodes), -np.inf)
     least, most = _bounds(asked, rows[tree["centre"][:1]], tree["radius"][:1])
     opened[:, :1] = np.where(least <= high[:, None], most, -np.inf)
+    held, held_id, held_label = rows[order], ids[order], labels[order]
     while True:
         best = opened.argmax(axis=1)
         bound = opened[np.arange(count), best]
-        live = np.flatnonzero((bound > -np.inf) & (bound >= kth))
+        # Bounds have a margin for rounding, and ties are opened.
+        live = np.flatnonzero((bound > -np.inf) & (bound >= least_score))
         if not len(live):
             return top, owner
         opened[live, best[live]] = -np.inf
-        for node in np.unique(best[live]):
-            who = live[best[live] == node]
+        live = live[np.argsort(best[live], kind="stable")]
+        cuts = np.flatnonzero(np.diff(best[live])) + 1
+        found = []
+        for who in np.split(live, cuts):
+            node = best[who[0]]
             below = slice(tree["first"][node], tree["last"][node])
             if below.stop:
                 least, most = _bounds(asked[who], rows[tree["centre"][below]], tree["radius"][below])
                 opened[who, below] = np.where(
-                    (least <= high[who, None]) & (most >= kth[who, None]), most, -np.inf)
+                    (least <= high[who, None]) & (most >= least_score[who, None]), most, -np.inf)
                 continue
-            at = tree["order"][tree["begin"][node] : tree["end"][node]]
-            score = products(asked[who], rows[at])
-            fits = (labels[at] == ask_label[who, None]) == same
-            fits &= ids[at] != ask_id[who, None]
-            fits &= (score >= low[who, None]) & (score <= high[who, None])
-            both = np.concatenate([top[who], np.where(fits, score, _LOW)], axis=1)
-            place = np.concatenate([owner[who], np.where(fits, at, -1)], axis=1)
-            name = np.concatenate([rank_id[who], np.where(fits, ids[at], _HIGH)], axis=1)
-            order = np.lexsort((name, -np.maximum(both, _LOW + 1)), axis=-1)[:, :k]
-            top[who], owner[who] = np.take_along_axis(both, order, 1), np.take_along_axis(place, order, 1)
-            rank_id[who] = np.take_along_axis(name, order, 1)
-            full = owner[who, -1] >= 0
-            kth[who[full]] = np.maximum(kth[who[full]], top[who[full], -1])
+            leaf = slice(tree["begin"][node], tree["end"][node])
+            score = products(asked[who], held[leaf])
+            fits = (score >= least_score[who, None]) & (score <= high[who, None])
+            fits &= (held_label[leaf] == ask_label[who, None]) == same
+            fits &= held_id[leaf] != ask_id[who, None]
+            row, col = np.nonzero(fits)
+            found.append((who[row], order[leaf][col], score[row, col]))
+        if found:
+            _merge(top, owner, ids, *map(np.concatenate, zip(*found)))
+            full = owner[:, -1] >= 0
+            least_score[full] = np.maximum(least_score[full], top[full, -1])
+
+
+def _merge(top: np.ndarray, owner: np.ndarray, ids: np.ndarray, who, place, score) -> None:
+    """Takes new rows of some searches into their k best: largest product, then smallest id."""
+    changed = np.unique(who)
+    row, col = np.nonzero(owner[changed] >= 0)
+    who = np.concatenate([who, changed[row]])
+    place = np.concatenate([place, owner[changed[row], col]])
+    score = np.concatenate([score, top[changed[row], col]])
+    order = np.lexsort((ids[place], -np.maximum(score, _LOW + 1), who))
+    who, place, score = who[order], place[order], score[order]
+    first = np.searchsorted(who, who)
+    rank = np.arange(len(who)) - first
+    kept = rank < top.shape[1]
+    top[changed], owner[changed] = _LOW, -1
+    top[who[kept], rank[kept]], owner[who[kept], rank[kept]] = score[kept], place[kept]
 
 
 def _clean(vectors: DataFrame, vec_id: str, label: str, vector: str) -> DataFrame:
