@@ -130,11 +130,16 @@ def test_topk_is_exact(table, monkeypatch):
     monkeypatch.setattr(block_topk, "RANGE", 4)
     monkeypatch.setattr(block_topk, "CHUNK", 3)
     found = lists(block_topk.search(table, F.col("id") % 50 == 0))
-    known = {i: np.floor(256 * v).astype(np.int64) for i, v in usable(table).items()}
-    assert set(found) == {i for i in known if i % 50 == 0}
+    fine = usable(table)
+    # Every row counts, as in the SQL, so the repeated row (id 50) counts twice.
+    known = [
+        (r["vec_id"], np.floor(256 * np.array(r["embedding"], np.float64)).astype(np.int64))
+        for r in table.collect() if r["vec_id"] in fine and r["embedding"] is not None and len(r["embedding"]) == 8
+    ]
+    assert set(found) == {i for i, _ in known if i % 50 == 0}
     for query, best in found.items():
-        scores = {i: int(known[query] @ v) for i, v in known.items() if i != query}
-        assert best == [(i, scores[i]) for i in sorted(scores, key=lambda i: (-scores[i], i))[:5]]
+        scores = [(i, int(q @ v)) for at, q in known if at == query for i, v in known if i != query]
+        assert best == sorted(scores, key=lambda r: (-r[1], r[0]))[:5]
 
 
 def test_topk_of_large_numbers_and_few_rows(spark):
