@@ -1,18 +1,20 @@
-"""Autoencoder trained data-parallel on Spark.
-
-Each epoch is one job: every partition runs Adam over its rows in mini-batches, starting from the
-common state, and the states are averaged weighted by rows. The averaging is an aggregation, so
-the driver receives one state of a few thousand numbers however many partitions there are.
+"""Autoencoder trained data-parallel on Spark, with a result that the layout of the rows can't change.
+
+Equal vectors are counted first. The counts are dealt out to buckets of some ``ROWS_PER_BUCKET`` rows by
+a hash of their content, so neither the number of partitions nor the order of rows nor a retried task
+plays a part, and a vector with a third of all rows spreads over many buckets. Each epoch every bucket
+runs Adam over its rows in mini-batches, in an order drawn from (seed, epoch, bucket), starting from the
+common state. The states are averaged, weighted by rows, in groups of ``FOLD`` successive buckets, level
+by level, so sums are always taken in the same order and the driver receives one state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,13 @@ THRESHOLD_PERCENTILE = 0.95
 DEFAULT_THRESHOLD = 0.1
 ADAM = (0.9, 0.999, 1e-8)
 
+#: Rows that one task trains on in sequence; the number of buckets follows the number of rows.
+ROWS_PER_BUCKET = 16_384
+#: Copies of one vector that stay together, and how many such pieces are cut off at once.
+PIECE, PIECES_AT_ONCE = 256, 1024
+#: States averaged by one task.
+FOLD = 32
+
 _SHAPES = [(a, b) for a, b in zip(LAYERS[:-1], LAYERS[1:])]
 WEIGHTS = sum(a * b + b for a, b in _SHAPES)
 MODEL_SCHEMA = "position int, weight double, shift double, scale double, threshold double"
@@ -98,37 +107,81 @@ def _as_points(vectors: pd.Series, shift: np.ndarray, scale: np.ndarray) -> np.n
     return (np.stack(vectors.to_numpy()).astype(np.float64) - shift) / scale
 
 
+def _cut(rows: DataFrame, size: int, nth: str) -> DataFrame:
+    """Cuts ``copies`` into parts of at most ``size``, numbered by ``nth``."""
+    parts = F.sequence(F.lit(0).cast("bigint"), F.expr(f"(copies - 1) div {size}"))
+    return rows.select("*", F.explode(parts).alias(nth)).withColumn(
+        "copies", F.least(F.col("copies") - F.col(nth) * size, F.lit(size))
+    )
+
+
+def _dealt(counted: DataFrame, buckets: int, seed: int) -> DataFrame:
+    """(features, copies, bucket) of distinct vectors with their number of ``copies``."""
+    pieces = _cut(_cut(counted, PIECE * PIECES_AT_ONCE, "_wide"), PIECE, "_nth")
+    place = F.xxhash64("features", "_wide", "_nth", F.lit(seed))
+    return pieces.select("features", "copies", F.pmod(place, F.lit(buckets)).alias("bucket"))
+
+
+def _moments(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation by component; decimal sums don't depend on their order."""
+    value = [F.col("features")[nth].cast("decimal(19, 9)") for nth in range(LAYERS[0])]
+    found = counted.agg(
+        F.sum("copies").alias("rows"),
+        F.array(*[F.sum(x * F.col("copies")) for x in value]).alias("sums"),
+        F.array(*[F.sum((x * x).cast("decimal(28, 9)") * F.col("copies")) for x in value]).alias("squares"),
+    ).first()
+    mean = [total / found["rows"] for total in found["sums"]]
+    spread = [max(total / found["rows"] - m * m, 0) for total, m in zip(found["squares"], mean)]
+    return np.array(mean, dtype=float), np.sqrt(np.array(spread, dtype=float))
+
+
+_STATE = "bucket bigint, rows bigint, state array<double>"
+
+
 def _train_epoch(
     state: np.ndarray, shift: np.ndarray, scale: np.ndarray, seed: int, epoch: int,
     batch_size: int, rate: float,
 ):
     decay_first, decay_second, epsilon = ADAM
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        random = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
+    def run(key: tuple, bucket: pd.DataFrame) -> pd.DataFrame:
+        number = int(key[0])
+        random = np.random.default_rng([seed, epoch, number])
         weights, first, second = (part.copy() for part in np.split(state[:-1], 3))
-        step, rows = state[-1], 0
-        for batch in batches:
-            if batch.empty:
-                continue
-            points = _as_points(batch["features"], shift, scale)
-            rows += len(points)
-            points = points[random.permutation(len(points))]
-            for start in range(0, len(points), batch_size):
-                gradient = _gradient(weights, points[start : start + batch_size], random)
-                step += 1
-                first = decay_first * first + (1 - decay_first) * gradient
-                second = decay_second * second + (1 - decay_second) * gradient**2
-                weights -= rate * (first / (1 - decay_first**step)) / (
-                    np.sqrt(second / (1 - decay_second**step)) + epsilon
-                )
-        if rows:
-            ended = np.concatenate([weights, first, second, [step]])
-            yield pd.DataFrame({"rows": [rows], "state": [ended]})
+        step = state[-1]
+        vectors, copies = np.stack(bucket["features"].to_numpy()), bucket["copies"].to_numpy()
+        order = np.lexsort([copies, *vectors.T])
+        points = np.repeat((vectors[order].astype(np.float64) - shift) / scale, copies[order], axis=0)
+        points = points[random.permutation(len(points))]
+        for start in range(0, len(points), batch_size):
+            gradient = _gradient(weights, points[start : start + batch_size], random)
+            step += 1
+            first = decay_first * first + (1 - decay_first) * gradient
+            second = decay_second * second + (1 - decay_second) * gradient**2
+            weights -= rate * (first / (1 - decay_first**step)) / (
+                np.sqrt(second / (1 - decay_second**step)) + epsilon
+            )
+        ended = np.concatenate([weights, first, second, [step]])
+        return pd.DataFrame({"bucket": [number], "rows": [len(points)], "state": [ended]})
 
     return run
 
 
+def _mean_state(key: tuple, states: pd.DataFrame) -> pd.DataFrame:
+    states = states.sort_values("bucket")
+    mean = np.average(np.stack(states["state"].to_numpy()), axis=0, weights=states["rows"])
+    return pd.DataFrame({"bucket": [key[0]], "rows": [states["rows"].sum()], "state": [mean]})
+
+
+def _averaged(states: DataFrame, buckets: int) -> np.ndarray:
+    """The mean of one state per bucket, folded level by level in the order of the buckets."""
+    while buckets > 1:
+        group = F.expr(f"bucket div {FOLD}").alias("group")
+        states = states.groupBy(group).applyInPandas(_mean_state, _STATE)
+        buckets = math.ceil(buckets / FOLD)
+    return np.array(states.first()["state"])
+
+
 @dataclass(frozen=True)
 class Autoencoder:
     weights: np.ndarray
@@ -146,30 +199,22 @@ class Autoencoder:
         seed: int = 42,
         standardize: bool = False,
     ) -> Autoencoder:
-        """Fits on ``rows`` (features), a stored table: every epoch reads it once."""
-        features = rows.select("features")
+        """Fits on ``rows`` (features), a stored table. Rows without features don't count."""
+        features = rows.select("features").where("features IS NOT NULL")
+        counted = stored(features.groupBy("features").agg(F.count("*").alias("copies")), "vectors")
+        total = counted.agg(F.sum("copies").alias("rows")).first()["rows"]
+        if not total:
+            raise ValueError("no training rows")
         shift, scale = np.zeros(LAYERS[0]), np.ones(LAYERS[0])
         if standardize:
-            column = [F.col("features")[nth].cast("double") for nth in range(LAYERS[0])]
-            found = features.agg(
-                F.array(*[F.avg(part) for part in column]).alias("mean"),
-                F.array(*[F.stddev_pop(part) for part in column]).alias("deviation"),
-            ).first()
-            shift, deviation = np.array(found["mean"]), np.array(found["deviation"])
+            shift, deviation = _moments(counted)
             scale = np.where(deviation > 0, deviation, 1.0)
+        buckets = math.ceil(total / ROWS_PER_BUCKET)
+        dealt = stored(_dealt(counted, buckets, seed), "dealt-vectors").groupBy("bucket")
         state = np.concatenate([initial_weights(seed), np.zeros(2 * WEIGHTS), [0.0]])
         for epoch in range(epochs):
             train = _train_epoch(state, shift, scale, seed, epoch, batch_size, rate)
-            parts = features.mapInPandas(train, "rows bigint, state array<double>")
-            averaged = (
-                parts.select("rows", F.posexplode("state").alias("position", "value"))
-                .groupBy("position")
-                .agg((F.sum(F.col("value") * F.col("rows")) / F.sum("rows")).alias("value"))
-                .toPandas()  # 3 * 2164 + 1 rows
-            )
-            if averaged.empty:
-                raise ValueError("no training rows")
-            state = averaged.sort_values("position")["value"].to_numpy()
+            state = _averaged(dealt.applyInPandas(train, _STATE), buckets)
         fitted = cls(state[:WEIGHTS], shift, scale)
         errors = stored(features.select(fitted.error(F.col("features")).alias("error")), "errors")
         threshold = error_threshold(errors, "error")

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from palisade.models import autoencoder
 from palisade.models.autoencoder import WEIGHTS, Autoencoder, _gradient, initial_weights, reconstruct
 from palisade.models.isolation_forest import IsolationForest, average_path, tree_samples
 from palisade.models.registry import Models, load_models, newest_version, retrain, train_models
@@ -133,6 +134,64 @@ def test_autoencoder_learns_and_ranks(rows):
     assert np.array_equal(Autoencoder.fit(normal, epochs=1, rate=5e-3).weights, short.weights)
 
 
+@pytest.mark.parametrize("standardize", [False, True])
+def test_autoencoder_does_not_depend_on_layout(rows, monkeypatch, standardize):
+    monkeypatch.setattr(autoencoder, "ROWS_PER_BUCKET", 30)  # 30 buckets and more
+    monkeypatch.setattr(autoencoder, "FOLD", 4)
+    monkeypatch.setattr(autoencoder, "PIECE", 8)
+    # A third of the rows are one vector.
+    hot = rows.where("id = 7").select("features", F.explode(F.sequence(F.lit(1), F.lit(300))).alias("n"))
+    log = rows.select("features").unionByName(hot.select("features"))
+    fits = [
+        Autoencoder.fit(laid_out, epochs=2, rate=5e-3, standardize=standardize)
+        for laid_out in (
+            log.repartition(1), log.orderBy(F.desc("features")).coalesce(4), log.repartition(9))
+    ]
+    for other in fits[1:]:
+        assert np.array_equal(fits[0].weights, other.weights)
+        assert np.array_equal(fits[0].scale, other.scale)
+        assert other.threshold == pytest.approx(fits[0].threshold, rel=1e-9)
+
+
+def test_no_bucket_holds_a_hot_vector(spark):
+    counted = spark.createDataFrame(
+        [([1.0] * 12, 700_001), *[([float(n)] * 12, 3) for n in range(2, 302)]],
+        "features array<float>, copies bigint",
+    )
+    dealt = autoencoder._dealt(counted, 40, seed=1)
+    assert dealt.agg(F.sum("copies")).first()[0] == 700_901
+    assert dealt.agg(F.max("copies")).first()[0] == autoencoder.PIECE
+    sizes = dealt.groupBy("bucket").agg(F.sum("copies").alias("n")).toPandas()["n"]
+    assert len(sizes) == 40 and sizes.max() < 2 * sizes.median()
+
+
+def test_autoencoder_equals_plain_adam(spark):
+    """One bucket is mini-batch Adam over all rows, one step after the other."""
+    draw = np.random.default_rng(3)
+    points = draw.integers(0, 3, (500, 12)).astype(np.float32)
+    frame = spark.createDataFrame([(row.tolist(),) for row in points], "features array<float>")
+    model = Autoencoder.fit(frame, epochs=3, batch_size=64, rate=1e-2, seed=5)
+    points = points[np.lexsort(points.T)].astype(float)
+    weights, mean, square, step = initial_weights(5), 0.0, 0.0, 0
+    for epoch in range(3):
+        random = np.random.default_rng([5, epoch, 0])
+        shuffled = points[random.permutation(500)]
+        for start in range(0, 500, 64):
+            slope = _gradient(weights, shuffled[start : start + 64], random)
+            step += 1
+            mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope * slope
+            weights = weights - 0.01 * (mean / (1 - 0.9**step)) / (
+                (square / (1 - 0.999**step)) ** 0.5 + 1e-8)
+    assert model.weights == pytest.approx(weights, rel=1e-9, abs=1e-12)
+    errors = ((reconstruct(weights, points) - points) ** 2).mean(axis=1)
+    assert model.threshold == pytest.approx(np.percentile(errors, 95), rel=1e-9)
+
+
+def test_autoencoder_without_rows(rows):
+    with pytest.raises(ValueError):
+        Autoencoder.fit(rows.where("false"), epochs=1)
+
+
 def test_standardized_autoencoder(rows):
     model = Autoencoder.fit(rows, epochs=1, standardize=True)
     assert model.scale.min() > 0.9 and not np.array_equal(model.shift, np.zeros(12))
