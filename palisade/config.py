@@ -15,7 +15,8 @@ class Settings:
     # Time slices that a source address is cut into before a shuffle, so that no single
     # address ends up in one task. The window slice must be at least the longest frame.
     window_slice_seconds: int = 900
-    fold_slice_seconds: int = 3600
+    # Reputation is summed up in slices of these lengths, each a multiple of the one before.
+    fold_seconds: tuple[int, ...] = (1, 60, 3600)
     # A cooldown slice passes through a task in batches; two integers are held per candidate of its
     # first minute.
     cooldown_slice_seconds: int = 3600

@@ -2,8 +2,9 @@
 
 With weight a for the newest event, m events turn an old value r into
 ``(1-a)^m * r + sum(a * (1-a)^(m-k) * c_k)``. The pair (m, sum) of a stretch of events is all that
-later steps need, and pairs of consecutive stretches combine. So a busy address is summed up per
-time slice first and its slices are combined afterwards; a micro-batch is a stretch as well.
+later steps need, and pairs of consecutive stretches combine. So an address is summed up per second
+first, then its seconds per minute, its minutes per hour and its hours; no task orders more than the
+events of one second or the few stretches of one level. A micro-batch is a stretch as well.
 """
 
 from __future__ import annotations
@@ -22,16 +23,17 @@ def _decay(events: Column, settings: Settings) -> Column:
 
 
 def combine_stretches(
-    stretches: DataFrame, order: str, settings: Settings = DEFAULTS
+    stretches: DataFrame, order: str, settings: Settings = DEFAULTS, within: str | None = None
 ) -> DataFrame:
-    """One stretch per address from consecutive ones, ordered by ``order``."""
-    later = Window.partitionBy("ip").orderBy(F.col(order).desc())
+    """One stretch per address, or per address and ``within``, from consecutive ones in ``order``."""
+    keys = ["ip", within] if within else ["ip"]
+    later = Window.partitionBy(*keys).orderBy(F.col(order).desc())
     after = F.coalesce(
         F.sum("events").over(later.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
     return (
         stretches.withColumn("_after", after)
-        .groupBy("ip")
+        .groupBy(*keys)
         .agg(
             F.sum("events").alias("events"),
             F.sum("alerts").alias("alerts"),
@@ -55,11 +57,11 @@ def summarise_events(
         "id",
         F.col(ts).alias("_ts"),
         score,
-        time_slice(micros, settings.fold_slice_seconds).alias("_slice"),
+        time_slice(micros, settings.fold_seconds[0]).alias("_slice"),
     )
     newest_first = Window.partitionBy("ip", "_slice").orderBy(F.desc("_ts"), F.desc("id"))
     contribution = F.lit(1.0) - score
-    per_slice = (
+    stretches = (
         events.withColumn("_after", F.row_number().over(newest_first) - 1)
         .groupBy("ip", "_slice")
         .agg(
@@ -74,7 +76,11 @@ def summarise_events(
             F.max("_ts").alias("last_seen"),
         )
     )
-    return combine_stretches(per_slice, "_slice", settings)
+    for seconds in settings.fold_seconds[1:]:
+        longer = stretches.withColumn("_longer", time_slice(F.col("_slice"), seconds))
+        stretches = combine_stretches(longer, "_slice", settings, within="_longer")
+        stretches = stretches.withColumnRenamed("_longer", "_slice")
+    return combine_stretches(stretches, "_slice", settings)
 
 
 def merge_reputation(

@@ -23,10 +23,10 @@ def events(seed, rows=500):
     ]
 
 
-@pytest.mark.parametrize("slice_seconds", [60, 3600, 10**6])
-def test_matches_one_by_one(spark, slice_seconds):
+@pytest.mark.parametrize("fold", [(1, 60, 3600), (60,), (3600,), (10**6,), (7, 70, 7000)])
+def test_matches_one_by_one(spark, fold):
     rows = events(1)
-    options = Settings(fold_slice_seconds=slice_seconds)
+    options = Settings(fold_seconds=fold)
     table = ops.reputation(spark.createDataFrame(rows, FIELDS), settings=options).collect()
     assert {row["ip"]: row["reputation_score"] for row in table} == pytest.approx(
         expected_reputation(rows)
@@ -40,6 +40,17 @@ def test_matches_one_by_one(spark, slice_seconds):
         assert row["last_seen"] == max(event[1] for event in own)
 
 
+def test_one_address_with_all_events(spark):
+    """The widest group that is ordered in a task is a second's events or sixty stretches."""
+    rows = [
+        (nth, START + dt.timedelta(milliseconds=37 * nth), "1.1.1.1", (nth % 11) / 10)
+        for nth in range(20_000)
+    ]
+    found = ops.reputation(spark.createDataFrame(rows, FIELDS)).first()
+    assert found["reputation_score"] == pytest.approx(expected_reputation(rows)["1.1.1.1"])
+    assert found["total_events"] == 20_000
+
+
 @pytest.mark.parametrize("cut", [1, 130, 499])
 def test_merge_anywhere_equals_one_pass(spark, cut):
     rows = sorted(events(2), key=lambda row: (row[1], row[0]))
