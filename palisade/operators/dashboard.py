@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from palisade.config import DEFAULTS, Settings
 from palisade.functions.scoring import alert_severity, table_band
-from palisade.functions.time import epoch_micros, time_slice
 from palisade.session import stored
 
 # Sizes of the live view.
@@ -19,58 +18,53 @@ FEED_ROWS = 50
 _RANKS_PER_TASK = 100_000
 
 
+def in_ranges(scored: DataFrame, ts: str = "ts") -> DataFrame:
+    """Id, time and score, stored, with the number ``_range`` of one of successive ranges of ``(ts, id)``.
+
+    Ranges have nearly equal size, whatever the times. Their bounds come from a sample, so the rows
+    are stored before; the number is stored, so later jobs can't see another division.
+    """
+    events = stored(scored.select("id", ts, "anomaly_score"), "live-scores")
+    numbered = events.repartitionByRange(ts, "id").withColumn("_range", F.spark_partition_id())
+    return stored(numbered, "live-ranges")
+
+
 def ranked(scored: DataFrame, ts: str = "ts", settings: Settings = DEFAULTS) -> DataFrame:
-    """Adds ``_rank`` (1 = oldest by ``(ts, id)``) and ``_alerts``, the running alert count.
+    """Id, time and score with ``_rank`` (1 = oldest by ``(ts, id)``) and ``_alerts``, the running
+    alert count.
 
-    A global window would put the table into one task. Instead events are counted per second, the
-    counts are accumulated per day and the days among themselves, and each event adds its place
-    within its second.
+    A global window would put the table into one task, and windows per second a hot second. Instead
+    events are cut into ranges, each range is counted, and an event adds its place within its range to
+    the ranges before.
     """
-    timed = scored.withColumn("_second", time_slice(epoch_micros(F.col(ts)), 1))
-    day = time_slice(F.col("_second"), 86_400)
+    ranges = in_ranges(scored, ts)
     is_alert = F.coalesce(F.col("anomaly_score") >= settings.anomaly_threshold, F.lit(False))
-    seconds = (
-        timed.groupBy("_second")
-        .agg(F.count("*").alias("_n"), F.count_if(is_alert).alias("_a"))
-        .withColumn("_day", day)
-    )
-    earlier = (Window.unboundedPreceding, -1)
-    of_day = Window.partitionBy("_day").orderBy("_second").rowsBetween(*earlier)
-    all_days = Window.orderBy("_day").rowsBetween(*earlier)
-    days = (
-        seconds.groupBy("_day")
-        .agg(F.sum("_n").alias("_n"), F.sum("_a").alias("_a"))
+    all_before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range: as many as the shuffle has partitions.
+    before = (
+        ranges.groupBy("_range").agg(F.count("*").alias("_n"), F.count_if(is_alert).alias("_a"))
         .select(
-            "_day",
-            F.coalesce(F.sum("_n").over(all_days), F.lit(0)).alias("_day_n"),
-            F.coalesce(F.sum("_a").over(all_days), F.lit(0)).alias("_day_a"),
+            "_range",
+            F.coalesce(F.sum("_n").over(all_before), F.lit(0)).alias("_before_n"),
+            F.coalesce(F.sum("_a").over(all_before), F.lit(0)).alias("_before_a"),
         )
     )
-    offsets = seconds.join(days, "_day").select(
-        "_second",
-        (F.col("_day_n") + F.coalesce(F.sum("_n").over(of_day), F.lit(0))).alias("_before_n"),
-        (F.col("_day_a") + F.coalesce(F.sum("_a").over(of_day), F.lit(0))).alias("_before_a"),
-    )
-    in_second = Window.partitionBy("_second").orderBy(ts, "id")
+    in_range = Window.partitionBy("_range").orderBy(ts, "id")
+    upto = in_range.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        timed.join(offsets, "_second")
-        .withColumn("_rank", F.col("_before_n") + F.row_number().over(in_second))
-        .withColumn(
-            "_alerts",
-            F.col("_before_a")
-            + F.count_if(is_alert).over(
-                in_second.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
+        ranges.withColumn("_place", F.row_number().over(in_range))
+        .withColumn("_own", F.count_if(is_alert).over(upto))
+        .join(F.broadcast(before), "_range")
+        .select(
+            "id",
+            ts,
+            "anomaly_score",
+            (F.col("_before_n") + F.col("_place")).alias("_rank"),
+            (F.col("_before_a") + F.col("_own")).alias("_alerts"),
         )
-        .select(*scored.columns, "_rank", "_alerts")
     )
 
 
-def _needed(scored: DataFrame, ts: str) -> DataFrame:
-    """Id, time and score, stored, as ranking reads them more than once."""
-    return stored(scored.select("id", ts, "anomaly_score"), "live-scores")
-
-
 def rolling_avg_score(
     scored: DataFrame, ts: str = "ts", rows: int = ROLLING_SCORES, settings: Settings = DEFAULTS
 ) -> DataFrame:
@@ -80,7 +74,7 @@ def rolling_avg_score(
     ``rows`` events before it, so the work spreads evenly whatever the rate.
     """
     run = max(_RANKS_PER_TASK, rows)
-    base = ranked(_needed(scored, ts), ts, settings).select(
+    base = ranked(scored, ts, settings).select(
         "id", ts, "_rank", F.coalesce("anomaly_score", F.lit(0.0)).alias("_score")
     )
     first = F.floor((F.col("_rank") - 1) / run)
@@ -121,7 +115,7 @@ def timeline(
 
     Only the events of these ticks and the ``rows`` events before them are averaged.
     """
-    scored = _needed(scored, ts)
+    scored = stored(scored.select("id", ts, "anomaly_score"), "live-scores")
     rates = events_per_second(scored, ts).orderBy(F.desc("tick")).limit(ticks)
     cut = rates.agg(F.min("tick").alias("cut")).scalar()
     before = scored.where(F.col(ts) < cut).orderBy(F.desc(ts), F.desc("id")).limit(rows)
@@ -175,7 +169,7 @@ def alert_feed(
 
 def running_totals(scored: DataFrame, ts: str = "ts", settings: Settings = DEFAULTS) -> DataFrame:
     """Events and alerts seen so far, after each event."""
-    return ranked(_needed(scored, ts), ts, settings).select(
+    return ranked(scored, ts, settings).select(
         "id",
         ts,
         F.col("_rank").alias("events_so_far"),

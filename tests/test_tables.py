@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,31 @@ def test_runs_of_the_rolling_mean_overlap(events, monkeypatch):
     assert short == pytest.approx(whole)
 
 
+def test_all_events_in_one_second(spark, monkeypatch):
+    rows = spark.range(40_000).select(
+        "id", F.expr("timestamp_ntz '2024-01-01 00:00:00'").alias("ts"),
+        F.when(F.col("id") % 5 > 0, (F.col("id") % 100) / 100).alias("anomaly_score"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = dashboard.in_ranges(rows).groupBy("_range").count().toPandas()["count"]
+        assert len(sizes) == 4 and sizes.max() < 2 * sizes.median()
+        totals = dashboard.running_totals(rows).orderBy("id").toPandas()
+        monkeypatch.setattr(dashboard, "_RANKS_PER_TASK", 1000)
+        means = dashboard.rolling_avg_score(rows).orderBy("id").toPandas()["rolling_avg_score"]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    scores = pd.Series([nth % 100 / 100 if nth % 5 else 0.0 for nth in range(40_000)])
+    assert (totals["events_so_far"] == totals["id"] + 1).all()
+    assert (totals["alerts_so_far"] == (scores >= 0.7).cumsum()).all()
+    assert (means - scores.rolling(500, min_periods=1).mean()).abs().max() < 1e-9
+
+
+def test_ranks_of_no_events(events):
+    assert dashboard.running_totals(events.where("false")).count() == 0
+    assert dashboard.rolling_avg_score(events.where("false")).count() == 0
+
+
 def test_live_view(events):
     table = dashboard.event_table(events, " 0.0.1 ", 0.9)
     assert ids(table) == [97, 94, 91]
