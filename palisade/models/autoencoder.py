@@ -179,7 +179,7 @@ def _averaged(states: DataFrame, buckets: int) -> np.ndarray:
         group = F.expr(f"bucket div {FOLD}").alias("group")
         states = states.groupBy(group).applyInPandas(_mean_state, _STATE)
         buckets = math.ceil(buckets / FOLD)
-    return np.array(states.first()["state"])
+    return np.array(states.collect()[0]["state"])  # one row
 
 
 @dataclass(frozen=True)
