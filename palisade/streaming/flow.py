@@ -132,6 +132,8 @@ class Flow:
         live_feed(events).select("payload").write.mode("overwrite").text(
             f"{self.table('live_feed')}/batch_id={batch_id}"
         )
+        if batch_id and batch_id % self.compact_every == 0:
+            self._tidy(spark, batch_id)
 
     def _store_events(self, batch: DataFrame, batch_id: int) -> T.StructType:
         own_id = F.when(F.col("copy") == 0, F.col("id"))
@@ -182,22 +184,48 @@ class Flow:
         return with_features(together).where("_late").select(*in_time.columns)
 
     def _store_alerts(self, events: DataFrame, batch_id: int) -> None:
-        spark, root = events.sparkSession, self.table("cooldown")
-        before = tables.latest_version(spark, root, before=batch_id)
-        last_fires = tables.read_snapshot(spark, root, COOLDOWN_SCHEMA, before)
+        spark = events.sparkSession
+        candidates = alert_ops.alert_candidates(events, self.settings)
+        earliest = candidates.agg(F.min("ts").cast("string").alias("ts")).first()["ts"]
+        # A fire longer ago than the pause before the first candidate silences none of them.
+        pause = F.expr(f"INTERVAL {self.settings.cooldown_seconds} SECONDS")
+        last_fires = self.last_fires(spark, batch_id - 1).where(
+            F.col("last_fire") > F.lit(earliest).cast("timestamp_ntz") - pause
+        )
         fired = alert_ops.fired_events(
             events, last_fires, created_at="created_at", settings=self.settings, in_storage=True
         )
         tables.write_batch(alert_ops.alert_rows(fired, "created_at"), self.table("alerts"), batch_id)
-        stored = tables.read_batch(
-            spark, self.table("alerts"), self.alert_schema(events), batch_id
-        ).select(F.col("event_id").alias("id"))
-        again = alert_ops.alert_candidates(events, self.settings).join(stored, "id", "left_semi")
-        tables.write_snapshot(alert_ops.latest_fires(again, last_fires), root, batch_id)
-        tables.prune_snapshots(spark, root, self.keep_snapshots)
         rows = tables.read_batch(spark, self.table("alerts"), self.alert_schema(events), batch_id)
+        again = candidates.join(rows.select(F.col("event_id").alias("id")), "id", "left_semi")
+        tables.write_batch(alert_ops.latest_fires(again), self.table("fires"), batch_id)
         tables.write_batch(alert_outbox(rows, events), self.table("alert_outbox"), batch_id)
 
+    def last_fires(self, spark: SparkSession, last: int) -> DataFrame:
+        """Latest alert time per (address, type) after micro-batch ``last``.
+
+        Each micro-batch adds what it fired; now and then all is folded into a snapshot.
+        """
+        version = tables.latest_version(spark, self.table("cooldown"), before=last + 1)
+        known = tables.read_snapshot(spark, self.table("cooldown"), COOLDOWN_SCHEMA, version)
+        fires = tables.read_batches(
+            spark, self.table("fires"), COOLDOWN_SCHEMA, -1 if version is None else version, last
+        )
+        return alert_ops.latest_fires(fires, known, ts="last_fire")
+
+    def _tidy(self, spark: SparkSession, batch_id: int) -> None:
+        """Compacts what is stored up to the micro-batch before this one."""
+        done = batch_id - 1
+        # In order of time, so that a micro-batch reads the latest part only.
+        fires = self.last_fires(spark, done).repartitionByRange("last_fire")
+        tables.write_snapshot(
+            fires.sortWithinPartitions("last_fire"), self.table("cooldown"), done
+        )
+        oldest = tables.prune_snapshots(spark, self.table("cooldown"), self.keep_snapshots)
+        tables.remove_batches(spark, self.table("fires"), oldest)
+        for name, order in (("events", "id"), ("alerts", "event_id"), ("alert_outbox", "timestamp")):
+            tables.compact(spark, self.table(name), done, order)
+
     def _store_reputation(self, events: DataFrame, batch_id: int) -> None:
         """Appends the batch's stretches; now and then they are folded into a snapshot."""
         stretches = reputation_ops.summarise_events(events, settings=self.settings)
@@ -205,9 +233,10 @@ class Flow:
         if batch_id and batch_id % self.compact_every == 0:
             table = self._reputation(events.sparkSession, last=batch_id)
             tables.write_snapshot(table, self.table("reputation"), batch_id)
-            tables.prune_snapshots(
+            oldest = tables.prune_snapshots(
                 events.sparkSession, self.table("reputation"), self.keep_snapshots
             )
+            tables.remove_batches(events.sparkSession, self.table("stretches"), oldest)
 
     # --- reading the tables ----------------------------------------------------------------
 

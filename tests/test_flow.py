@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,6 +241,72 @@ def test_old_snapshots_go(spark, log, tmp_path):
     assert tables.latest_version(spark, root, before=2) is None
 
 
+def test_compacted_tables_read_the_same_from_few_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "FAN_IN", 3)
+    root, every, batches = str(tmp_path / "t"), 3, 31
+    most = 0
+    for number in range(batches):
+        day = F.date_add(F.to_timestamp_ntz(F.lit("2024-01-01")), F.lit(number % 2))
+        frame = spark.range(number * 7, number * 7 + 7, numPartitions=1).select(
+            (F.col("id") * 37 % 1009).alias("id"), day.cast("timestamp_ntz").alias("ts"))
+        if number != 5:  # a micro-batch without rows leaves no folder
+            tables.write_batch(frame, root, number, date_of="ts")
+        if number % every == 0:
+            tables.compact(spark, root, number - 1, "id")
+        folders = [*(tmp_path / "t").glob("batch_id=*"), *(tmp_path / "t_runs").glob("run=*")]
+        most = max(most, len(folders))
+    expected = sorted(
+        (nth * 37 % 1009, nth // 7) for nth in range(batches * 7) if nth // 7 != 5)
+
+    def rows(last=None):
+        found = tables.read_complete(spark, root, last=last).select("id", "batch_id", "day", "ts")
+        collected = found.collect()
+        assert all(row["day"] == row["ts"].date() for row in collected)
+        return sorted((row["id"], row["batch_id"]) for row in collected)
+
+    assert rows() == expected
+    assert rows(last=29) == [row for row in expected if row[1] <= 29]
+    runs = tables.current_runs(spark, root)
+    assert [run.first for run in runs[1:]] == [run.last + 1 for run in runs[:-1]]
+    assert runs[0].first == 0 and runs[0].level == 2
+    # Runs of three levels, those they replace until the next turn, and the batches of two turns.
+    assert most <= 2 * tables.FAN_IN * 3 + 2 * every
+
+    # The run that was written last may be incomplete; what it replaces is still there.
+    (tmp_path / "t_runs" / runs[-1].path("").split("/")[-1] / "_SUCCESS").unlink()
+    assert rows() == expected
+    tables.compact(spark, root, 29, "id")
+    assert rows() == expected
+    # In order of ids, files of a day share none.
+    for folder in (tmp_path / "t_runs").glob("run=2-*/day=*"):
+        ranges = []
+        for path in folder.glob("*.parquet"):
+            group = pq.ParquetFile(path).metadata.row_group(0).column(0).statistics
+            ranges.append((group.min, group.max))
+        ranges.sort()
+        assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_cooldown_writes_follow_the_batch(spark, log, tmp_path):
+    job = Flow(str(tmp_path / "out"), score=by_ml_score)
+    fire = F.expr("timestamp_ntz '2023-01-01 00:00:00'")
+    many = spark.range(5000).select(
+        F.concat(F.lit("a"), "id").alias("source_ip"), F.lit("anomaly").alias("alert_type"),
+        fire.alias("last_fire"))
+    tables.write_snapshot(many, job.table("cooldown"), 0)
+    events = process_log(spark.createDataFrame(log, LOG_FIELDS), by_ml_score).events
+    events = events.withColumn("created_at", F.col("ts"))
+    tables.write_batch(events, job.table("events"), 1, date_of="ts")
+    job._store_alerts(tables.read_batch(spark, job.table("events"), events.schema, 1), 1)
+    written = spark.read.parquet(job.table("fires") + "/batch_id=1")
+    fired = job.alerts(spark).groupBy("alert_type").count().count()
+    assert 0 < fired <= written.count() < 240 and tables.latest_version(spark, job.table("cooldown")) == 0
+    assert job.last_fires(spark, 1).count() == 5000 + written.count()
+    job._tidy(spark, 2)
+    assert tables.latest_version(spark, job.table("cooldown")) == 1
+    assert job.last_fires(spark, 1).count() == 5000 + written.count()
+
+
 def test_a_half_written_batch_is_not_read(spark, log, tmp_path):
     root = str(tmp_path / "t")
     frame = spark.createDataFrame(log[:5], LOG_FIELDS)
