@@ -24,6 +24,7 @@ from palisade.plans.oracles import (
     sql,
 )
 from palisade.schemas import FEATURE_NAMES
+from palisade.session import stored
 from palisade.sources import capture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,7 +122,7 @@ def _resolution_feed(alerts: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    alerts = _alerts(spark, sf_dir)
+    alerts = stored(_alerts(spark, sf_dir), "alerts")
     return tables.resolve_alerts(
         alerts, _resolution_feed(alerts, source.access_log(spark, sf_dir))
     )
@@ -447,8 +448,6 @@ def alert_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql("gate", "SELECT f.id, p.ip AS source_ip, p.typ AS alert_type FROM fired f JOIN p USING (id)"),
 )
 def alert_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from palisade.session import stored
-
     candidates = alert_ops.alert_candidates(_scored(spark, sf_dir)).select(
         "id", "ts", "source_ip", "alert_type"
     )
@@ -565,9 +564,10 @@ def tag_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def reputation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first half of the time range as a known table, the second half merged into it."""
-    scored = _scored(spark, sf_dir)
-    log = source.access_log(spark, sf_dir)
-    middle = F.lit(percentile(log, epoch_micros(F.col("ts")), 0.5)).cast("double")
+    scored = stored(
+        _scored(spark, sf_dir).select("id", "ts", "source_ip", "anomaly_score"), "scored"
+    )
+    middle = F.lit(percentile(scored, epoch_micros(F.col("ts")), 0.5)).cast("double")
     early = epoch_micros(F.col("ts")) < middle
     known = reputation.reputation(scored.where(early))
     later = reputation.summarise_events(scored.where(~early))
@@ -709,8 +709,6 @@ def resolve_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def overview_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from palisade.session import stored
-
     scored = stored(
         _scored(spark, sf_dir).select(
             "id", "ts", "source_ip", "path", "status_code", "anomaly_score", "attack_type"
