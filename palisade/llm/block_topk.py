@@ -68,7 +68,7 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = matrix(batch.column("v"))
         if len(rows):
             rows[~rows.any(axis=1)] = 1.0
-            key = pa.array(strings(unit_rows(rows), 0))
+            key = pa.array(strings(unit_rows(rows), 0, 64))
             yield pa.RecordBatch.from_arrays([*batch.columns, key], names=[*batch.schema.names, "key"])
 
 

@@ -11,6 +11,8 @@ import corpus_pipeline
 from palisade.llm import block_topk, hash_forest, page_wrapper, queries
 
 SF_DIR = "/root/testdata/sf0.001"
+#: A forest in which every row is wanted.
+EVERYTHING = hash_forest.Setting(1, 8, 0, 1 << 40)
 
 
 def vectors(rows, size=8, seed=1):
@@ -47,7 +49,7 @@ def lists(frame):
 
 
 def test_forest_with_all_candidates_is_exact(table):
-    setting = hash_forest.Setting(1, 0, 1.0)
+    setting = EVERYTHING
     found = lists(hash_forest.search(table, F.col("vec_id") % 50 == 0, setting=setting))
     known = {i: v for i, v in usable(table).items() if v.any()}
     assert set(found) == {i for i in known if i % 50 == 0}
@@ -59,12 +61,16 @@ def test_forest_with_all_candidates_is_exact(table):
         assert len({i for i, _ in near}) == 5 and query not in {i for i, _ in near}
 
 
-def test_forest_recall(spark, monkeypatch):
-    monkeypatch.setattr(hash_forest, "BLOCK_ROWS", 100)
-    monkeypatch.setattr(hash_forest, "BLOCK_QUERIES", 3)
+def test_forest_recall_with_its_own_setting(spark, monkeypatch):
+    monkeypatch.setattr(hash_forest, "BLOCK_ROWS", 400)
+    monkeypatch.setattr(hash_forest, "BLOCK_QUERIES", 30)
+    monkeypatch.setattr(hash_forest, "PLACE_BITS", 9)
     rows = vectors(3000, size=24)
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    found = lists(hash_forest.search(table, F.col("vec_id") % 50 == 0, setting=hash_forest.Setting(48, 1, 1.0)))
+    used, fit = [], hash_forest.fit
+    monkeypatch.setattr(hash_forest, "fit", lambda *given: used.append(fit(*given)) or used[-1])
+    found = lists(hash_forest.search(table, F.col("vec_id") % 50 == 0))
+    assert used[0].recall >= hash_forest.RECALL and used[0].wanted < 3000
     unit = np.array([v for _, v in rows])
     unit /= np.linalg.norm(unit, axis=1)[:, None]
     hits = 0
@@ -75,33 +81,54 @@ def test_forest_recall(spark, monkeypatch):
     assert hits / 300 >= 0.9
 
 
-def test_fitted_forest_reaches_its_recall(spark):
-    entries = spark.createDataFrame([(v,) for _, v in vectors(4000, size=16)], "vector array<double>")
-    setting = hash_forest.fit(entries, entries.limit(80), 5)
-    assert setting.floor == 0 or setting.recall >= hash_forest.RECALL
-
-
-def test_forest_compares_all_rows_at_the_floor(spark, monkeypatch):
-    """A dense cell doesn't send a query below the floor that the fit measured."""
-    monkeypatch.setattr(hash_forest, "CANDIDATES", 8, raising=False)
-    rows = vectors(2000, size=8)
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    found = lists(hash_forest.search(table, F.col("vec_id") % 50 == 0, setting=hash_forest.Setting(4, 1, 1.0)))
+@pytest.mark.parametrize("floor, wanted", [(0, 60), (1, 300), (2, 1)])
+def test_forest_descends_and_ascends_as_a_plain_version_does(spark, monkeypatch, floor, wanted):
+    monkeypatch.setattr(hash_forest, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(hash_forest, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(hash_forest, "PLACE_BITS", 5)
+    random = np.random.default_rng(11)
+    # A third of the rows lies close together.
+    rows = vectors(1000) + [(1000 + i, (np.eye(8)[0] + random.normal(size=8) * 0.2).tolist()) for i in range(500)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    setting = hash_forest.Setting(4, 4, floor, wanted)
+    found = lists(hash_forest.search(table, F.col("vec_id") % 50 == 0, setting=setting))
     unit = hash_forest.unit_rows(np.array([v for _, v in rows], np.float64))
-    cells = [hash_forest.strings(unit, tree) >> hash_forest.BITS * (hash_forest.SYMBOLS - 1) for tree in range(4)]
-    for i in range(0, 2000, 50):
-        shared = np.any([c == c[i] for c in cells], axis=0)
-        near = np.where(shared, unit @ unit[i], -2)
+    # Symbols of every row and tree, one by one.
+    bits, length = 3, hash_forest.symbols(4)
+    words = [[[int(w) >> bits * (length - 1 - d) & 7 for d in range(length)] for w in hash_forest.strings(unit, t, 4)]
+             for t in range(4)]
+    for i in range(0, 1500, 50):
+        shared = np.array([[next((d for d in range(length) if a[d] != word[i][d]), length) for a in word] for word in words])
+        level = length
+        while level > floor and (shared >= level).sum() < wanted:
+            level -= 1
+        near = np.where((shared >= level).any(axis=0), unit @ unit[i], -2)
         near[i] = -2
-        assert [v for v, _ in found[i]] == np.argsort(-near)[:5].tolist()
+        best = np.argsort(-near)[:5]
+        assert [v for v, _ in found.get(i, [])] == [v for v in best.tolist() if near[v] > -2]
+
+
+def test_forest_setting_for_few_rows(spark):
+    entries = spark.createDataFrame([(v,) for _, v in vectors(3, size=16)], "vector array<double>")
+    assert hash_forest.fit(entries, entries.limit(0), 5).floor == 0
+    assert hash_forest.fit(entries, entries, 5).wanted >= 3
+
+
+def test_forest_of_repeated_ids_and_clashing_columns(spark):
+    """An id with two vectors asks with the smaller and is a candidate with both."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.1, 1.0]), (2, [1.0, 0.2]), (2, [1.0, 0.2]), (2, [0.2, 1.0]), (50, [3.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    table = table.withColumn("entry", F.lit("x")).withColumn("Vector", F.lit(1)).withColumn("id", F.lit(2.0))
+    found = lists(hash_forest.search(table, F.col("vec_id") % 50 == 0, setting=EVERYTHING))
+    assert [v for v, _ in found[0]] == [1, 2, 2, 50]
+    assert [v for v, _ in found[50]] == [0, 2, 2, 1, 0]
 
 
-def test_forest_at_floor_0_compares_all_rows_of_a_dense_group(spark, monkeypatch):
-    monkeypatch.setattr(hash_forest, "CANDIDATES", 8, raising=False)
+def test_forest_at_floor_0_compares_all_rows_of_a_dense_group(spark):
     random = np.random.default_rng(3)
     rows = vectors(1000) + [(1000 + i, (np.eye(8)[0] + random.normal(size=8) * 0.2).tolist()) for i in range(500)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    found = lists(hash_forest.search(table, F.col("vec_id") % 50 == 0, setting=hash_forest.Setting(1, 0, 1.0)))
+    found = lists(hash_forest.search(table, F.col("vec_id") % 50 == 0, setting=EVERYTHING))
     unit = hash_forest.unit_rows(np.array([v for _, v in rows], np.float64))
     for i in range(0, 1500, 50):
         near = unit @ unit[i]
@@ -116,13 +143,19 @@ def test_forest_tells_near_copies_apart(spark):
     rows = [(2000 - i, (base * (1 + 5e-4 * random.normal(size=8))).tolist()) for i in range(500)]
     rows += [(900 - i, (np.arange(1.0, 9) * (i + 1)).tolist()) for i in range(200)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    found = lists(hash_forest.search(table, F.col("vec_id") % 50 == 0, setting=hash_forest.Setting(1, 0, 1.0)))
-    ids = np.array([i for i, _ in rows])
-    unit = hash_forest.unit_rows(np.array([v for _, v in rows]))
-    for query in ids[ids % 50 == 0]:
-        near = np.round(unit @ unit[ids == query][0], 12)
-        near[ids == query] = -2
-        assert [v for v, _ in found[query]] == ids[np.lexsort((ids, -near))[:5]].tolist()
+    found = lists(hash_forest.search(table, F.col("vec_id") % 50 == 0, setting=EVERYTHING))
+    known = dict(rows)
+
+    def cosine(a, b):  # sums from left to right, unrounded
+        product, left, right = 0.0, 0.0, 0.0
+        for x, y in zip(a, b):
+            product, left, right = product + x * y, left + x * x, right + y * y
+        return product / (np.sqrt(left) * np.sqrt(right))
+
+    for query in known:
+        if query % 50 == 0:
+            near = sorted((-cosine(known[query], v), i) for i, v in known.items() if i != query)[:5]
+            assert found[query] == [(i, -score) for score, i in near]
 
 
 def test_topk_is_exact(table, monkeypatch):
