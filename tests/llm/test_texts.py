@@ -328,11 +328,51 @@ def test_language_of_held_out_documents(spark, odd, empty):
     prototypes = hd_language.learn(spark.createDataFrame([("aaa bbb", "x"), ("ccc ddd", "y")], "text string, lang string"))
     rows = {r["text"]: r for r in hd_language.predict(odd, prototypes).collect()}
     assert all(rows[t]["lang_pred"] == "und" for t in (None, "", " ", "\n"))
-    assert rows["a"]["lang_pred"] == "x" and rows["word"]["lang_pred"] in "xy"
+    # "a" and "word" share no run with what was learned.
+    assert rows["a"]["lang_pred"] in "xy" and rows["word"]["lang_pred"] in "xy"
+    near = hd_language.predict(spark.createDataFrame([("aaa",), ("Bbb!",), ("ccc",)], "text string"), prototypes)
+    assert {r["text"]: r["lang_pred"] for r in near.collect()} == {"aaa": "x", "Bbb!": "x", "ccc": "y"}
     assert hd_language.predict(empty, {}).count() == 0 and hd_language.learn(empty) == {}
     assert {r["lang_pred"] for r in hd_language.predict(odd, {}).collect()} == {"und"}
 
 
+def plain_profile(text):
+    """Letter by letter, without counts or chunks."""
+    letters = [c.lower()[0] if c.isalpha() else " " for c in f" {text} "]
+    words = "".join(letters).split(" ")
+    total = np.zeros(hd_language.DIMENSION)
+    for word in filter(None, words):
+        codes = [0, *map(ord, word), 0]
+        vectors = hd_language.letter_vectors(np.array(codes)).astype(float)
+        for i in range(len(codes) - 2):
+            total += np.roll(vectors[i], 2) * np.roll(vectors[i + 1], 1) * vectors[i + 2]
+    return total
+
+
+@pytest.mark.parametrize("kinds", [4096, 7])
+def test_profiles_are_those_of_a_plain_version(monkeypatch, kinds):
+    monkeypatch.setattr(hd_language, "KINDS", kinds)
+    random = np.random.default_rng(4)
+    texts = ["Häuser, 3 Hunde", "", "the the the the", "ΑΒΓ абв 漢字仮名 한글", "x"]
+    texts += ["".join(random.choice(list("ab 漢字仮名交文"), 40)) for _ in range(10)]
+    bundles, runs = hd_language.profiles(texts, np.arange(len(texts)), len(texts))
+    for text, bundle, n in zip(texts, bundles, runs):
+        assert np.array_equal(bundle, plain_profile(text)) and (n > 0) == any(map(str.isalpha, text))
+    both, _ = hd_language.profiles(texts, np.arange(len(texts)) % 2, 2, np.float64)
+    assert np.array_equal(both[0], sum(plain_profile(t) for t in texts[::2]))
+
+
+def test_language_of_a_long_text_of_many_different_letters(spark):
+    random = np.random.default_rng(6)
+    long = "".join(map(chr, random.integers(0x4E00, 0x9FA5, 150_000)))
+    other = "".join(map(chr, random.integers(0xAC00, 0xD7A0, 300)))
+    rows = [(long[:3000], "han"), (other, "hangul"), (None, "han"), (long, None), (other[:50] + "!", None), ("漢", None)]
+    docs = spark.createDataFrame(rows, "text string, lang string").withColumn("Score", F.lit("clash"))
+    named = {r["text"]: r for r in hd_language.predict(docs, hd_language.learn(docs)).collect()}
+    assert named[long]["lang_pred"] == "han" and named[other[:50] + "!"]["lang_pred"] == "hangul"
+    assert named[None]["lang_pred"] == "und" and all(0 <= r["score"] <= 1 for r in named.values())
+
+
 def test_quality_of_held_out_documents(spark, odd, empty):
     labels = pd.read_parquet("/root/testdata/sf0.01/labels.parquet").set_index("doc_id")["quality"]
     found = queries.op5_pu_quality(spark, "/root/testdata/sf0.01").toPandas().set_index("doc_id")
