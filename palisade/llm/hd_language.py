@@ -37,6 +37,8 @@ from palisade.llm.common import BASE, MIX, codes_of, slices, with_fields
 DIMENSION, RUN, SEED = 1024, 3, 20_240_117
 #: Bits of a letter's code point in a run's code, and distinct runs that are bound at once.
 CODE_BITS, KINDS = 21, 4096
+#: Distinct runs are found through a table of so many places, or by sorting.
+TABLE = 1 << 22
 #: Bytes and texts per slice.
 SLICE_BYTES, SLICE_ROWS = 1_000_000, 256
 UNKNOWN = "und"
@@ -88,6 +90,30 @@ def _runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return doc[:-2][whole], runs[whole]
 
 
+def _distinct(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.unique`` with the inverse; without sorting if there are few kinds of letters."""
+    parts = [(runs >> CODE_BITS * i & (1 << CODE_BITS) - 1).astype(np.int32) for i in reversed(range(RUN))]
+    there = np.zeros(1 << CODE_BITS, bool)
+    for part in parts:
+        there[part] = True
+    letters = np.flatnonzero(there)
+    if len(letters) ** RUN > TABLE:
+        return np.unique(runs, return_inverse=True)
+    number = np.zeros(1 << CODE_BITS, np.int32)
+    number[letters] = np.arange(len(letters))
+    code = np.zeros(len(runs), np.int32)
+    for part in parts:
+        code = code * np.int32(len(letters)) + number[part]
+    seen = np.zeros(len(letters) ** RUN, np.int32)
+    seen[code] = 1
+    found = np.flatnonzero(seen)
+    seen[found] = np.arange(len(found))
+    kinds = np.zeros(len(found), np.int64)
+    for i in reversed(range(RUN)):
+        kinds = kinds << CODE_BITS | letters[found // len(letters) ** i % len(letters)]
+    return kinds, seen[code].astype(np.int64)
+
+
 def profiles(texts: list[str], group: np.ndarray, groups: int, dtype: type = np.float32) -> tuple[np.ndarray, np.ndarray]:
     """The bundled runs of each group of texts, and how many runs each group has.
 
@@ -95,7 +121,7 @@ def profiles(texts: list[str], group: np.ndarray, groups: int, dtype: type = np.
     """
     doc, runs = _runs(texts)
     of = group[doc]
-    kinds, place = np.unique(runs, return_inverse=True)
+    kinds, place = _distinct(runs)
     bundle = np.zeros((groups, DIMENSION), dtype)
     if len(kinds) > KINDS:
         order = np.argsort(place, kind="stable")

@@ -362,6 +362,15 @@ def test_profiles_are_those_of_a_plain_version(monkeypatch, kinds):
     assert np.array_equal(both[0], sum(plain_profile(t) for t in texts[::2]))
 
 
+def test_distinct_runs_with_and_without_the_table(monkeypatch):
+    _, runs = hd_language._runs(["Straße und Wald", "ab ab ba", "漢字 кот"])
+    for runs in (runs, runs[:0]):
+        for table in (hd_language.TABLE, 0):
+            monkeypatch.setattr(hd_language, "TABLE", table)
+            kinds, place = hd_language._distinct(runs)
+            assert np.array_equal(kinds, np.unique(runs)) and np.array_equal(kinds[place], runs)
+
+
 def test_language_of_a_long_text_of_many_different_letters(spark):
     random = np.random.default_rng(6)
     long = "".join(map(chr, random.integers(0x4E00, 0x9FA5, 150_000)))
