@@ -1,5 +1,6 @@
 """Vector searches, page extraction, and the pipeline."""
 
+import math
 import zlib
 
 import duckdb
@@ -183,6 +184,37 @@ def test_topk_of_large_numbers_and_few_rows(spark):
     assert hash_forest.search(big.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_beside_huge_components(spark, monkeypatch):
+    """A row with a huge component spoils neither its block's bound nor its own score."""
+    monkeypatch.setattr(block_topk, "SEED_ROWS", 4)
+    rows = vectors(120)
+    rows[13] = (13, [3e38] + [0.25] * 7)
+    rows[14] = (14, [-1e12, 1e12] + [0.25] * 6)
+    for i in (50, 70, 71):
+        rows[i] = (i, [1e6 * x for x in rows[i][1]])
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = lists(block_topk.search(table, F.col("id") % 50 == 0))
+    known = [(r[0], [math.floor(256 * x) for x in r[1]]) for r in table.collect()]
+    ends = (-(1 << 63) + 1, (1 << 63) - 1)
+    for query, asked in known[::50]:
+        scores = [(i, sum(x * y for x, y in zip(asked, v))) for i, v in known if i != query]
+        held = [(i, min(max(score, ends[0]), ends[1])) for i, score in scores]
+        assert found[query] == sorted(held, key=lambda r: (-r[1], r[0]))[:5]
+
+
+def test_products_are_exact_at_all_sizes():
+    random = np.random.default_rng(3)
+    for size in (1e2, 1e7, 2e9, 1e12, 1e19, 1e40, 1e300):
+        a, b = (np.floor(random.normal(size=(30, 6)) * random.choice([1, size], (30, 6))) for _ in "ab")
+        b[:, 5], a[:5, 5] = size, 0
+        found = block_topk.products(a, b)
+        for i, j in np.ndindex(found.shape):
+            exact = sum(int(x) * int(y) for x, y in zip(a[i], b[j]))
+            assert found[i, j] == min(max(exact, -(1 << 63) + 1), (1 << 63) - 1)
+    wide = np.array([[(1 << 62) + 1, 3], [-(1 << 63), 0]])  # more digits than a double has
+    assert block_topk.products(wide, np.array([[1, 1]])).tolist() == [[(1 << 62) + 4], [-(1 << 63) + 1]]
+
+
 # --- pages ---------------------------------------------------------------------------------
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body>
