@@ -1,7 +1,7 @@
 """Autoencoder trained data-parallel on Spark, with a result that the layout of the rows can't change.
 
 Equal vectors are counted first. The counts are dealt out to buckets of some ``ROWS_PER_BUCKET`` rows by
-a hash of their content, so neither the number of partitions nor the order of rows nor a retried task
+a hash of their content, and a bucket is packed to one row, so that an epoch moves no rows: neither the number of partitions nor the order of rows nor a retried task
 plays a part, and a vector with a third of all rows spreads over many buckets. Each epoch every bucket
 runs Adam over its rows in mini-batches, in an order drawn from (seed, epoch, bucket), starting from the
 common state. The states are averaged, weighted by rows, in groups of ``FOLD`` successive buckets, level
@@ -11,10 +11,12 @@ by level, so sums are always taken in the same order and the driver receives one
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ ADAM = (0.9, 0.999, 1e-8)
 ROWS_PER_BUCKET = 16_384
 #: Copies of one vector that stay together, and how many such pieces are cut off at once.
 PIECE, PIECES_AT_ONCE = 256, 1024
+#: Buckets that a task holds at most when there are many, about a megabyte each.
+BUCKETS_PER_TASK = 32
 #: States averaged by one task.
 FOLD = 32
 
@@ -83,24 +87,35 @@ def reconstruct(weights: np.ndarray, points: np.ndarray) -> np.ndarray:
 
 def _gradient(weights: np.ndarray, points: np.ndarray, random: np.random.Generator) -> np.ndarray:
     """Gradient of the mean squared reconstruction error, with dropout."""
-    layers, inputs, gates, value = _layers(weights), [], [], points
+    gradient = np.empty_like(weights)
+    _into(_layers(gradient), _layers(weights), points, random)
+    return gradient
+
+
+def _into(gradient: list, layers: list, points: np.ndarray, random: np.random.Generator) -> None:
+    """Writes the gradient to the views ``gradient``, laid out as ``layers``."""
+    inputs, gates, value = [], [], points
     for nth, (matrix, bias) in enumerate(layers):
         inputs.append(value)
-        value = value @ matrix + bias
+        value = value @ matrix
+        value += bias
         if nth < len(layers) - 1:
             gate = (value > 0).astype(float)
             if nth in DROPOUT_AFTER:
                 gate *= (random.random(value.shape) >= DROPOUT) / (1.0 - DROPOUT)
-            value = value * gate
+            value *= gate
             gates.append(gate)
-    gradient = np.empty_like(weights)
-    back = 2.0 * (value - points) / points.size
-    for nth, (matrix, bias) in reversed(list(enumerate(_layers(gradient)))):
-        matrix[:] = inputs[nth].T @ back
-        bias[:] = back.sum(axis=0)
+    back = value
+    back -= points
+    back *= 2.0
+    back /= points.size
+    for nth in range(len(layers) - 1, -1, -1):
+        matrix, bias = gradient[nth]
+        np.matmul(inputs[nth].T, back, out=matrix)
+        np.add.reduce(back, axis=0, out=bias)
         if nth:
-            back = (back @ layers[nth][0].T) * gates[nth - 1]
-    return gradient
+            back = back @ layers[nth][0].T
+            back *= gates[nth - 1]
 
 
 def _as_points(vectors: pd.Series, shift: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -136,6 +151,24 @@ def _moments(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 _STATE = "bucket bigint, rows bigint, state array<double>"
+_BUCKET = "bucket bigint, kind string, vectors binary, copies binary"
+
+
+def _packed(key: tuple, bucket: pd.DataFrame) -> pd.DataFrame:
+    """A bucket as one row: its vectors in the order of their components, and their copies."""
+    vectors, copies = np.stack(bucket["features"].to_numpy()), bucket["copies"].to_numpy(np.int64)
+    order = np.lexsort([copies, *vectors.T])
+    return pd.DataFrame({
+        "bucket": [key[0]], "kind": [vectors.dtype.str],
+        "vectors": [vectors[order].tobytes()], "copies": [copies[order].tobytes()],
+    })
+
+
+def _buckets(dealt: DataFrame, buckets: int) -> DataFrame:
+    """One packed row per bucket, in as many partitions as keep all cores at work on a few of them each."""
+    cores = dealt.sparkSession.sparkContext.defaultParallelism
+    parts = min(buckets, max(2 * cores, math.ceil(buckets / BUCKETS_PER_TASK)))
+    return dealt.groupBy("bucket").applyInPandas(_packed, _BUCKET).repartition(parts, "bucket")
 
 
 def _train_epoch(
@@ -144,25 +177,40 @@ def _train_epoch(
 ):
     decay_first, decay_second, epsilon = ADAM
 
-    def run(key: tuple, bucket: pd.DataFrame) -> pd.DataFrame:
-        number = int(key[0])
+    def train(number: int, points: np.ndarray) -> np.ndarray:
         random = np.random.default_rng([seed, epoch, number])
         weights, first, second = (part.copy() for part in np.split(state[:-1], 3))
         step = state[-1]
-        vectors, copies = np.stack(bucket["features"].to_numpy()), bucket["copies"].to_numpy()
-        order = np.lexsort([copies, *vectors.T])
-        points = np.repeat((vectors[order].astype(np.float64) - shift) / scale, copies[order], axis=0)
         points = points[random.permutation(len(points))]
+        gradient, moved, spread = (np.empty_like(weights) for _ in range(3))
+        layers, slopes = _layers(weights), _layers(gradient)
         for start in range(0, len(points), batch_size):
-            gradient = _gradient(weights, points[start : start + batch_size], random)
+            _into(slopes, layers, points[start : start + batch_size], random)
             step += 1
-            first = decay_first * first + (1 - decay_first) * gradient
-            second = decay_second * second + (1 - decay_second) * gradient**2
-            weights -= rate * (first / (1 - decay_first**step)) / (
-                np.sqrt(second / (1 - decay_second**step)) + epsilon
-            )
-        ended = np.concatenate([weights, first, second, [step]])
-        return pd.DataFrame({"bucket": [number], "rows": [len(points)], "state": [ended]})
+            np.multiply(gradient, gradient, out=moved)
+            moved *= 1 - decay_second
+            second *= decay_second
+            second += moved
+            gradient *= 1 - decay_first
+            first *= decay_first
+            first += gradient
+            np.divide(second, 1 - decay_second**step, out=spread)
+            np.sqrt(spread, out=spread)
+            spread += epsilon
+            np.divide(first, 1 - decay_first**step, out=moved)
+            moved *= rate
+            moved /= spread
+            weights -= moved
+        return np.concatenate([weights, first, second, [step]])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for bucket in batch.itertuples():
+                vectors = np.frombuffer(bucket.vectors, bucket.kind).reshape(-1, LAYERS[0])
+                points = (vectors.astype(np.float64) - shift) / scale
+                points = np.repeat(points, np.frombuffer(bucket.copies, np.int64), axis=0)
+                ended = train(int(bucket.bucket), points)
+                yield pd.DataFrame({"bucket": [bucket.bucket], "rows": [len(points)], "state": [ended]})
 
     return run
 
@@ -210,11 +258,14 @@ class Autoencoder:
             shift, deviation = _moments(counted)
             scale = np.where(deviation > 0, deviation, 1.0)
         buckets = math.ceil(total / ROWS_PER_BUCKET)
-        dealt = stored(_dealt(counted, buckets, seed), "dealt-vectors").groupBy("bucket")
+        dealt = _buckets(_dealt(counted, buckets, seed), buckets).persist(StorageLevel.MEMORY_AND_DISK)
         state = np.concatenate([initial_weights(seed), np.zeros(2 * WEIGHTS), [0.0]])
-        for epoch in range(epochs):
-            train = _train_epoch(state, shift, scale, seed, epoch, batch_size, rate)
-            state = _averaged(dealt.applyInPandas(train, _STATE), buckets)
+        try:
+            for epoch in range(epochs):
+                train = _train_epoch(state, shift, scale, seed, epoch, batch_size, rate)
+                state = _averaged(dealt.mapInPandas(train, _STATE), buckets)
+        finally:
+            dealt.unpersist()
         fitted = cls(state[:WEIGHTS], shift, scale)
         errors = stored(features.select(fitted.error(F.col("features")).alias("error")), "errors")
         threshold = error_threshold(errors, "error")

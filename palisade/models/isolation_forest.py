@@ -33,6 +33,8 @@ NODE_SCHEMA = (
 )
 MODEL_SCHEMA = f"{NODE_SCHEMA}, sample_size int, offset double, low double, high double"
 _UNIT = float(2**53)
+#: Rows that walk the trees together; what a step makes for them stays in a core's cache.
+WALKED = 256
 
 
 def _hash_fraction(*parts: Column) -> Column:
@@ -55,15 +57,16 @@ def tree_samples(
     """(tree, features): for each tree ``size`` rows without replacement.
 
     Each tree takes the rows with its lowest hashes, out of all rows. About four times as many come
-    into question; the others are left out before a row is repeated for its trees.
+    into question; only those are sorted.
     """
     share = min(1.0, 4.0 * size / total)
 
     def draw(tree: Column) -> Column:
         return _hash_fraction(F.lit(seed), tree, F.col("id"))
 
-    trees_of_row = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: draw(tree) < share)
-    drawn = rows.select("id", "features", F.explode(trees_of_row).alias("tree"))
+    # Repeated for all trees and filtered in one compiled stage; a lambda over an array is interpreted.
+    every = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    drawn = rows.select("id", "features", every).where(draw(F.col("tree")) < share)
     lowest = Window.partitionBy("tree").orderBy("_draw", "id")
     return (
         drawn.withColumn("_draw", draw(F.col("tree")))
@@ -186,8 +189,8 @@ class IsolationForest:
         path_length = self.path_length.ravel()
         scale = average_path(self.sample_size) or 1.0
         result = np.empty(len(points))
-        for start in range(0, len(points), 1024):
-            block = points[start : start + 1024]
+        for start in range(0, len(points), WALKED):
+            block = points[start : start + WALKED]
             values = block.ravel()
             row = (np.arange(len(block), dtype=np.int32) * block.shape[1])[:, None]
             node = np.broadcast_to(root, (len(block), trees))
@@ -198,7 +201,7 @@ class IsolationForest:
                     break
                 node = following
             mean = path_length.take(node).mean(axis=1)
-            result[start : start + 1024] = -np.exp2(-mean / scale)
+            result[start : start + WALKED] = -np.exp2(-mean / scale)
         return result
 
     def decision(self, features: Column) -> Column:

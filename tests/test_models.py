@@ -89,6 +89,34 @@ def test_fits_repeat(rows, forest):
     assert np.array_equal(again.threshold, forest.threshold) and again.offset == forest.offset
 
 
+def test_an_epoch_moves_no_rows(spark):
+    """Buckets are packed once, one row each, and an epoch reads them where they are."""
+    rows = spark.createDataFrame(
+        [([float(i % 7), *[float(i)] * 11], i % 3 + 1) for i in range(60)], "features array<float>, copies bigint"
+    )
+    dealt = autoencoder._dealt(rows, 5, seed=1)
+    packed = autoencoder._buckets(dealt, 5).persist()
+    try:
+        found = {}
+        for row in packed.collect():
+            vectors = np.frombuffer(row["vectors"], row["kind"]).reshape(-1, 12)
+            copies = np.frombuffer(row["copies"], np.int64)
+            found[row["bucket"]] = sorted((tuple(v), int(n)) for v, n in zip(vectors.tolist(), copies))
+        want = {}
+        for row in dealt.collect():
+            want.setdefault(row["bucket"], []).append((tuple(row["features"]), row["copies"]))
+        assert found == {number: sorted(held) for number, held in want.items()}
+        state = np.concatenate([initial_weights(1), np.zeros(2 * WEIGHTS), [0.0]])
+        train = autoencoder._train_epoch(state, np.zeros(12), np.ones(12), 1, 0, 8, 1e-3)
+        epoch = packed.mapInPandas(train, autoencoder._STATE)
+        plan = epoch._jdf.queryExecution().optimizedPlan().toString()
+        assert "InMemoryRelation" in plan and not plan.split("InMemoryRelation")[0].count("Repartition")
+        states = {row["bucket"]: row["rows"] for row in epoch.collect()}
+        assert states == {number: sum(n for _, n in held) for number, held in want.items()}
+    finally:
+        packed.unpersist()
+
+
 def test_gradient_matches_differences():
     draw = np.random.default_rng(0)
     weights, points = initial_weights(1), draw.normal(size=(5, 12))
