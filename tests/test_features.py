@@ -1,5 +1,7 @@
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from palisade.operators.busy import _flagged, busy_addresses, busy_counts
 from palisade.operators.features import event_defaults, sliding_counts, with_features
 from palisade.operators.scoring import hybrid
 from palisade.schemas import FEATURE_NAMES
+from palisade.streaming import features as streaming
 from palisade.streaming.features import COUNTS, features_stream
 from samples import LOG_FIELDS, START, expected_counts, random_log
 
@@ -155,6 +158,62 @@ def test_stream_equals_batch(spark, tmp_path):
     assert not result.where("late").count()
 
 
+class HeldState:
+    """What a task keeps of one address between micro-batches."""
+
+    hasTimedOut, exists = False, False
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def setTimeoutTimestamp(self, at):
+        pass
+
+
+def test_a_busy_address_goes_through_a_task_in_parts(monkeypatch):
+    """Counts of an address are those of all its rows, whatever is counted and given out at once."""
+    draw = np.random.default_rng(5)
+    total = 3000
+    log = pd.DataFrame({
+        "id": draw.integers(0, 2500, total), "source_ip": "a",
+        "ts": pd.Timestamp(START) + pd.to_timedelta(draw.integers(0, 3000, total), "s"),
+        "path": [f"/p{n}" if n else None for n in draw.integers(0, 9, total)],
+        "status_code": draw.choice([200.0, 404.0, np.nan], total), "_arrival_ms": 5, "reset": False,
+    })
+    log.loc[draw.integers(0, total, 4), "reset"] = True
+    log = log.sort_values("ts", kind="stable", ignore_index=True)
+    columns = ["id", "source_ip", "ts", "path", "status_code"]
+    # An address that is done within one part, in two micro-batches.
+    parts = [log.iloc[:2000], log.iloc[2000:]]
+
+    def run():
+        state, found = HeldState(), []
+        for part in parts:
+            frames = [part.iloc[n : n + 90] for n in range(0, len(part), 90)]
+            found += streaming._advance(columns, "ts", 300)(("a",), iter(frames), state)
+        return found, state.get
+
+    whole, kept = run()
+    monkeypatch.setattr(streaming, "COUNTED", 70)
+    monkeypatch.setattr(streaming, "GIVEN", 50)
+    split, kept_of_split = run()
+    assert len(split) > 50 and max(map(len, split)) == 50
+    pd.testing.assert_frame_equal(
+        pd.concat(split, ignore_index=True), pd.concat(whole, ignore_index=True))
+    assert kept == kept_of_split
+    # A plain count beside it.
+    found = pd.concat(whole, ignore_index=True)
+    assert len(found) == (~log["reset"]).sum()
+    resets, rows = log.loc[log["reset"], "ts"], log[~log["reset"]]
+    for row in found.iloc[::37].itertuples():
+        inside = rows[(rows["ts"] <= row.ts) & (rows["ts"] >= row.ts - pd.Timedelta(60, "s"))]
+        for reset in resets[resets < row.ts]:
+            inside = inside[inside["ts"] > reset]
+        assert row.ip_req_count_1m == len(inside)
+        assert row.unique_paths_1m == inside["path"].nunique(dropna=False)
+        assert row.ip_fail_count_1m == (inside["status_code"] >= 400).sum()
+
+
 def test_stream_reset_forgets_an_address(spark, tmp_path):
     log = [
         (nth, START + dt.timedelta(seconds=nth), "1.1.1.1", "GET", "/a", 200, 0.0)
