@@ -22,6 +22,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 #: Successive runs of a level that are merged.
 FAN_IN = 16
 
+#: Rows of a day and a batch that one task writes, to one file.
+FILE_ROWS = 200_000
+
 
 class Run(NamedTuple):
     first: int
@@ -48,12 +51,30 @@ def write_batch(frame: DataFrame, root: str, batch_id: int, date_of: str | None
     """Writes one batch; with ``date_of`` its rows are laid out in folders by day."""
     target = f"{root}/batch_id={batch_id}"
     if date_of:
-        frame = frame.withColumn("day", F.to_date(date_of))
+        frame = _together_by_day(frame.withColumn("day", F.to_date(date_of)))
         frame.write.mode("overwrite").partitionBy("day").parquet(target)
     else:
         frame.write.mode("overwrite").parquet(target)
 
 
+def _together_by_day(frame: DataFrame) -> DataFrame:
+    """Deals the rows of a day to one task per ``FILE_ROWS`` of them.
+
+    A batch then has about as many files as days and ``FILE_ROWS``, however many tasks and days made it.
+    Rows are dealt by their content, so a task that is repeated deals them the same way.
+    """
+    parts = frame.groupBy(F.col("day").alias("_day")).agg(
+        F.ceil(F.count("*") / FILE_ROWS).alias("_parts")
+    )
+    part = F.pmod(F.xxhash64(*frame.columns), F.coalesce("_parts", F.lit(1)))
+    return (
+        frame.join(F.broadcast(parts), F.col("day").eqNullSafe(F.col("_day")), "left")
+        .withColumn("_part", part)
+        .repartition("day", "_part")
+        .select(*frame.columns)
+    )
+
+
 def read_batches(
     spark: SparkSession, root: str, schema: StructType, after: int = -1, last: int | None = None
 ) -> DataFrame:

@@ -317,6 +317,31 @@ def test_a_half_written_batch_is_not_read(spark, log, tmp_path):
     assert tables.read_complete(spark, root).count() == 5
 
 
+def test_a_batch_has_few_files_however_many_tasks_and_days(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "FILE_ROWS", 100)
+    spark = spark.newSession()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as in a stream
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    root, start = str(tmp_path / "t"), F.to_timestamp_ntz(F.lit("2024-01-01"))
+    # Thirteen tasks with seven days each; one day has five times the rows of the others, one row no time.
+    nth = F.least(F.col("id") % 11, F.lit(6)).cast("int")
+    day = F.date_add(start, nth).cast("timestamp_ntz")
+    frame = spark.range(0, 770, numPartitions=13).select(
+        "id", F.when(F.col("id") != 5, day).alias("ts"), F.lit("x").alias("path"))
+    tables.write_batch(frame, root, 0, date_of="ts")
+    files = {}
+    for path in (tmp_path / "t" / "batch_id=0").glob("day=*/*.parquet"):
+        files.setdefault(path.parent.name, []).append(pq.ParquetFile(path).metadata.num_rows)
+    large = files.pop("day=2024-01-07")
+    assert 1 < len(large) <= 4 and sum(large) == 350 and max(large) < 200
+    assert sorted(map(len, files.values())) == [1] * 7 and files["day=__HIVE_DEFAULT_PARTITION__"] == [1]
+    stored = tables.read_complete(spark, root)
+    assert sorted(row["id"] for row in stored.collect()) == list(range(770))
+    assert stored.where("day = to_date(ts)").count() == 769
+    tables.write_batch(frame.where("id < 0"), root, 1, date_of="ts")
+    assert tables.read_batch(spark, root, frame.schema, 1).isEmpty()
+
+
 def test_live_figures(spark, log, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame(log, LOG_FIELDS).coalesce(1).write.parquet(source)
