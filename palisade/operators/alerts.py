@@ -83,11 +83,21 @@ class _StepMap:
             self.upto = np.concatenate([self.upto, at[begin:end]])
             self.leaves = np.concatenate([self.leaves, leaves[begin:end]])
 
-    def table(self) -> pd.DataFrame:
+    def steps(self) -> tuple[np.ndarray, np.ndarray]:
         # Of neighbouring entry states with the same outcome, the last one is enough.
         kept = np.append(self.leaves[1:] != self.leaves[:-1], True)
-        return pd.DataFrame(
-            {**dict(zip(_SLICE, self.key)), "upto": self.upto[kept], "leaves": self.leaves[kept]})
+        return self.upto[kept], self.leaves[kept]
+
+
+def _table(maps: list[_StepMap]) -> pd.DataFrame:
+    """The steps of all these maps; a frame per map would take longer than the maps themselves."""
+    upto, leaves = zip(*(step_map.steps() for step_map in maps))
+    repeats = [len(steps) for steps in upto]
+    keys = {
+        name: np.repeat(np.array(values, dtype=np.int64 if name == "_slice" else object), repeats)
+        for name, values in zip(_SLICE, zip(*(step_map.key for step_map in maps)))
+    }
+    return pd.DataFrame({**keys, "upto": np.concatenate(upto), "leaves": np.concatenate(leaves)})
 
 
 def _slice_steps(pause: int):
@@ -99,17 +109,18 @@ def _slice_steps(pause: int):
             if rows.empty:
                 continue
             at, done = rows["_us"].to_numpy(), []
-            for begin, end in zip(*_stretches(rows)):
-                key = tuple(rows[_SLICE].iloc[begin])
+            begin, end = _stretches(rows)
+            keys = zip(*(rows[name].to_numpy()[begin] for name in _SLICE))
+            for key, first, stop in zip(keys, begin, end):
                 if open_map is None or open_map.key != key:
                     if open_map is not None:
-                        done.append(open_map.table())
-                    open_map = _StepMap(key, int(at[begin]), pause)
-                open_map.then(at[begin:end])
+                        done.append(open_map)
+                    open_map = _StepMap(key, int(at[first]), pause)
+                open_map.then(at[first:stop])
             if done:
-                yield pd.concat(done, ignore_index=True)
+                yield _table(done)
         if open_map is not None:
-            yield open_map.table()
+            yield _table([open_map])
 
     return run
 
