@@ -15,9 +15,12 @@ leaves are verified in exact whole-number arithmetic. It starts from the k-th pr
 fixed set of rows, which is a lower bound of the final one. Positives are one such search; their
 products make the windows of the second one, for negatives.
 
-Anchors meet cells by key: per anchor only those upper cells are asked whose bounds reach its window
-(the upper levels are at most ``UPPER`` nodes and are sent to all tasks), and anchors go in chunks, so
-the work of a task is bounded by a part and a chunk. Nothing depends on how often a vector occurs.
+Anchors meet parts in a grid of chunks of anchors by ranges of parts, each pair one task's work. Parts
+are numbered in the order of the upper cells and a range is up to ``GROUP`` successive ones. An anchor
+goes once to each range that holds an upper cell whose bounds reach one of its windows (the upper levels
+are at most ``UPPER`` nodes and are sent to all tasks), with the windows concerned as lists; there its
+k-th product is carried from part to part, so a range gives at most k rows a search. Neither anchors
+nor parts are broadcast. Nothing depends on how often a vector occurs.
 
 Defined cases: rows whose id, label or vector is null, or whose vector is empty, of another length
 than most, or holds null, NaN or infinite components take no part. Every other row counts, repeated
@@ -33,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +47,10 @@ from palisade.session import stored
 SCALE = 256
 #: Rows of the sample that the upper levels are grown on, upper nodes at most, rows of a part and of a
 #: leaf, anchors of a chunk, rows that give each search its first bound.
-SAMPLE, UPPER, PART, LEAF, CHUNK, SEED_ROWS = 8192, 512, 2048, 256, 1024, 1024
+SAMPLE, UPPER, PART, LEAF, CHUNK, SEED_ROWS = 8192, 512, 2048, 256, 8192, 1024
+#: Parts of a range at most, chunks times ranges wanted at least, searches that descend together, rows
+#: that anchors become before they are handed on.
+GROUP, TILES, TOGETHER, ASKS = 32, 32, 2048, 8192
 #: By how much radii shrink from level to level.
 SHRINK = 1.4
 _LOW, _HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
@@ -236,7 +243,7 @@ def _placed(rows: DataFrame, centres: np.ndarray, largest: float) -> DataFrame:
 
 _TREE = ("order", "begin", "end", "centre", "radius", "first", "last")
 _PART_SCHEMA = (
-    "cell long, part long, ids array<long>, labels array<long>, flat array<long>,"
+    "part long, ids array<long>, labels array<long>, flat array<long>,"
     + ",".join(f"{n} array<{'double' if n == 'radius' else 'long'}>" for n in _TREE)
 )
 
@@ -249,79 +256,124 @@ def _grown(largest: float):
         return pa.table(
             [pa.array([k.as_py()], pa.int64()) for k in key]
             + [pa.array([x], pa.list_(pa.float64() if x.dtype == float else pa.int64())) for x in lists],
-            names=["cell", "part", "ids", "labels", "flat", *_TREE],
+            names=["part", "ids", "labels", "flat", *_TREE],
         )
 
     return run
 
 
-_ASK_SCHEMA = "row long, id long, label long, v array<long>, window long, low long, high long, cell long"
+def _ranges(counts: np.ndarray, chunks: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Parts of a range, and the first and the last upper cell of each range; ``counts`` are the parts of
+    each cell."""
+    cell = np.repeat(np.arange(len(counts)), counts)  # a number per part
+    size = max(1, min(GROUP, len(cell) * chunks // TILES))
+    begin = np.arange(0, len(cell), size)
+    return size, cell[begin], cell[np.minimum(begin + size, len(cell)) - 1]
 
 
-def _asks(searches: DataFrame, upper: tuple, seeds: tuple, same: bool, k: int) -> DataFrame:
-    """One row per search and upper cell that it has to look into; ``low`` raised to the first bound."""
-    sent = searches.sparkSession.sparkContext.broadcast((upper, seeds))  # UPPER and SEED_ROWS vectors
+_WINDOW = ("window", "low", "high")
+_ASK_SCHEMA = (
+    "row long, id long, label long, v array<long>, window array<long>, low array<long>, high array<long>,"
+    "range long"
+)
+
+
+def _searches(anchors: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, ...]:
+    """Of each window of each anchor: the anchor's place, the window and its ends."""
+    window, low, high = (
+        c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in map(anchors.column, _WINDOW))
+    of = np.repeat(np.arange(len(window)), pc.list_value_length(window).to_numpy())
+    return of, *(c.flatten().to_numpy() for c in (window, low, high))
+
+
+def _asks(searches: DataFrame, upper: tuple, seeds: tuple, spans: tuple, same: bool, k: int) -> DataFrame:
+    """One row per anchor and range that one of its searches has to look into, with these searches'
+    windows; ``low`` raised to the first bound."""
+    sent = searches.sparkSession.sparkContext.broadcast((upper, seeds, spans))  # UPPER and SEED_ROWS vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (centres, radius), (seed_id, seed_label, seed) = sent.value
+        (centres, radius), (seed_id, seed_label, seed), (first, last) = sent.value
+        step = max(1, min(512, ASKS // len(first)))
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
+            for begin in range(0, batch.num_rows, step):
+                part = batch.slice(begin, step)
                 asked = matrix(part.column("v"), np.int64)
-                low, high = (part.column(c).to_numpy().copy() for c in ("low", "high"))
+                of, window, low, high = _searches(part)
                 if len(seed_id) > k:
                     score = products(asked, seed)
                     fits = (seed_label == part.column("label").to_numpy()[:, None]) == same
                     fits &= seed_id != part.column("id").to_numpy()[:, None]
-                    fits &= (score >= low[:, None]) & (score <= high[:, None])
                     score[~fits] = _LOW
+                    score = score[of]
+                    score[(score < low[:, None]) | (score > high[:, None])] = _LOW
                     low = np.maximum(low, np.partition(score, -k, axis=1)[:, -k])
                 least, most = _bounds(asked, centres, radius)
-                row, cell = np.nonzero((most >= low[:, None]) & (least <= high[:, None]))
-                out = part.set_column(5, "low", pa.array(low)).take(pa.array(row))
+                reached = (most[of] >= low[:, None]) & (least[of] <= high[:, None])
+                upto = np.pad(np.cumsum(reached, axis=1, dtype=np.int32), ((0, 0), (1, 0)))
+                search, place = np.nonzero(upto[:, last + 1] > upto[:, first])
+                dealt = np.lexsort((place, of[search]))
+                search, place = search[dealt], place[dealt]
+                own = np.flatnonzero(np.diff(of[search] * len(first) + place, prepend=-1))
+                ends = pa.array(np.append(own, len(search)), pa.int32())
+                out = part.select(["row", "id", "label", "v"]).take(pa.array(of[search[own]]))
+                lists = (pa.ListArray.from_arrays(ends, pa.array(x[search])) for x in (window, low, high))
                 yield pa.RecordBatch.from_arrays(
-                    [*out.columns, pa.array(cell)], names=[*out.schema.names, "cell"])
+                    [*out.columns, *lists, pa.array(place[own])], names=[*out.schema.names, *_WINDOW, "range"])
 
-    return searches.mapInArrow(run, _ASK_SCHEMA)
+    return searches.select("row", "id", "label", "v", *_WINDOW).mapInArrow(run, _ASK_SCHEMA)
 
 
 _FOUND = pa.schema([
     ("row", pa.int64()), ("window", pa.int64()), ("found_id", pa.int64()), ("score", pa.int64())])
 
 
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each line: largest product, then smallest id; places without a row have the lowest number."""
+    order = np.lexsort((ids, -np.maximum(score, _LOW + 1), score == _LOW), axis=-1)[:, :k]
+    return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+
+
 def _answer(same: bool, k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _FOUND.empty_table()
-        left = left.combine_chunks()
-        asked = matrix(left["v"], np.int64)
-        ask_id, ask_label, low, high = (left[c].to_numpy() for c in ("id", "label", "low", "high"))
+        anchors = matrix(left["v"], np.int64)
+        row, anchor_id, anchor_label = (left[c].to_numpy() for c in ("row", "id", "label"))
+        parts = [
+            {n: np.asarray(right[n][place].values) for n in ("ids", "labels", "flat", *_TREE)}
+            for place in range(right.num_rows)
+        ]
         out = []
-        for place in range(right.num_rows):  # the part of this key, once
-            part = {n: np.asarray(right[n][place].values) for n in ("ids", "labels", "flat", *_TREE)}
-            rows = part["flat"].reshape(len(part["ids"]), -1)
-            top, owner = descend(
-                part, part["ids"], part["labels"], rows, asked, ask_id, ask_label, low, high, same, k)
-            which, col = np.nonzero(owner >= 0)
-            out.append(pa.table([
-                left["row"].take(pa.array(which)), left["window"].take(pa.array(which)),
-                pa.array(part["ids"][owner[which, col]]), pa.array(top[which, col]),
-            ], schema=_FOUND))
+        of, *searches = _searches(left)
+        for begin in range(0, len(of), TOGETHER):
+            own, window, low, high = (x[begin : begin + TOGETHER] for x in (of, *searches))
+            asked, ask_id, ask_label, low = anchors[own], anchor_id[own], anchor_label[own], low.copy()
+            score, found = np.full((len(own), k), _LOW), np.zeros((len(own), k), np.int64)
+            for part in parts:
+                rows = part["flat"].reshape(len(part["ids"]), -1)
+                top, owner = descend(
+                    part, part["ids"], part["labels"], rows, asked, ask_id, ask_label, low, high, same, k)
+                score, found = _best(
+                    np.concatenate([score, top], axis=1), np.concatenate([found, part["ids"][owner]], axis=1), k)
+                low = np.maximum(low, score[:, -1])
+            which, col = np.nonzero(score > _LOW)
+            out.append(pa.table([row[own[which]], window[which], found[which, col], score[which, col]], schema=_FOUND))
         return pa.concat_tables(out)
 
     return run
 
 
-def _search(searches: DataFrame, parts: DataFrame, upper: tuple, seeds: tuple, chunks: int, same: bool,
-            k: int) -> DataFrame:
+def _search(searches: DataFrame, parts: DataFrame, upper: tuple, seeds: tuple, chunks: int, ranges: tuple,
+            same: bool, k: int) -> DataFrame:
     """``row, window, found_id, score, rank`` of the k best of each search."""
+    size, *spans = ranges
     chunk = F.pmod(F.xxhash64("row"), F.lit(chunks)).alias("chunk")
-    asks = _asks(searches, upper, seeds, same, k).withColumn("chunk", chunk)
-    needed = asks.select(F.col("cell").alias("of_cell"), F.col("chunk").alias("of_chunk")).distinct()
-    held = parts.withColumnsRenamed({"cell": "of_cell", "part": "of_part"}).join(needed, "of_cell")
-    found = asks.join(parts.select("cell", "part"), "cell").groupBy("cell", "part", "chunk").cogroup(
-        held.groupBy("of_cell", "of_part", "of_chunk")
-    ).applyInArrow(_answer(same, k), "row long, window long, found_id long, score long")
+    asks = _asks(searches, upper, seeds, spans, same, k).withColumn("chunk", chunk)
+    # Two numbers per pair of the grid. Spark can't know how many rows mapInArrow makes, so it is told what to send.
+    needed = F.broadcast(asks.select(F.col("range").alias("of_range"), F.col("chunk").alias("of_chunk")).distinct())
+    held = parts.withColumn("of_range", F.expr(f"part div {size}")).join(needed, "of_range")
+    found = asks.groupBy("range", "chunk").cogroup(held.groupBy("of_range", "of_chunk")).applyInArrow(
+        _answer(same, k), "row long, window long, found_id long, score long")
     place = F.row_number().over(Window.partitionBy("row", "window").orderBy(F.desc("score"), "found_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 
@@ -347,10 +399,16 @@ def mine(
     radius = np.zeros(len(centres))
     radius[sizes["cell"]] = sizes["radius"]
     upper = (centres, radius)
-    cells = F.broadcast(cells.select("cell", F.ceil(F.col("count") / PART).cast("long").alias("parts")))
-    dealt = placed.join(cells, "cell").select(
-        "cell", F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), "parts").alias("part"), "id", "label", "v")
-    parts = stored(dealt.groupBy("cell", "part").applyInArrow(_grown(largest), _PART_SCHEMA), "negatives-parts")
+    counts = np.zeros(len(centres), np.int64)
+    counts[sizes["cell"]] = -(-sizes["count"] // PART)
+    # Parts are numbered in the order of their cells.
+    numbers = rows.sparkSession.createDataFrame(
+        [(c, int(n), int(end - n)) for c, (n, end) in enumerate(zip(counts, np.cumsum(counts)))],
+        "cell long, parts long, before long")
+    part = F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), "parts") + F.col("before")
+    dealt = placed.join(F.broadcast(numbers), "cell").select(part.alias("part"), "id", "label", "v")
+    # Spark's reader takes thousands of rows of a file at once, and a row is a part here.
+    parts = stored(dealt.groupBy("part").applyInArrow(_grown(largest), _PART_SCHEMA), "negatives-parts", GROUP)
 
     drawn = rows.orderBy(F.xxhash64(F.lit(1), "id", "v"), "id").limit(SEED_ROWS).toPandas()
     seeds = (
@@ -359,21 +417,23 @@ def mine(
     )
     anchors = stored(rows.where(is_anchor).withColumn("row", F.monotonically_increasing_id()), "negatives-anchors")
     chunks = max(1, -(-anchors.count() // CHUNK))
-    nearest = anchors.select(
-        "row", "id", "label", "v", F.lit(0).cast("long").alias("window"),
-        F.lit(_LOW + 1).alias("low"), F.lit(_HIGH).alias("high"))
-    found = stored(_search(nearest, parts, upper, seeds, chunks, True, positives), "negatives-positives")
+    ranges = _ranges(counts, chunks)
+    nearest = anchors.select("*", *(
+        F.array(F.lit(x).cast("long")).alias(n) for n, x in zip(_WINDOW, (0, _LOW + 1, _HIGH))))
+    found = stored(_search(nearest, parts, upper, seeds, chunks, ranges, True, positives), "negatives-positives")
 
     # Ends of the windows in whole numbers, without products that could overflow.
     tens, ones = F.expr("window div 100"), F.expr("window % 100")
-    windows = found.select("row", F.col("score").alias("window")).where("score >= 0").distinct()
-    windows = anchors.join(windows, "row").select(
-        "row", "id", "label", "v", "window",
-        (tens * least + F.ceil(ones * least / 100)).cast("long").alias("low"),
-        (tens * most + F.floor(ones * most / 100)).cast("long").alias("high"))
-    wrong = _search(windows, parts, upper, seeds, chunks, False, negatives)
+    windows = found.select("row", F.col("score").alias("window")).where("window >= 0").select(
+        "row", F.struct(
+            "window",
+            (tens * least + F.ceil(ones * least / 100)).cast("long").alias("low"),
+            (tens * most + F.floor(ones * most / 100)).cast("long").alias("high")).alias("w"))
+    windows = windows.groupBy("row").agg(F.array_sort(F.collect_set("w")).alias("w"))  # one per positive at most
+    windows = anchors.join(windows.hint("merge"), "row").select("*", *(F.col("w")[n].alias(n) for n in _WINDOW))
+    wrong = _search(windows, parts, upper, seeds, chunks, ranges, False, negatives)
     right = found.select(
         "row", F.col("score").alias("window"), F.col("found_id").alias("positive_id"))
-    return right.join(wrong, ["row", "window"]).join(anchors.select("row", F.col("id").alias("anchor_id")), "row").select(
+    return right.hint("merge").join(wrong, ["row", "window"]).join(anchors.select("row", F.col("id").alias("anchor_id")), "row").select(
         "anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("found_id").alias("negative_id"),
         F.col("window").alias("positive_score"), F.col("score").alias("negative_score"))

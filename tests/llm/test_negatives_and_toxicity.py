@@ -126,6 +126,36 @@ def test_negatives_equal_sql(spark, monkeypatch, repeat, part, leaf, upper):
     same_rows(spark, got, frame, "op12_hard_negatives")
 
 
+def test_negatives_broadcast_no_searches(spark, monkeypatch):
+    """600 anchors and some 150 upper cells: a row for each pair, sent to all tasks, would be far above the limit."""
+    for name, value in (("PART", 8), ("LEAF", 4), ("UPPER", 200), ("SEED_ROWS", 50), ("CHUNK", 250), ("GROUP", 3),
+                        ("TILES", 2), ("TOGETHER", 70), ("ASKS", 500)):
+        monkeypatch.setattr(hard_negatives, name, value, raising=False)
+    monkeypatch.setitem(
+        ORACLES, "op12_hard_negatives", ORACLES["op12_hard_negatives"].replace("vec_id % 100", "vec_id % 2"))
+    frame = vectors(spark, 1200, 30).cache()
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "3m")
+    try:
+        got = hard_negatives.mine(frame.withColumn("label", moved), F.col("id") % 2 == 0)
+        same_rows(spark, got, frame, "op12_hard_negatives")
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+@pytest.mark.parametrize("group, tiles", [(1, 1), (3, 1), (32, 4), (32, 1000)])
+def test_ranges_hold_all_parts_in_order(monkeypatch, group, tiles):
+    monkeypatch.setattr(hard_negatives, "GROUP", group)
+    monkeypatch.setattr(hard_negatives, "TILES", tiles)
+    counts = np.array([0, 3, 1, 0, 0, 9, 2, 1, 0])
+    size, first, last = hard_negatives._ranges(counts, 2)
+    cell = np.repeat(np.arange(9), counts)
+    assert 1 <= size <= group and len(first) == len(last) == -(-16 // size)
+    for part in range(16):
+        assert first[part // size] <= cell[part] <= last[part // size]
+    assert (last >= first).all() and set(first) | set(last) <= {1, 2, 5, 6, 7}
+
+
 def test_negatives_without_rows(spark):
     nothing = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert hard_negatives.mine(nothing, F.col("id") % 100 == 0).count() == 0
