@@ -132,16 +132,19 @@ def _bounds(asked: np.ndarray, centres: np.ndarray, radius: np.ndarray) -> tuple
     return middle - width, middle + width
 
 
-def descend(tree: dict, ids, labels, rows, asked, ask_id, ask_label, low, high, same: bool, k: int):
+def descend(tree: dict, ids, labels, rows, asked, ask_id, ask_label, low, high, same: bool, k: int, of=None):
     """The k best rows of each search in this tree: products and places, worst values where fewer.
 
-    ``low`` and ``high`` are the ends of the windows; ``low`` also holds what is known of the k-th. In
-    each turn every search opens its best node; searches that open the same one do so together."""
-    count, nodes, order = len(asked), len(tree["begin"]), tree["order"]
+    ``low`` and ``high`` are the ends of the windows; ``low`` also holds what is known of the k-th and is
+    above the lowest number. ``of`` has the anchor of each search, if these have several. In each turn every
+    search opens its best node; searches that open the same one do so together, and those of one anchor
+    share their products."""
+    of = np.arange(len(asked)) if of is None else of
+    count, nodes, order = len(of), len(tree["begin"]), tree["order"]
     top, owner = np.full((count, k), _LOW), np.full((count, k), -1)
     least_score = low.copy()
     opened = np.full((count, nodes), -np.inf)
-    least, most = _bounds(asked, rows[tree["centre"][:1]], tree["radius"][:1])
+    least, most = (x[of] for x in _bounds(asked, rows[tree["centre"][:1]], tree["radius"][:1]))
     opened[:, :1] = np.where(least <= high[:, None], most, -np.inf)
     held, held_id, held_label = rows[order], ids[order], labels[order]
     while True:
@@ -158,17 +161,20 @@ def descend(tree: dict, ids, labels, rows, asked, ask_id, ask_label, low, high,
         for who in np.split(live, cuts):
             node = best[who[0]]
             below = slice(tree["first"][node], tree["last"][node])
+            anchor, at = np.unique(of[who], return_inverse=True)
             if below.stop:
-                least, most = _bounds(asked[who], rows[tree["centre"][below]], tree["radius"][below])
+                ends = _bounds(asked[anchor], rows[tree["centre"][below]], tree["radius"][below])
+                least, most = (x[at] for x in ends)
                 opened[who, below] = np.where(
                     (least <= high[who, None]) & (most >= least_score[who, None]), most, -np.inf)
                 continue
             leaf = slice(tree["begin"][node], tree["end"][node])
-            score = products(asked[who], held[leaf])
-            fits = (score >= least_score[who, None]) & (score <= high[who, None])
-            fits &= (held_label[leaf] == ask_label[who, None]) == same
-            fits &= held_id[leaf] != ask_id[who, None]
-            row, col = np.nonzero(fits)
+            score = products(asked[anchor], held[leaf])
+            other = (held_label[leaf] == ask_label[anchor, None]) != same
+            other |= held_id[leaf] == ask_id[anchor, None]
+            score[other] = _LOW
+            score = score[at]
+            row, col = np.nonzero((score >= least_score[who, None]) & (score <= high[who, None]))
             found.append((who[row], order[leaf][col], score[row, col]))
         if found:
             _merge(top, owner, ids, *map(np.concatenate, zip(*found)))
@@ -347,12 +353,13 @@ def _answer(same: bool, k: int):
         of, *searches = _searches(left)
         for begin in range(0, len(of), TOGETHER):
             own, window, low, high = (x[begin : begin + TOGETHER] for x in (of, *searches))
-            asked, ask_id, ask_label, low = anchors[own], anchor_id[own], anchor_label[own], low.copy()
+            asked = slice(own[0], own[-1] + 1)  # searches are in the order of anchors
             score, found = np.full((len(own), k), _LOW), np.zeros((len(own), k), np.int64)
             for part in parts:
                 rows = part["flat"].reshape(len(part["ids"]), -1)
                 top, owner = descend(
-                    part, part["ids"], part["labels"], rows, asked, ask_id, ask_label, low, high, same, k)
+                    part, part["ids"], part["labels"], rows, anchors[asked], anchor_id[asked], anchor_label[asked],
+                    low, high, same, k, own - own[0])
                 score, found = _best(
                     np.concatenate([score, top], axis=1), np.concatenate([found, part["ids"][owner]], axis=1), k)
                 low = np.maximum(low, score[:, -1])

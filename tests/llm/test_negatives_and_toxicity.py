@@ -204,6 +204,32 @@ def test_descent_skips_nodes_outside_of_the_window(monkeypatch):
     assert sum(verified) < len(rows) / 2
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_searches_of_one_anchor_share_products(monkeypatch, same):
+    chosen = np.random.default_rng(8)
+    rows = chosen.integers(-200, 200, (500, 6))
+    tree = hard_negatives.grow(hard_negatives.augmented(rows, float((rows * rows).sum(axis=1).max())), 30)
+    ids, labels = np.arange(500) // 2, chosen.integers(0, 3, 500)
+    asked, ask_id, ask_label = rows[:40], ids[:40], labels[:40]
+    of = np.repeat(np.arange(40), np.arange(40) % 4)  # none to three windows
+    low = chosen.integers(0, 40_000, len(of))
+    args = tree, ids, labels, rows
+    alone = hard_negatives.descend(*args, asked[of], ask_id[of], ask_label[of], low, low + 30_000, same, 5)
+    scored = []
+    kept = hard_negatives.products
+    monkeypatch.setattr(hard_negatives, "products", lambda a, b: scored.append(len(a) * len(b)) or kept(a, b))
+    shared = hard_negatives.descend(*args, asked, ask_id, ask_label, low, low + 30_000, same, 5, of)
+    assert all(map(np.array_equal, alone, shared)) and (shared[1] >= 0).any()
+    assert sum(scored) < len(of) * 500
+    score = rows @ asked.T
+    for search, anchor in enumerate(of):
+        fits = ((labels == ask_label[anchor]) == same) & (ids != ask_id[anchor])
+        fits &= (score[:, anchor] >= low[search]) & (score[:, anchor] <= low[search] + 30_000)
+        want = sorted((-score[i, anchor], ids[i]) for i in np.flatnonzero(fits))[:5]
+        got = [(-s, ids[o]) for s, o in zip(shared[0][search], shared[1][search]) if o >= 0]
+        assert got == want
+
+
 def test_exact_search_counts_rows_that_share_an_id(spark):
     frame = vectors(spark, 260, 40).drop("label").cache()
     got = block_topk.search(frame, F.col("id") % 50 == 0)
