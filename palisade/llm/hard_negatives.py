@@ -19,8 +19,8 @@ Anchors meet parts in a grid of chunks of anchors by ranges of parts, each pair
 are numbered in the order of the upper cells and a range is up to ``GROUP`` successive ones. An anchor
 goes once to each range that holds an upper cell whose bounds reach one of its windows (the upper levels
 are at most ``UPPER`` nodes and are sent to all tasks), with the windows concerned as lists; there its
-k-th product is carried from part to part, so a range gives at most k rows a search. Neither anchors
-nor parts are broadcast. Nothing depends on how often a vector occurs.
+k-th product is carried from part to part, so a range gives at most k rows a search. Neither vectors of
+anchors nor parts are broadcast. Nothing depends on how often a vector occurs.
 
 Defined cases: rows whose id, label or vector is null, or whose vector is empty, of another length
 than most, or holds null, NaN or infinite components take no part. Every other row counts, repeated
